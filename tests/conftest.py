@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import shutil
+
 import pytest
 from pyspark.sql import SparkSession
 
@@ -22,12 +24,17 @@ def spark() -> SparkSession:
     session.stop()
 
 
+@pytest.fixture(scope="session")
+def seeded_root(spark, tmp_path_factory) -> str:
+    root = str(tmp_path_factory.mktemp("seeded") / "store")
+    assert init_tables(TableStore(spark, root)).ok
+    return root
+
+
 @pytest.fixture
-def store(spark, tmp_path) -> TableStore:
+def store(spark, seeded_root, tmp_path) -> TableStore:
     """A table store with the seed rows."""
-    store = TableStore(spark, str(tmp_path / "store"))
-    assert init_tables(store).ok
-    return store
+    return TableStore(spark, shutil.copytree(seeded_root, str(tmp_path / "store")))
 
 
 @pytest.fixture
@@ -45,25 +52,34 @@ def write_drop(spark, tmp_path):
     return write
 
 
-@pytest.fixture
-def fill(spark):
-    """Commit golden rows to a table of a store."""
+def commit_rows(store: TableStore, name: str, dicts: list[dict]) -> None:
+    store.commit(name, golden.frame(store.spark, dicts))
 
-    def fill(store: TableStore, name: str, dicts: list[dict]) -> None:
-        store.commit(name, golden.frame(spark, dicts))
 
-    return fill
+@pytest.fixture
+def fill():
+    """Commit golden rows to a table of a store."""
+    return commit_rows
 
 
-@pytest.fixture
-def full_store(store, fill):
-    """Products, facilities, contracts and customer groups in place."""
-    fill(store, "product", golden.rows(golden.PRODUCTS))
-    fill(store, "facility", golden.rows(golden.FACILITIES, "facility_type_code"))
-    fill(
+@pytest.fixture(scope="session")
+def full_root(spark, seeded_root, tmp_path_factory) -> str:
+    root = shutil.copytree(seeded_root, str(tmp_path_factory.mktemp("full") / "store"))
+    store = TableStore(spark, root)
+    commit_rows(store, "product", golden.rows(golden.PRODUCTS))
+    commit_rows(store, "facility", golden.rows(golden.FACILITIES, "facility_type_code"))
+    commit_rows(
         store,
         "facility_contract",
         golden.rows(golden.CONTRACTS, "ean", "customer_type_code", "ext_product_id"),
     )
-    fill(store, "customer_group", golden.rows(golden.CUSTOMER_GROUPS, "mapping_strategy_code"))
-    return store
+    commit_rows(
+        store, "customer_group", golden.rows(golden.CUSTOMER_GROUPS, "mapping_strategy_code")
+    )
+    return root
+
+
+@pytest.fixture
+def full_store(spark, full_root, tmp_path) -> TableStore:
+    """Products, facilities, contracts and customer groups in place."""
+    return TableStore(spark, shutil.copytree(full_root, str(tmp_path / "full")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,16 +29,24 @@ def has_required_columns(columns: Sequence[str], required: Sequence[str]) -> Ope
 
 
 def cast_column(column: Column, source: T.DataType, target: T.DataType) -> Column:
-    """Cast with SQL rounding: a fraction rounds to an integer instead of being cut off.
+    """Cast with the rounding of a SQL ``::``, where Spark would cut off or round otherwise.
 
-    Floating point halves go to the even neighbour and decimal halves away from zero, which is
-    what a SQL ``double::int`` and ``decimal::int`` give.
+    To an integer, floating point halves go to the even neighbour and decimal halves away from zero.
+    A floating point number becomes a decimal by scaling it in floating point first and rounding
+    the product, halves away from zero, so 1034.0575 (a little less in binary) is 1034.057.
     """
+    floating = isinstance(source, (T.DoubleType, T.FloatType))
     if isinstance(target, T.IntegralType):
-        if isinstance(source, T.FractionalType) and not isinstance(source, T.DecimalType):
+        if floating:
             column = F.bround(column, 0)
         elif isinstance(source, T.DecimalType) and source.scale > 0:
             column = F.round(column, 0)
+    elif isinstance(target, T.DecimalType) and floating:
+        units = F.round(column.cast("double") * F.lit(float(10**target.scale)), 0)
+        column = units.cast(T.DecimalType(target.precision, 0)) * F.lit(
+            Decimal(1).scaleb(-target.scale)
+        )
+        return column.cast(target)
     return column if source == target else column.cast(target)
 
 

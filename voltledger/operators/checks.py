@@ -227,3 +227,24 @@ def import_interval(df: DataFrame, date_col: str = "date_id") -> DataFrame:
         F.min(date_col).cast("date").alias("start_date"),
         F.max(date_col).cast("date").alias("end_date"),
     )
+
+
+def drop_report(df: DataFrame, rules: DropRules) -> DataFrame:
+    """All checks of a drop side by side, without stopping: check name and number of violations."""
+    names = {"nr_missing": "missing_values", "nr_not_month_start": "not_at_start_of_month"}
+    profile = drop_profile(df, rules)
+    counted = [c for c in names if c in profile.columns]
+    report = (
+        profile.select(*[F.col(c).alias(names[c]) for c in counted])
+        .unpivot([], [names[c] for c in counted], "check", "nr_violations")
+    )
+    for key in rules.unique:
+        if key.optional and not set(key.cols) <= set(df.columns):
+            continue
+        n = duplicate_rows(df, key.cols, exclude_nulls=key.exclude_nulls).agg(
+            F.count("*").alias("nr_violations")
+        )
+        report = report.unionByName(
+            n.select(F.lit(f"duplicate_{'_'.join(key.cols)}").alias("check"), "nr_violations")
+        )
+    return report
