@@ -18,7 +18,7 @@ from voltledger.operators import checks, constraints, grouping, resolve, upsert
 from voltledger.plans import jobs
 from voltledger.results import JobReport, Upsert
 from voltledger.schemas import DATE, INT, SERIE_VALUE_TYPE, struct
-from voltledger.seeds import init_tables, seed_table
+from voltledger.seeds import seed_table
 from voltledger.sinks.meter_store import write_meter_store
 from voltledger.sources import tables
 from voltledger.sources.drops import load_drop
@@ -438,12 +438,18 @@ def c3_c4_table_violations(spark, sf_dir):
 # --- streaming -------------------------------------------------------------------------------
 
 
-def _streamed_store(spark, sf_dir, label: str, drops: list[Callable]) -> DataFrame:
-    """Each drop arrives in one directory and is followed by a run of the incremental import."""
+def _seeded(spark, label: str, *code_tables: str) -> tuple[TableStore, Staging]:
     staging = Staging(spark, label)
     store = TableStore(spark, staging.path("store"))
+    for name in code_tables:
+        store.commit(name, seed_table(spark, name))
+    return store, staging
+
+
+def _streamed_store(spark, sf_dir, label: str, drops: list[Callable]) -> DataFrame:
+    """Each drop arrives in one directory and is followed by a run of the incremental import."""
+    store, staging = _seeded(spark, label, "serie_type")
     store.commit("facility", a.facilities(spark, sf_dir))
-    store.commit("serie_type", seed_table(spark, "serie_type"))
     source, root = staging.path("drops"), staging.path("meter_data")
     for drop in drops:
         drop(spark, sf_dir).write.mode("append").parquet(source)
@@ -470,14 +476,6 @@ def t2_month_correction(spark, sf_dir):
 # --- jobs ------------------------------------------------------------------------------------
 
 
-def _seeded(spark, label: str) -> tuple[TableStore, Staging]:
-    staging = Staging(spark, label)
-    store = TableStore(spark, staging.path("store"))
-    result = init_tables(store)
-    assert result.ok, result
-    return store, staging
-
-
 def _drop(df: DataFrame, staging: Staging) -> str:
     path = staging.path("drop")
     df.write.parquet(path)
@@ -496,14 +494,14 @@ def j1_product_import(spark, sf_dir):
 
 
 def j2_facility_import(spark, sf_dir):
-    store, staging = _seeded(spark, "j2")
+    store, staging = _seeded(spark, "j2", "facility_type")
     store.commit("facility", a.stored_facilities(spark, sf_dir))
     _checked(jobs.import_facilities(store, _drop(a.facility_drop(spark, sf_dir), staging)))
     return store.read("facility")
 
 
 def j3_contract_import(spark, sf_dir):
-    store, staging = _seeded(spark, "j3")
+    store, staging = _seeded(spark, "j3", "customer_type")
     store.commit("product", a.products(spark, sf_dir))
     store.commit("facility", a.facilities(spark, sf_dir))
     store.commit("facility_contract", a.stored_contracts(spark, sf_dir))
@@ -512,7 +510,7 @@ def j3_contract_import(spark, sf_dir):
 
 
 def j4_meter_import(spark, sf_dir):
-    store, staging = _seeded(spark, "j4")
+    store, staging = _seeded(spark, "j4", "serie_type")
     store.commit("facility", a.facilities(spark, sf_dir))
     root = staging.path("meter_data")
     path = _drop(a.meter_drop(spark, sf_dir), staging)
@@ -523,7 +521,7 @@ def j4_meter_import(spark, sf_dir):
 
 def j5_map_facilities(spark, sf_dir):
     """Only the groups that cannot both match a contract, so that the job does not refuse."""
-    store, _ = _seeded(spark, "j5")
+    store, _ = _seeded(spark, "j5", "facility_type", "customer_group_mapping_strategy")
     store.commit("facility", a.facilities(spark, sf_dir))
     store.commit("facility_contract", a.contracts(spark, sf_dir))
     store.commit("facility_customer_group_link", a.stored_links(spark, sf_dir))

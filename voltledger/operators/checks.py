@@ -12,29 +12,17 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from voltledger.functions.conversion import has_required_columns
+from voltledger.functions.ordering import Order, ordered
 from voltledger.results import Checked, OperationResult
 
-Order = Sequence[tuple[str, str]]
-
 
 def any_null(cols: Sequence[str]) -> Column:
     return reduce(or_, [F.col(c).isNull() for c in cols])
 
 
-def _ordered(df: DataFrame, order_by: Order | None) -> DataFrame:
-    if not order_by:
-        return df
-    return df.orderBy(
-        *[
-            F.col(c).desc_nulls_last() if direction == "DESC" else F.col(c).asc_nulls_last()
-            for c, direction in order_by
-        ]
-    )
-
-
 def missing_values(df: DataFrame, cols: Sequence[str], order_by: Order | None = None) -> DataFrame:
     """Rows with a null in any of ``cols``, showing those columns."""
-    return _ordered(df.where(any_null(cols)).select(*cols), order_by)
+    return ordered(df.where(any_null(cols)).select(*cols), order_by)
 
 
 def duplicate_rows(
@@ -53,7 +41,7 @@ def duplicate_rows(
     if exclude_nulls:
         df = df.where(reduce(or_, [F.col(c).isNotNull() for c in exclude_nulls]))
     counted = df.groupBy(*cols).agg(F.count("*").alias(count_col))
-    return _ordered(counted.where(F.col(count_col) > 1), order_by)
+    return ordered(counted.where(F.col(count_col) > 1), order_by)
 
 
 def not_at_start_of_month(
@@ -64,7 +52,7 @@ def not_at_start_of_month(
 ) -> DataFrame:
     """Rows whose date is not the first of a month. A null date is not reported."""
     rows = df.where(F.dayofmonth(date_col) != 1)
-    return _ordered(rows.select(*display_cols) if display_cols else rows, order_by)
+    return ordered(rows.select(*display_cols) if display_cols else rows, order_by)
 
 
 def _outcome(violations: DataFrame, message: str) -> Checked:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltledger.functions.intervals import BUSINESS_TIMEZONE, resolve_interval
+from voltledger.functions.ordering import ordered
 from voltledger.operators import checks, constraints, grouping, resolve, upsert
 from voltledger.results import JobReport, OperationResult
 from voltledger.schemas import FACILITY, FACILITY_CONTRACT, LINK, PRODUCT
@@ -35,6 +36,9 @@ METER_SOURCES = (
     "max_deb_active_power_cons_low_load",
 )
 
+BY_EAN = (("ean", "ASC"), ("date_id", "ASC"))
+BY_MONTH = (("date_id", "ASC"), ("facility_id", "ASC"))
+
 
 def _failed(result: OperationResult, violations: DataFrame | None = None) -> JobReport:
     return JobReport(result, violations=violations)
@@ -159,11 +163,10 @@ def _merge_months(
     months = _months(changes)
     if not months:
         return 0, 0
-    in_months = F.col("date_id").isin(months)
-    stored = store.read(name).where(in_months)
+    stored = store.read(name, months)
     before = stored.count()
     store.commit(name, upsert.upsert_by_key(stored, changes, key))
-    inserted = store.read(name).where(in_months).count() - before
+    inserted = store.read(name, months).count() - before
     return inserted, nr_changes - inserted
 
 
@@ -187,10 +190,10 @@ def import_contracts(store: TableStore, path: str, method: str = "file") -> JobR
         F.count_if(F.col("facility_id").isNull()).alias("ean"),
     ).first()
     if counts.customer_type > 0:
-        rows = resolve.contracts_with_unknown_customer_type(resolved).orderBy("ean", "date_id")
+        rows = ordered(resolve.contracts_with_unknown_customer_type(resolved), BY_EAN)
         return _failed(invalid_customer_type(counts.customer_type), rows)
     if counts.ean > 0:
-        rows = resolve.contracts_with_unknown_ean(resolved).orderBy("ean", "date_id")
+        rows = ordered(resolve.contracts_with_unknown_ean(resolved), BY_EAN)
         return _failed(unknown_ean(counts.ean), rows)
 
     inserted, updated = _merge_months(
@@ -224,7 +227,7 @@ def import_meter_rows(
     )
     resolved = resolve.resolve_meter_rows(drop, facilities, serie_types)
     if nr_invalid > 0:
-        rows = resolve.unresolved_meter_rows(resolved).orderBy("ean", "date_id")
+        rows = ordered(resolve.unresolved_meter_rows(resolved), BY_EAN)
         return _failed(unresolved_meter_rows(nr_invalid), rows)
     result = write_meter_store(resolve.serie_values(resolved), root)
     return JobReport(result, inserted=checked.profile.nr_rows if result.ok else 0)
@@ -314,7 +317,7 @@ def map_facilities(
     nr_duplicates = duplicates.count()
     if nr_duplicates > 0:
         result = OperationResult.failed(grouping.duplicate_links_message(nr_duplicates))
-        rows = duplicates.orderBy("date_id", "facility_id")
+        rows = ordered(duplicates, BY_MONTH)
         return JobReport(result, warnings=warnings, violations=rows)
 
     inserted, updated = _merge_months(
@@ -329,6 +332,6 @@ def map_facilities(
         inserted,
         updated,
         warnings,
-        unmapped.orderBy("date_id", "facility_id") if nr_unmapped > 0 else None,
+        ordered(unmapped, BY_MONTH) if nr_unmapped > 0 else None,
     )
     return _finish(report, staging)

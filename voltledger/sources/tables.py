@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,8 +45,9 @@ class TableStore:
         ]
         return sorted(numbers, reverse=True)
 
-    def _current_paths(self, name: str) -> list[str]:
+    def _current_paths(self, name: str, months: Collection[date] | None) -> list[str]:
         table, paths, seen = TABLES[name], [], set()
+        wanted = None if months is None else {f"{table.partition_by}={m}" for m in months}
         for version in self._versions(name):
             path = f"{self.root}/{name}/version={version}"
             children = self._children(path)
@@ -54,15 +56,18 @@ class TableStore:
             if table.partition_by is None:
                 return [path]
             for child in children:
-                if child.startswith(f"{table.partition_by}=") and child not in seen:
-                    seen.add(child)
+                if child in seen or not child.startswith(f"{table.partition_by}="):
+                    continue
+                seen.add(child)
+                if wanted is None or child in wanted:
                     paths.append(f"{path}/{child}")
         return paths
 
-    def read(self, name: str) -> DataFrame:
-        """The current rows; filters on the month column prune directories."""
+    def read(self, name: str, months: Collection[date] | None = None) -> DataFrame:
+        """The current rows. Filters on the month column prune directories; when the ``months`` are
+        known beforehand, those of other months are not even listed."""
         schema = TABLES[name].schema
-        paths = self._current_paths(name)
+        paths = self._current_paths(name, months)
         if not paths:
             return self.spark.createDataFrame([], schema)
         reader = self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}")

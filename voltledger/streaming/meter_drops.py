@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from voltledger.plans.jobs import import_meter_rows
 from voltledger.results import JobReport
 from voltledger.sources.drops import read_drop
-from voltledger.sources.staging import Staging
 from voltledger.sources.tables import TableStore
 
 
@@ -33,13 +35,17 @@ def import_new_meter_drops(
     facilities, serie_types = store.read("facility"), store.read("serie_type")
     reports: list[JobReport] = []
 
-    def import_batch(batch: DataFrame, _batch_id: int) -> None:
-        report = import_meter_rows(batch, facilities, serie_types, root)
-        if not report.ok and report.violations is None and report.result.code is not None:
+    def import_files(batch: DataFrame, _batch_id: int) -> None:
+        # The rows of a batch come without column pruning, and every action would read them in
+        # full. The stream only tells which files are new; they are then scanned like any drop.
+        files = [unquote(row.file) for row in batch.distinct().collect()]
+        if not files:
+            return
+        drop = store.spark.read.schema(sample.schema).parquet(*files)
+        report = import_meter_rows(drop, facilities, serie_types, root)
+        if report.result.code is not None:
+            # Spark failed, not the drop: let the stream fail too, so that the batch is repeated.
             raise RuntimeError(f"{report.result.short_msg}\n{report.result.long_msg}")
-        if report.violations is not None:
-            # The frame of a batch is only good inside the batch.
-            report.violations = Staging(store.spark, "rejected").write(report.violations)
         reports.append(report)
 
     reader = store.spark.readStream.schema(sample.schema)
@@ -47,7 +53,8 @@ def import_new_meter_drops(
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
     query = (
         reader.parquet(f"{source_dir.rstrip('/')}/*.parquet")
-        .writeStream.foreachBatch(import_batch)
+        .select(F.col("_metadata.file_path").alias("file"))
+        .writeStream.foreachBatch(import_files)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
