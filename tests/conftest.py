@@ -17,7 +17,13 @@ def spark() -> SparkSession:
         "voltledger-tests",
         master="local[4]",
         shuffle_partitions=4,
-        **{"spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC"},
+        **{
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.sql.session.timeZone": "UTC",
+            # Many small queries: compiling quickly beats compiling well.
+            "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1",
+        },
     )
     session.sparkContext.setLogLevel("OFF")
     yield session

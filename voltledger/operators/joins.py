@@ -4,13 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voltledger.schemas import CODE_TABLE_MAX_ROWS
 
+BROADCAST_MAX_TEXT_BYTES = 64 * 1024 * 1024
 
-def fits_broadcast(df: DataFrame, max_rows: int = CODE_TABLE_MAX_ROWS) -> bool:
-    """Count at most ``max_rows + 1`` rows to see whether a small table really is one."""
-    return df.limit(max_rows + 1).count() <= max_rows
+
+def fits_broadcast(
+    df: DataFrame,
+    max_rows: int = CODE_TABLE_MAX_ROWS,
+    max_text_bytes: int = BROADCAST_MAX_TEXT_BYTES,
+) -> bool:
+    """Measure whether a table that should be small is: rows, and bytes in its text columns.
+
+    At most ``max_rows + 1`` rows are looked at, so a large table costs no more than a small one.
+    """
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    size = F.lit(0)
+    for text in texts:
+        size = size + F.coalesce(F.octet_length(text), F.lit(0))
+    measured = df.limit(max_rows + 1).agg(
+        F.count("*").alias("nr_rows"), F.coalesce(F.sum(size), F.lit(0)).alias("text_bytes")
+    )
+    row = measured.first()
+    return row.nr_rows <= max_rows and row.text_bytes <= max_text_bytes
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """A code table with a broadcast hint when it is as small as one, without otherwise."""
+    return F.broadcast(df) if fits_broadcast(df) else df
 
 
 def lookup(
@@ -25,6 +48,6 @@ def lookup(
     """
     values = [F.col(c) for c in table.columns if c != key]
     keyed = table.select(F.col(key).alias(f"_{key}"), *values)
-    if code_table and fits_broadcast(table):
-        keyed = F.broadcast(keyed)
+    if code_table:
+        keyed = broadcast_if_small(keyed)
     return df.join(keyed, F.col(column) == F.col(f"_{key}"), "left").drop(f"_{key}")

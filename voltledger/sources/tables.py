@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voltledger.functions.conversion import conform, has_required_columns
+from voltledger.operators.joins import broadcast_if_small
 from voltledger.results import OperationResult
 from voltledger.schemas import TABLES
 from voltledger.sources.staging import hadoop_path
@@ -124,9 +125,9 @@ def contracts_extended(
     end: date | None = None,
 ) -> DataFrame:
     """Contracts with the type of their facility, in ``[start, end)`` or from ``start`` on."""
-    typed = facilities.select("facility_id", "facility_type_id").join(
-        facility_types.select("facility_type_id"), "facility_type_id"
-    )
+    # The facility types are a handful of hot keys: a shuffle on them would be a few huge tasks.
+    types = broadcast_if_small(facility_types.select("facility_type_id"))
+    typed = facilities.select("facility_id", "facility_type_id").join(types, "facility_type_id")
     in_range = _from_month(contracts, start, end)
     return in_range.join(typed, "facility_id").select(*contracts.columns, "facility_type_id")
 
