@@ -368,7 +368,8 @@ class TestMeterData:
         for source, path in paths.items():
             assert path in report.sources[source].result.short_msg
 
-    def test_unsigned_ean_and_timestamps(self, spark, ready, tmp_path):
+    @pytest.mark.parametrize("unit", ["us", "ns"])
+    def test_unsigned_ean_and_timestamps(self, spark, ready, tmp_path, unit):
         drop = golden.meter_drop(golden.ACTIVE_ENERGY)
         columns = {name: [r[name] for r in drop] for name in drop[0]}
         directory = tmp_path / "unsigned"
@@ -377,7 +378,7 @@ class TestMeterData:
             {
                 **columns,
                 "ean": pa.array(columns["ean"], pa.uint64()),
-                "date_id": pa.array(columns["date_id"], pa.date32()).cast(pa.timestamp("us")),
+                "date_id": pa.array(columns["date_id"], pa.date32()).cast(pa.timestamp(unit)),
             }
         )
         pq.write_table(table, directory / "x.parquet")

@@ -260,7 +260,7 @@ def import_meter_data(
         if source not in METER_SOURCES:
             raise ValueError(f'Unknown meter data source "{source}"!')
         if source not in paths:
-            text = f'No configuration found for "tariff_analyzer.data.{source}"!'
+            text = f'No path is configured for the meter data source "{source}"!'
             reports[source] = _failed(OperationResult.failed(text))
             continue
         drop, result = load_drop(store.spark, paths[source], method)

@@ -3,19 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voltledger.results import SPARK_ERRORS, OperationResult
 from voltledger.sources.staging import hadoop_path
 
 IMPORT_METHODS = ("file", "plugin")
+MONTH_COLUMN = "date_id"
+NANOS_AS_LONG = "spark.sql.legacy.parquet.nanosAsLong"
+
+
+def scan_files(spark: SparkSession, *paths: str) -> DataFrame:
+    """The parquet files of a drop as one frame.
+
+    The files may differ in their optional columns, so their schemas are merged. Timestamps in
+    nanoseconds, which Spark refuses, are read as numbers; a month column of numbers is turned back
+    into timestamps.
+    """
+    spark.conf.set(NANOS_AS_LONG, "true")
+    df = spark.read.option("mergeSchema", True).parquet(*paths)
+    if MONTH_COLUMN in df.columns and isinstance(df.schema[MONTH_COLUMN].dataType, T.LongType):
+        moment = F.expr(
+            f"timestampadd(MICROSECOND, {MONTH_COLUMN} DIV 1000, TIMESTAMP_NTZ'1970-01-01')"
+        )
+        df = df.withColumn(MONTH_COLUMN, moment)
+    return df
 
 
 def read_drop(spark: SparkSession, path: str) -> tuple[DataFrame | None, OperationResult]:
     """Read one parquet file, or the parquet files directly inside a directory.
 
-    Sub-directories are left out. The files of a drop may differ in their optional columns, so
-    their schemas are merged. A missing path, no matching file, an unreadable file or a file without
-    columns gives a failed result.
+    Sub-directories are left out. A missing path, no matching file, an unreadable file or a file
+    without columns gives a failed result.
     """
     file_system, hadoop = hadoop_path(spark, path)
     if not file_system.exists(hadoop):
@@ -23,7 +43,7 @@ def read_drop(spark: SparkSession, path: str) -> tuple[DataFrame | None, Operati
     directory = file_system.getFileStatus(hadoop).isDirectory()
     pattern = f"{path.rstrip('/')}/*.parquet" if directory else path
     try:
-        df = spark.read.option("mergeSchema", True).parquet(pattern)
+        df = scan_files(spark, pattern)
     except SPARK_ERRORS as e:
         return None, OperationResult.from_error(f'Could not read parquet files from "{pattern}"!', e)
     if not df.columns:

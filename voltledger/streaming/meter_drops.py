@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltledger.plans.jobs import import_meter_rows
-from voltledger.results import JobReport
-from voltledger.sources.drops import read_drop
+from voltledger.results import JobReport, OperationResult
+from voltledger.schemas import METER_DROP
+from voltledger.sources.drops import scan_files
+from voltledger.sources.staging import hadoop_path
 from voltledger.sources.tables import TableStore
 
 
@@ -27,11 +29,13 @@ def import_new_meter_drops(
     checkpoint, not the directory, remembers what was read; a batch that was interrupted is repeated
     and gives the same partitions. A rejected drop is reported and not tried again: its correction
     arrives as a new file. With ``archive_dir`` Spark moves files there some time after they were
-    read; the newest drop stays in place.
+    read; the newest drop stays in place. There is no report when nothing new arrived.
     """
-    sample, result = read_drop(store.spark, source_dir)
-    if not result.ok:
-        return [JobReport(result)]
+    spark = store.spark
+    file_system, directory = hadoop_path(spark, source_dir)
+    if not file_system.exists(directory):
+        text = f'The parquet file path "{source_dir}" does not exist!'
+        return [JobReport(OperationResult.failed(text))]
     facilities, serie_types = store.read("facility"), store.read("serie_type")
     reports: list[JobReport] = []
 
@@ -41,14 +45,13 @@ def import_new_meter_drops(
         files = [unquote(row.file) for row in batch.distinct().collect()]
         if not files:
             return
-        drop = store.spark.read.schema(sample.schema).parquet(*files)
-        report = import_meter_rows(drop, facilities, serie_types, root)
+        report = import_meter_rows(scan_files(spark, *files), facilities, serie_types, root)
         if report.result.code is not None:
             # Spark failed, not the drop: let the stream fail too, so that the batch is repeated.
             raise RuntimeError(f"{report.result.short_msg}\n{report.result.long_msg}")
         reports.append(report)
 
-    reader = store.spark.readStream.schema(sample.schema)
+    reader = spark.readStream.schema(METER_DROP)
     if archive_dir is not None:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
     query = (
