@@ -132,11 +132,18 @@ _TABLES = {
         LEFT JOIN product p ON p.external_id = i.ext_product_id
         LEFT JOIN stored_contract s ON s.facility_id = f.facility_id AND s.date_id = i.date_id""",
     "raw_resolved_contract": """
-        SELECT f.facility_id, ct.customer_type_id, p.product_id, i.*
+        SELECT f.facility_id, ct.customer_type_id, p.product_id,
+               s.facility_id IS NULL AND s.date_id IS NULL AS to_insert, i.*
         FROM raw_contract_drop i
         LEFT JOIN facility f ON f.ean = i.ean
         LEFT JOIN customer_type ct ON ct.code = i.customer_type_code
-        LEFT JOIN product p ON p.external_id = i.ext_product_id""",
+        LEFT JOIN product p ON p.external_id = i.ext_product_id
+        LEFT JOIN stored_contract s ON s.facility_id = f.facility_id AND s.date_id = i.date_id""",
+    "raw_resolved_facility": """
+        SELECT s.facility_id, ft.facility_type_id, i.*
+        FROM raw_facility_drop i
+        LEFT JOIN stored_facility s ON s.ean = i.ean
+        LEFT JOIN facility_type ft ON ft.code = i.facility_type_code""",
     "resolved_facility": """
         SELECT s.facility_id, ft.facility_type_id, i.*
         FROM facility_drop i
@@ -371,16 +378,13 @@ _BODIES = {
         _not_month_start("raw_meter_drop"),
     ),
     "v9_invalid_facility_type": """
-        SELECT s.facility_id, i.ean, ft.facility_type_id, i.facility_type_code
-        FROM raw_facility_drop i
-        LEFT JOIN stored_facility s ON s.ean = i.ean
-        LEFT JOIN facility_type ft ON ft.code = i.facility_type_code
-        WHERE ft.facility_type_id IS NULL""",
+        SELECT facility_id, ean, facility_type_id, facility_type_code FROM raw_resolved_facility
+        WHERE facility_type_id IS NULL""",
     "v10_invalid_customer_type": """
         SELECT facility_id, ean, date_id, customer_type_id, customer_type_code
         FROM raw_resolved_contract WHERE customer_type_id IS NULL""",
     "v10_unknown_ean": """
-        SELECT * FROM raw_resolved_contract WHERE facility_id IS NULL""",
+        SELECT * EXCLUDE (to_insert) FROM raw_resolved_contract WHERE facility_id IS NULL""",
     "v11_unresolved_meter_rows": """
         SELECT * FROM resolved_meter WHERE facility_id IS NULL OR serie_type_id IS NULL""",
     "v11_unresolved_meter_row_count": """
@@ -391,6 +395,12 @@ _BODIES = {
     "v14_duplicate_links": """
         SELECT facility_id, date_id, count(*) AS nr_duplicates FROM assigned
         WHERE customer_group_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1""",
+    "d1_product_resolution": """
+        SELECT s.product_id, i.* FROM product_drop i
+        LEFT JOIN stored_product s ON s.external_id = i.external_id""",
+    "d2_facility_resolution": "SELECT * FROM raw_resolved_facility",
+    "d3_contract_resolution": "SELECT * FROM raw_resolved_contract",
+    "d4_meter_resolution": "SELECT * FROM resolved_meter",
     "d6_contracts_without_link": """
         SELECT c.facility_id, c.date_id, c.fuse_size FROM contract c
         LEFT JOIN stored_link l ON l.facility_id = c.facility_id AND l.date_id = c.date_id

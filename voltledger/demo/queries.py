@@ -352,6 +352,26 @@ def m3_contract_update(spark, sf_dir):
     return resolve.split_contracts(_resolved_contracts(spark, sf_dir)).update
 
 
+def d1_product_resolution(spark, sf_dir):
+    return resolve.resolve_products(a.product_drop(spark, sf_dir), a.stored_products(spark, sf_dir))
+
+
+def d2_facility_resolution(spark, sf_dir):
+    return resolve.resolve_facilities(
+        a.raw_facility_drop(spark, sf_dir),
+        a.stored_facilities(spark, sf_dir),
+        seed_table(spark, "facility_type"),
+    )
+
+
+def d3_contract_resolution(spark, sf_dir):
+    return _resolved_contracts(spark, sf_dir, a.raw_contract_drop(spark, sf_dir))
+
+
+def d4_meter_resolution(spark, sf_dir):
+    return _resolved_meter_rows(spark, sf_dir)
+
+
 def m4_serie_values(spark, sf_dir):
     return resolve.serie_values(_resolved_meter_rows(spark, sf_dir))
 
@@ -575,6 +595,10 @@ QUERIES: dict[str, Query] = {
         v11_unresolved_meter_row_count,
         v13_unmapped_contracts,
         v14_duplicate_links,
+        d1_product_resolution,
+        d2_facility_resolution,
+        d3_contract_resolution,
+        d4_meter_resolution,
         d6_contracts_without_link,
         m1_product_insert,
         m1_product_update,

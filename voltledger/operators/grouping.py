@@ -172,12 +172,14 @@ def duplicate_links_message(n: int) -> str:
     return f"Found duplicate facility customer group links ({n})!"
 
 
+NO_GROUPS = OperationResult.failed("No customer groups exist!")
+NO_CONTRACTS = OperationResult.failed("No facility contracts exist!")
+
+
 def validate_mapping_inputs(groups: DataFrame, contracts: DataFrame) -> OperationResult:
     if groups.isEmpty():
-        return OperationResult.failed("No customer groups exist!")
-    if contracts.isEmpty():
-        return OperationResult.failed("No facility contracts exist!")
-    return OperationResult()
+        return NO_GROUPS
+    return NO_CONTRACTS if contracts.isEmpty() else OperationResult()
 
 
 class Mapping(NamedTuple):

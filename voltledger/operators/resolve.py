@@ -173,12 +173,17 @@ def count_unresolved_meter_rows(
 ) -> DataFrame:
     """One row: how many meter rows cannot be resolved.
 
-    Rows are counted per (facility, serie type) before the join, so that a facility or a code with
-    very many rows reaches the join as one row per task.
+    The serie types are looked up row by row, which needs no shuffle. Then rows are counted per EAN,
+    so that a facility with very many rows reaches the join as one row per task, and the join finds
+    the counts already partitioned by EAN.
     """
     keys = cast_present(drop.select("serie_type_code", "ean"), schemas.METER_DROP)
-    counted = keys.groupBy("serie_type_code", "ean").agg(F.count("*").alias("nr_rows"))
-    resolved = _resolve_meter_keys(counted, facilities, serie_types)
-    return resolved.where(meter_row_is_unresolved()).agg(
-        F.coalesce(F.sum("nr_rows"), F.lit(0)).alias("nr_invalid")
+    mapping = key_mapping(serie_types, "code", "serie_type_id")
+    typed = lookup(keys, mapping, "serie_type_code", "code", code_table=True)
+    counted = typed.groupBy("ean").agg(
+        F.count("*").alias("nr_rows"),
+        F.count_if(F.col("serie_type_id").isNull()).alias("nr_untyped"),
     )
+    found = lookup(counted, key_mapping(facilities, "ean", "facility_id"), "ean", "ean")
+    invalid = F.when(F.col("facility_id").isNull(), F.col("nr_rows")).otherwise(F.col("nr_untyped"))
+    return found.agg(F.coalesce(F.sum(invalid), F.lit(0)).alias("nr_invalid"))

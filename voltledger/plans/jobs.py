@@ -165,7 +165,13 @@ def _merge_months(
         return 0, 0
     stored = store.read(name, months)
     before = stored.count()
-    store.commit(name, upsert.upsert_by_key(stored, changes, key))
+    # A month that arrives for the first time needs no join with what is stored.
+    merged = (
+        upsert.upsert_by_key(stored, changes, key)
+        if before > 0
+        else upsert.insert_rows(stored, changes)
+    )
+    store.commit(name, merged)
     inserted = store.read(name, months).count() - before
     return inserted, nr_changes - inserted
 
@@ -300,13 +306,15 @@ def map_facilities(
         start,
         end,
     )
-    result = grouping.validate_mapping_inputs(groups, contracts)
-    if not result.ok:
-        return _failed(result)
+    if groups.isEmpty():
+        return _failed(grouping.NO_GROUPS)
 
     staging = Staging(spark, "mapping")
     rule_set = grouping.prepare_rules(groups)
     assigned = staging.write(grouping.assign_groups(contracts, rule_set.rules))
+    # Every contract has a row here, mapped or not: no separate join to see whether there are any.
+    if assigned.isEmpty():
+        return _finish(_failed(grouping.NO_CONTRACTS), staging)
     links = grouping.links_of(assigned)
     unmapped = grouping.unmapped_of(assigned)
     nr_unmapped = unmapped.count()
