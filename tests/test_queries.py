@@ -10,7 +10,7 @@ import __spark_entry__ as entry_module
 from tests.compare import connect, differences
 from voltledger.demo import adapters
 from voltledger.demo.queries import QUERIES
-from voltledger.operators import resolve
+from voltledger.operators import joins, resolve
 from voltledger.seeds import seed_table
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -33,9 +33,10 @@ def test_entry(spark):
     assert df.columns[-1] == "customer_group_id" and not df.isEmpty()
 
 
-def test_skewed_lookup_is_split(spark):
+def test_skewed_lookup_is_split(spark, monkeypatch):
     """Most rows carry one EAN and the facilities are too large to broadcast: the adaptive join cuts
     the hot partition, and the result is that of the plain join."""
+    monkeypatch.setattr(joins, "FACILITY_BROADCAST_MAX_ROWS", 10)
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voltledger import messages
 from voltledger.results import OperationResult
 
 
@@ -17,13 +18,10 @@ def has_required_columns(columns: Sequence[str], required: Sequence[str]) -> Ope
     missing = set(required) - set(columns)
     if not missing:
         return OperationResult()
-    text = "\n".join(
-        [
-            "Missing the required columns!",
-            f"Missing required columns : {tuple(sorted(missing))}",
-            f"Required columns         : {tuple(sorted(set(required)))}",
-            f"Available columns        : {tuple(sorted(set(columns)))}",
-        ]
+    text = messages.MISSING_COLUMNS.format(
+        missing=tuple(sorted(missing)),
+        required=tuple(sorted(set(required))),
+        available=tuple(sorted(set(columns))),
     )
     return OperationResult.failed(text, text)
 

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voltledger import messages
+
 BUSINESS_TIMEZONE = "Europe/Stockholm"
 MONTHS_PER_UNIT = {"M": 1, "Y": 12}
 ELAPSED_UNITS = {"h": "hours", "m": "mins", "s": "secs"}
@@ -79,7 +81,7 @@ def _relative_point(text: str, now: datetime, tz: str) -> Column | None:
     if sign is None and number is None and unit is None:
         return point
     if not (sign and number and unit and int(number)):
-        raise IntervalError(f'"{text}" is not a valid relative date point expression')
+        raise IntervalError(messages.INVALID_RELATIVE_POINT.format(text=text))
     amount = int(sign + number)
     if unit in MONTHS_PER_UNIT:
         return _shift_months(point, amount * MONTHS_PER_UNIT[unit], unit)
@@ -96,7 +98,7 @@ def resolve_interval(
     now = datetime.now(zone) if now is None else now.astimezone(zone)
     points = text.split("..")
     if len(points) > 2:
-        raise IntervalError(f'Invalid date range expression: "{text}"!')
+        raise IntervalError(messages.INVALID_INTERVAL.format(text=text))
 
     bounds: list[datetime | None] = [None] * len(points)
     relative: dict[int, Column] = {}
@@ -108,9 +110,7 @@ def resolve_interval(
         try:
             moment = datetime.fromisoformat(point)
         except ValueError:
-            raise IntervalError(
-                f'"{point}" is not a valid relative or iso-formatted datetime!'
-            ) from None
+            raise IntervalError(messages.INVALID_POINT.format(text=point)) from None
         bounds[i] = moment if moment.tzinfo else moment.replace(tzinfo=zone)
     if relative:
         row = spark.range(1).select(*relative.values()).first()
@@ -119,7 +119,9 @@ def resolve_interval(
 
     interval = Interval(*bounds)
     if interval.end is not None and interval.end < interval.start:
-        raise IntervalError(f"end ({interval.end}) must be >= to start ({interval.start})!")
+        raise IntervalError(
+            messages.END_BEFORE_START.format(end=interval.end, start=interval.start)
+        )
     return interval
 
 

@@ -11,6 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from voltledger import messages
 from voltledger.functions.conversion import has_required_columns
 from voltledger.functions.ordering import Order, ordered
 from voltledger.results import Checked, OperationResult
@@ -55,28 +56,17 @@ def not_at_start_of_month(
     return ordered(rows.select(*display_cols) if display_cols else rows, order_by)
 
 
-def _outcome(violations: DataFrame, message: str) -> Checked:
+def _outcome(violations: DataFrame, message: str, cols: Sequence[str] = ()) -> Checked:
     n = violations.count()
     if n == 0:
         return Checked(OperationResult())
-    return Checked(OperationResult.failed(message.format(n=n)), violations)
-
-
-def missing_values_message(cols: Sequence[str]) -> str:
-    return f"Found rows ({{n}}) with missing values in required columns {tuple(cols)}!"
-
-
-def duplicate_rows_message(cols: Sequence[str]) -> str:
-    return f"Found duplicate rows ({{n}}) over columns: {tuple(cols)}!"
-
-
-NOT_AT_START_OF_MONTH_MESSAGE = "Found rows ({n}) not at start of month!"
+    return Checked(OperationResult.failed(message.format(n=n, cols=tuple(cols))), violations)
 
 
 def validate_missing_values(
     df: DataFrame, cols: Sequence[str], order_by: Order | None = None
 ) -> Checked:
-    return _outcome(missing_values(df, cols, order_by), missing_values_message(cols))
+    return _outcome(missing_values(df, cols, order_by), messages.MISSING_VALUES, cols)
 
 
 def validate_duplicate_rows(
@@ -87,7 +77,7 @@ def validate_duplicate_rows(
     order_by: Order | None = None,
 ) -> Checked:
     duplicates = duplicate_rows(df, cols, count_col, exclude_nulls, order_by)
-    return _outcome(duplicates, duplicate_rows_message(cols or df.columns))
+    return _outcome(duplicates, messages.DUPLICATE_ROWS, cols or df.columns)
 
 
 def validate_at_start_of_month(
@@ -97,7 +87,7 @@ def validate_at_start_of_month(
     order_by: Order | None = None,
 ) -> Checked:
     rows = not_at_start_of_month(df, date_col, display_cols, order_by)
-    return _outcome(rows, NOT_AT_START_OF_MONTH_MESSAGE)
+    return _outcome(rows, messages.NOT_AT_START_OF_MONTH)
 
 
 @dataclass(frozen=True)
@@ -187,7 +177,7 @@ def check_drop(df: DataFrame, rules: DropRules) -> CheckedDrop:
 
     profile = drop_profile(df, rules).first()
     if profile.nr_missing > 0:
-        message = missing_values_message(rules.required).format(n=profile.nr_missing)
+        message = messages.MISSING_VALUES.format(n=profile.nr_missing, cols=rules.required)
         rows = missing_values(df, rules.required, rules.order_by)
         return CheckedDrop(OperationResult.failed(message), rows, profile)
 
@@ -196,13 +186,14 @@ def check_drop(df: DataFrame, rules: DropRules) -> CheckedDrop:
             continue
         checked = _outcome(
             duplicate_rows(df, key.cols, exclude_nulls=key.exclude_nulls, order_by=key.order_by),
-            duplicate_rows_message(key.cols),
+            messages.DUPLICATE_ROWS,
+            key.cols,
         )
         if not checked.result.ok:
             return CheckedDrop(checked.result, checked.violations, profile)
 
     if rules.month_start is not None and profile.nr_not_month_start > 0:
-        message = NOT_AT_START_OF_MONTH_MESSAGE.format(n=profile.nr_not_month_start)
+        message = messages.NOT_AT_START_OF_MONTH.format(n=profile.nr_not_month_start)
         rows = not_at_start_of_month(df, rules.month_start, rules.required, rules.order_by)
         return CheckedDrop(OperationResult.failed(message), rows, profile)
 

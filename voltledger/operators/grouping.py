@@ -12,6 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voltledger import messages
 from voltledger.operators.checks import duplicate_rows
 from voltledger.operators.joins import fits_broadcast
 from voltledger.results import OperationResult, Upsert
@@ -79,12 +80,9 @@ def prepare_rules(groups: DataFrame) -> RuleSet:
     skipped = []
     for row in faulty.toLocalIterator():
         if row.rule_strategy not in STRATEGIES:
-            raise ValueError(
-                "Missing mapping function for facility customer group mapping strategy "
-                f'"{row.rule_strategy}"'
-            )
+            raise ValueError(messages.UNKNOWN_STRATEGY.format(strategy=row.rule_strategy))
         skipped.append(
-            f"Required {row.rule_lacks} param is None for customer_group_id={row.rule_group_id}"
+            messages.GROUP_LACKS_PARAMETER.format(param=row.rule_lacks, group_id=row.rule_group_id)
         )
     return RuleSet(rules.where(F.col("rule_lacks").isNull()).drop("rule_lacks"), tuple(skipped))
 
@@ -164,22 +162,12 @@ def duplicate_links(links: DataFrame) -> DataFrame:
     return duplicate_rows(links, LINK_KEY)
 
 
-def unmapped_message(n: int) -> str:
-    return f"Facility contracts ({n}) could not be mapped to a customer group!"
-
-
-def duplicate_links_message(n: int) -> str:
-    return f"Found duplicate facility customer group links ({n})!"
-
-
-NO_GROUPS = OperationResult.failed("No customer groups exist!")
-NO_CONTRACTS = OperationResult.failed("No facility contracts exist!")
-
-
 def validate_mapping_inputs(groups: DataFrame, contracts: DataFrame) -> OperationResult:
     if groups.isEmpty():
-        return NO_GROUPS
-    return NO_CONTRACTS if contracts.isEmpty() else OperationResult()
+        return OperationResult.failed(messages.NO_CUSTOMER_GROUPS)
+    if contracts.isEmpty():
+        return OperationResult.failed(messages.NO_CONTRACTS)
+    return OperationResult()
 
 
 class Mapping(NamedTuple):
@@ -200,10 +188,10 @@ def map_contracts(contracts: DataFrame, groups: DataFrame) -> Mapping:
 
 
 def mapping_result(skipped: tuple[str, ...], nr_unmapped: int) -> OperationResult:
-    messages = [*skipped]
+    warnings = [*skipped]
     if nr_unmapped > 0:
-        messages.append(unmapped_message(nr_unmapped))
-    return OperationResult.failed("\n".join(messages)) if messages else OperationResult()
+        warnings.append(messages.UNMAPPED_CONTRACTS.format(n=nr_unmapped))
+    return OperationResult.failed("\n".join(warnings)) if warnings else OperationResult()
 
 
 def map_by_strategy(contracts: DataFrame, groups: DataFrame, strategy: str) -> DataFrame:

@@ -11,16 +11,14 @@ from pyspark.sql import functions as F
 
 from voltledger import schemas
 from voltledger.functions.conversion import cast_present
-from voltledger.operators.joins import lookup
+from voltledger.operators.joins import lookup, lookup_code, lookup_facility
 from voltledger.results import Upsert
-from voltledger.sources.tables import key_mapping
 
 
 def resolve_products(drop: DataFrame, products: DataFrame) -> DataFrame:
     """The drop with ``product_id``, null for new products."""
     rows = cast_present(drop, schemas.PRODUCT_DROP)
-    mapping = key_mapping(products, "external_id", "product_id")
-    found = lookup(rows, mapping, "external_id", "external_id", code_table=True)
+    found = lookup_code(rows, products, "external_id", "external_id", "product_id")
     return found.select(F.col("product_id").cast("int"), *rows.columns)
 
 
@@ -34,14 +32,8 @@ def resolve_facilities(
 ) -> DataFrame:
     """The drop with ``facility_id`` (null for new facilities) and ``facility_type_id``."""
     rows = cast_present(drop, schemas.FACILITY_DROP)
-    found = lookup(rows, key_mapping(facilities, "ean", "facility_id"), "ean", "ean")
-    found = lookup(
-        found,
-        key_mapping(facility_types, "code", "facility_type_id"),
-        "facility_type_code",
-        "code",
-        code_table=True,
-    )
+    found = lookup_facility(rows, facilities)
+    found = lookup_code(found, facility_types, "facility_type_code", "code", "facility_type_id")
     return found.select(
         F.col("facility_id").cast("long"), F.col("facility_type_id").cast("byte"), *rows.columns
     )
@@ -72,18 +64,11 @@ def resolve_contracts(
     not found is not an error; a drop without products leaves the stored ones alone.
     """
     rows = cast_present(drop, schemas.CONTRACT_DROP)
-    found = lookup(rows, key_mapping(facilities, "ean", "facility_id"), "ean", "ean")
-    found = lookup(
-        found,
-        key_mapping(customer_types, "code", "customer_type_id"),
-        "customer_type_code",
-        "code",
-        code_table=True,
-    )
+    found = lookup_facility(rows, facilities)
+    found = lookup_code(found, customer_types, "customer_type_code", "code", "customer_type_id")
     ids = [F.col("facility_id").cast("long"), F.col("customer_type_id").cast("short")]
     if "ext_product_id" in rows.columns:
-        mapping = key_mapping(products, "external_id", "product_id")
-        found = lookup(found, mapping, "ext_product_id", "external_id", code_table=True)
+        found = lookup_code(found, products, "ext_product_id", "external_id", "product_id")
         ids.append(F.col("product_id").cast("int"))
     if existing is not None:
         stored = existing.select(
@@ -135,14 +120,8 @@ def contracts_with_unknown_ean(resolved: DataFrame) -> DataFrame:
 
 
 def _resolve_meter_keys(rows: DataFrame, facilities: DataFrame, serie_types: DataFrame) -> DataFrame:
-    found = lookup(rows, key_mapping(facilities, "ean", "facility_id"), "ean", "ean")
-    found = lookup(
-        found,
-        key_mapping(serie_types, "code", "serie_type_id"),
-        "serie_type_code",
-        "code",
-        code_table=True,
-    )
+    found = lookup_facility(rows, facilities)
+    found = lookup_code(found, serie_types, "serie_type_code", "code", "serie_type_id")
     return found.select(
         F.col("facility_id").cast("long"), F.col("serie_type_id").cast("int"), *rows.columns
     )
@@ -178,12 +157,11 @@ def count_unresolved_meter_rows(
     the counts already partitioned by EAN.
     """
     keys = cast_present(drop.select("serie_type_code", "ean"), schemas.METER_DROP)
-    mapping = key_mapping(serie_types, "code", "serie_type_id")
-    typed = lookup(keys, mapping, "serie_type_code", "code", code_table=True)
+    typed = lookup_code(keys, serie_types, "serie_type_code", "code", "serie_type_id")
     counted = typed.groupBy("ean").agg(
         F.count("*").alias("nr_rows"),
         F.count_if(F.col("serie_type_id").isNull()).alias("nr_untyped"),
     )
-    found = lookup(counted, key_mapping(facilities, "ean", "facility_id"), "ean", "ean")
+    found = lookup(counted, facilities.select("ean", "facility_id"), "ean", "ean", None)
     invalid = F.when(F.col("facility_id").isNull(), F.col("nr_rows")).otherwise(F.col("nr_untyped"))
     return found.agg(F.coalesce(F.sum(invalid), F.lit(0)).alias("nr_invalid"))

@@ -13,6 +13,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltledger import messages
 from voltledger.functions.intervals import BUSINESS_TIMEZONE, resolve_interval
 from voltledger.functions.ordering import ordered
 from voltledger.operators import checks, constraints, grouping, resolve, upsert
@@ -40,8 +41,12 @@ BY_EAN = (("ean", "ASC"), ("date_id", "ASC"))
 BY_MONTH = (("date_id", "ASC"), ("facility_id", "ASC"))
 
 
-def _failed(result: OperationResult, violations: DataFrame | None = None) -> JobReport:
-    return JobReport(result, violations=violations)
+def _failed(message: str, violations: DataFrame | None = None) -> JobReport:
+    return JobReport(OperationResult.failed(message), violations=violations)
+
+
+def _rejected(checked: checks.CheckedDrop) -> JobReport:
+    return JobReport(checked.result, violations=checked.violations)
 
 
 def _finish(report: JobReport, staging: Staging) -> JobReport:
@@ -64,7 +69,7 @@ def import_products(store: TableStore, path: str, method: str = "file") -> JobRe
     """Insert new products and update the known ones."""
     drop, checked = _load(store, path, method, checks.PRODUCT_RULES)
     if not checked.result.ok:
-        return _failed(checked.result, checked.violations)
+        return _rejected(checked)
 
     staging = Staging(store.spark, "products")
     stored = store.read("product")
@@ -78,9 +83,7 @@ def import_products(store: TableStore, path: str, method: str = "file") -> JobRe
     )
     taken = constraints.unique_violations(merged, ("name",))
     if not taken.isEmpty():
-        return _failed(
-            OperationResult.failed('Unable to save to table "product", names are not unique!'), taken
-        )
+        return _failed('Unable to save to table "product", names are not unique!', taken)
     return _finish(_commit_dimension(store, "product", stored, merged, checked, "products"), staging)
 
 
@@ -88,7 +91,7 @@ def import_facilities(store: TableStore, path: str, method: str = "file") -> Job
     """Insert new facilities and update the known ones."""
     drop, checked = _load(store, path, method, checks.FACILITY_RULES)
     if not checked.result.ok:
-        return _failed(checked.result, checked.violations)
+        return _rejected(checked)
 
     staging = Staging(store.spark, "facilities")
     stored = store.read("facility")
@@ -98,7 +101,7 @@ def import_facilities(store: TableStore, path: str, method: str = "file") -> Job
     new, known, invalid = resolve.split_facilities(resolved)
     nr_invalid = invalid.count()
     if nr_invalid > 0:
-        return _failed(invalid_facility_type(nr_invalid), invalid)
+        return _failed(messages.INVALID_FACILITY_TYPE.format(n=nr_invalid), invalid)
 
     numbered = upsert.assign_ids(
         new, "ean", "facility_id", upsert.max_id(stored, "facility_id") + 1, staging
@@ -121,36 +124,10 @@ def _commit_dimension(
     store.commit(name, merged)
     inserted = store.read(name).count() - before
     updated = checked.profile.nr_rows - inserted
-    text = (
-        f"Successfully imported {inserted} new {noun} and updated {updated} existing {noun}!"
-    )
+    text = messages.IMPORTED.format(new=inserted, known=updated, noun=noun)
     return JobReport(OperationResult(short_msg=text), inserted, updated)
 
 
-def invalid_facility_type(n: int) -> OperationResult:
-    return OperationResult.failed(
-        f'Found facilities ({n}) with invalid values for column "facility_type_code"!'
-    )
-
-
-def invalid_customer_type(n: int) -> OperationResult:
-    return OperationResult.failed(
-        f'Found facility contracts ({n}) with invalid values for column "customer_type_code"!'
-    )
-
-
-def unknown_ean(n: int) -> OperationResult:
-    return OperationResult.failed(
-        f'Found facility contracts ({n}) with unknown EAN codes in column "ean"!'
-    )
-
-
-def unresolved_meter_rows(n: int) -> OperationResult:
-    return OperationResult.failed(
-        f'Found rows ({n}) with invalid values for columns "serie_type_code" or "ean"!'
-    )
-
-
 def _months(df: DataFrame) -> list[date]:
     """The months of checked rows: at most one value per calendar month they span."""
     return [row.date_id for row in df.select("date_id").distinct().collect()]
@@ -180,10 +157,10 @@ def import_contracts(store: TableStore, path: str, method: str = "file") -> JobR
     """Insert new facility contracts and update the known ones of the same facility and month."""
     drop, checked = _load(store, path, method, checks.CONTRACT_RULES)
     if not checked.result.ok:
-        return _failed(checked.result, checked.violations)
+        return _rejected(checked)
     first, last = checked.profile.first_date, checked.profile.last_date
     if first is None:
-        return _failed(OperationResult.failed("Could not compute facility contract interval!"))
+        return _failed(messages.NO_IMPORT_INTERVAL)
 
     staging = Staging(store.spark, "contracts")
     resolved = staging.write(
@@ -197,10 +174,10 @@ def import_contracts(store: TableStore, path: str, method: str = "file") -> JobR
     ).first()
     if counts.customer_type > 0:
         rows = ordered(resolve.contracts_with_unknown_customer_type(resolved), BY_EAN)
-        return _failed(invalid_customer_type(counts.customer_type), rows)
+        return _failed(messages.INVALID_CUSTOMER_TYPE.format(n=counts.customer_type), rows)
     if counts.ean > 0:
         rows = ordered(resolve.contracts_with_unknown_ean(resolved), BY_EAN)
-        return _failed(unknown_ean(counts.ean), rows)
+        return _failed(messages.UNKNOWN_EAN.format(n=counts.ean), rows)
 
     inserted, updated = _merge_months(
         store,
@@ -209,9 +186,8 @@ def import_contracts(store: TableStore, path: str, method: str = "file") -> JobR
         FACILITY_CONTRACT.key,
         checked.profile.nr_rows,
     )
-    text = (
-        f"Successfully imported {inserted} new facility contracts and updated {updated} "
-        f"existing facility contracts in interval {first} - {last}!"
+    text = messages.IMPORTED_IN_INTERVAL.format(
+        new=inserted, known=updated, noun="facility contracts", start=first, end=last
     )
     report = JobReport(OperationResult(short_msg=text), inserted, updated)
     return _finish(report, staging)
@@ -227,14 +203,14 @@ def import_meter_rows(
     """
     checked = checks.check_drop(drop, checks.METER_RULES)
     if not checked.result.ok:
-        return _failed(checked.result, checked.violations)
+        return _rejected(checked)
     nr_invalid = (
         resolve.count_unresolved_meter_rows(drop, facilities, serie_types).first().nr_invalid
     )
     resolved = resolve.resolve_meter_rows(drop, facilities, serie_types)
     if nr_invalid > 0:
         rows = ordered(resolve.unresolved_meter_rows(resolved), BY_EAN)
-        return _failed(unresolved_meter_rows(nr_invalid), rows)
+        return _failed(messages.UNRESOLVED_METER_ROWS.format(n=nr_invalid), rows)
     result = write_meter_store(resolve.serie_values(resolved), root)
     return JobReport(result, inserted=checked.profile.nr_rows if result.ok else 0)
 
@@ -267,16 +243,18 @@ def import_meter_data(
             raise ValueError(f'Unknown meter data source "{source}"!')
         if source not in paths:
             text = f'No path is configured for the meter data source "{source}"!'
-            reports[source] = _failed(OperationResult.failed(text))
+            reports[source] = _failed(text)
             continue
         drop, result = load_drop(store.spark, paths[source], method)
         reports[source] = (
-            import_meter_rows(drop, facilities, serie_types, root) if result.ok else _failed(result)
+            import_meter_rows(drop, facilities, serie_types, root)
+            if result.ok
+            else JobReport(result)
         )
     done = tuple(name for name, report in reports.items() if report.ok)
     if not done:
         return MeterImportReport(OperationResult.failed("No meter data was imported!"), reports)
-    text = f"Successfully processed meter data for sources: {done}"
+    text = messages.METER_DATA_PROCESSED.format(sources=done)
     return MeterImportReport(OperationResult(short_msg=text), reports)
 
 
@@ -307,14 +285,14 @@ def map_facilities(
         end,
     )
     if groups.isEmpty():
-        return _failed(grouping.NO_GROUPS)
+        return _failed(messages.NO_CUSTOMER_GROUPS)
 
     staging = Staging(spark, "mapping")
     rule_set = grouping.prepare_rules(groups)
     assigned = staging.write(grouping.assign_groups(contracts, rule_set.rules))
     # Every contract has a row here, mapped or not: no separate join to see whether there are any.
     if assigned.isEmpty():
-        return _finish(_failed(grouping.NO_CONTRACTS), staging)
+        return _finish(_failed(messages.NO_CONTRACTS), staging)
     links = grouping.links_of(assigned)
     unmapped = grouping.unmapped_of(assigned)
     nr_unmapped = unmapped.count()
@@ -324,16 +302,15 @@ def map_facilities(
     duplicates = grouping.duplicate_links(links)
     nr_duplicates = duplicates.count()
     if nr_duplicates > 0:
-        result = OperationResult.failed(grouping.duplicate_links_message(nr_duplicates))
+        result = OperationResult.failed(messages.DUPLICATE_LINKS.format(n=nr_duplicates))
         rows = ordered(duplicates, BY_MONTH)
         return JobReport(result, warnings=warnings, violations=rows)
 
     inserted, updated = _merge_months(
         store, "facility_customer_group_link", links, LINK.key, links.count()
     )
-    text = (
-        f"Successfully imported {inserted} new facility customer group links and updated {updated} "
-        f"existing facility customer group links in interval {start} - {end}!"
+    text = messages.IMPORTED_IN_INTERVAL.format(
+        new=inserted, known=updated, noun="facility customer group links", start=start, end=end
     )
     report = JobReport(
         OperationResult(short_msg=text),

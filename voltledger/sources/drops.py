@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voltledger import messages
 from voltledger.results import SPARK_ERRORS, OperationResult
 from voltledger.sources.staging import hadoop_path
 
@@ -39,7 +40,7 @@ def read_drop(spark: SparkSession, path: str) -> tuple[DataFrame | None, Operati
     """
     file_system, hadoop = hadoop_path(spark, path)
     if not file_system.exists(hadoop):
-        return None, OperationResult.failed(f'The parquet file path "{path}" does not exist!')
+        return None, OperationResult.failed(messages.PATH_NOT_FOUND.format(path=path))
     directory = file_system.getFileStatus(hadoop).isDirectory()
     pattern = f"{path.rstrip('/')}/*.parquet" if directory else path
     try:
@@ -58,7 +59,7 @@ def load_drop(
     if method == "file":
         return read_drop(spark, path)
     if method == "plugin":
-        return None, OperationResult.failed("Data import through plugins is not implemented yet!")
+        return None, OperationResult.failed(messages.PLUGIN_IMPORT)
     return None, OperationResult.failed(
-        f'Invalid import method "{method}"! Valid methods are: {IMPORT_METHODS}'
+        messages.INVALID_METHOD.format(method=method, methods=IMPORT_METHODS)
     )

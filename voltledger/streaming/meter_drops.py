@@ -7,6 +7,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltledger import messages
 from voltledger.plans.jobs import import_meter_rows
 from voltledger.results import JobReport, OperationResult
 from voltledger.schemas import METER_DROP
@@ -34,7 +35,7 @@ def import_new_meter_drops(
     spark = store.spark
     file_system, directory = hadoop_path(spark, source_dir)
     if not file_system.exists(directory):
-        text = f'The parquet file path "{source_dir}" does not exist!'
+        text = messages.PATH_NOT_FOUND.format(path=source_dir)
         return [JobReport(OperationResult.failed(text))]
     facilities, serie_types = store.read("facility"), store.read("serie_type")
     reports: list[JobReport] = []
