@@ -163,6 +163,21 @@ def test_staging_uses_the_shared_folder(spark):
     assert not os.path.exists(staging.root.removeprefix("file:"))
 
 
+class FakeSession:
+    """A session without spark.checkpoint.dir."""
+
+    def __init__(self, master):
+        self.conf = {}
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": "app-1"})
+
+
+def test_local_folder_only_where_spark_is_local():
+    folder = shared_folder(FakeSession("local[4]"))
+    assert os.path.isdir(folder) and shared_folder(FakeSession("local[4]")) == folder
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(FakeSession("yarn"))
+
+
 def test_mixed_date_types_join_as_dates(spark):
     drop = spark.sql("SELECT 123456000000000001 AS ean, TIMESTAMP_NTZ'2025-11-01 00:00:00' AS date_id, 'company' AS customer_type_code")
     existing = spark.createDataFrame([(1, date(2025, 11, 1))], "facility_id bigint, date_id date")

@@ -95,7 +95,10 @@ def resolve_interval(
 ) -> Interval:
     """Evaluate an interval text to its two bounds with a one-row query."""
     zone = ZoneInfo(tz)
-    now = datetime.now(zone) if now is None else now.astimezone(zone)
+    if now is None:
+        now = datetime.now(zone)
+    # A time without a zone is business time.
+    now = now.astimezone(zone) if now.tzinfo else now.replace(tzinfo=zone)
     points = text.split("..")
     if len(points) > 2:
         raise IntervalError(messages.INVALID_INTERVAL.format(text=text))

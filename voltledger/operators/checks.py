@@ -157,6 +157,22 @@ def drop_profile(df: DataFrame, rules: DropRules) -> DataFrame:
     return df.agg(*aggregates)
 
 
+def _check_name(key: UniqueKey) -> str:
+    return f"duplicate_{'_'.join(key.cols)}"
+
+
+def duplicate_counts(df: DataFrame, rules: DropRules) -> DataFrame:
+    """One row per unique key whose columns are there: check name and number of repeated keys."""
+    counts = []
+    for key in rules.unique:
+        if key.optional and not set(key.cols) <= set(df.columns):
+            continue
+        duplicates = duplicate_rows(df, key.cols, exclude_nulls=key.exclude_nulls)
+        n = duplicates.agg(F.count("*").alias("nr_violations"))
+        counts.append(n.select(F.lit(_check_name(key)).alias("check"), "nr_violations"))
+    return reduce(DataFrame.unionByName, counts)
+
+
 class CheckedDrop(NamedTuple):
     """The first failing check of a drop, and its profile when the columns were there."""
 
@@ -168,8 +184,8 @@ class CheckedDrop(NamedTuple):
 def check_drop(df: DataFrame, rules: DropRules) -> CheckedDrop:
     """Required columns, missing values, duplicates, month starts: stop at the first that fails.
 
-    One scan serves the counts and one aggregation each key; the frame of violations is built only
-    for the check that failed and stays lazy.
+    One scan serves the counts and one aggregation each key, the keys together in one job; the frame
+    of violations is built only for the check that failed and stays lazy.
     """
     result = has_required_columns(df.columns, rules.required)
     if not result.ok:
@@ -181,16 +197,15 @@ def check_drop(df: DataFrame, rules: DropRules) -> CheckedDrop:
         rows = missing_values(df, rules.required, rules.order_by)
         return CheckedDrop(OperationResult.failed(message), rows, profile)
 
+    repeated = {row.check: row.nr_violations for row in duplicate_counts(df, rules).collect()}
     for key in rules.unique:
-        if key.optional and not set(key.cols) <= set(df.columns):
-            continue
-        checked = _outcome(
-            duplicate_rows(df, key.cols, exclude_nulls=key.exclude_nulls, order_by=key.order_by),
-            messages.DUPLICATE_ROWS,
-            key.cols,
-        )
-        if not checked.result.ok:
-            return CheckedDrop(checked.result, checked.violations, profile)
+        n = repeated.get(_check_name(key), 0)
+        if n > 0:
+            message = messages.DUPLICATE_ROWS.format(n=n, cols=key.cols)
+            rows = duplicate_rows(
+                df, key.cols, exclude_nulls=key.exclude_nulls, order_by=key.order_by
+            )
+            return CheckedDrop(OperationResult.failed(message), rows, profile)
 
     if rules.month_start is not None and profile.nr_not_month_start > 0:
         message = messages.NOT_AT_START_OF_MONTH.format(n=profile.nr_not_month_start)
@@ -217,13 +232,4 @@ def drop_report(df: DataFrame, rules: DropRules) -> DataFrame:
         profile.select(*[F.col(c).alias(names[c]) for c in counted])
         .unpivot([], [names[c] for c in counted], "check", "nr_violations")
     )
-    for key in rules.unique:
-        if key.optional and not set(key.cols) <= set(df.columns):
-            continue
-        n = duplicate_rows(df, key.cols, exclude_nulls=key.exclude_nulls).agg(
-            F.count("*").alias("nr_violations")
-        )
-        report = report.unionByName(
-            n.select(F.lit(f"duplicate_{'_'.join(key.cols)}").alias("check"), "nr_violations")
-        )
-    return report
+    return report.unionByName(duplicate_counts(df, rules))

@@ -75,16 +75,22 @@ def import_products(store: TableStore, path: str, method: str = "file") -> JobRe
     stored = store.read("product")
     resolved = staging.write(resolve.resolve_products(drop, stored))
     new, known = resolve.split_products(resolved)[:2]
+    nr_new = new.count()
     numbered = upsert.assign_ids(
         new, "external_id", "product_id", upsert.max_id(stored, "product_id") + 1, staging
     )
-    merged = staging.write(
-        upsert.upsert_by_key(stored, known.unionByName(numbered), PRODUCT.key)
-    )
+    merged = upsert.upsert_by_key(stored, known.unionByName(numbered), PRODUCT.key)
     taken = constraints.unique_violations(merged, ("name",))
     if not taken.isEmpty():
         return _failed('Unable to save to table "product", names are not unique!', taken)
-    return _finish(_commit_dimension(store, "product", stored, merged, checked, "products"), staging)
+    store.commit("product", merged)
+    return _finish(_imported(nr_new, checked, "products"), staging)
+
+
+def _imported(nr_new: int, checked: checks.CheckedDrop, noun: str) -> JobReport:
+    nr_known = checked.profile.nr_rows - nr_new
+    text = messages.IMPORTED.format(new=nr_new, known=nr_known, noun=noun)
+    return JobReport(OperationResult(short_msg=text), nr_new, nr_known)
 
 
 def import_facilities(store: TableStore, path: str, method: str = "file") -> JobReport:
@@ -99,33 +105,20 @@ def import_facilities(store: TableStore, path: str, method: str = "file") -> Job
         resolve.resolve_facilities(drop, stored, store.read("facility_type"))
     )
     new, known, invalid = resolve.split_facilities(resolved)
-    nr_invalid = invalid.count()
-    if nr_invalid > 0:
-        return _failed(messages.INVALID_FACILITY_TYPE.format(n=nr_invalid), invalid)
+    counts = resolved.agg(
+        F.count_if(F.col("facility_id").isNull()).alias("new"),
+        F.count_if(F.col("facility_type_id").isNull()).alias("invalid"),
+    ).first()
+    if counts.invalid > 0:
+        return _failed(messages.INVALID_FACILITY_TYPE.format(n=counts.invalid), invalid)
 
     numbered = upsert.assign_ids(
         new, "ean", "facility_id", upsert.max_id(stored, "facility_id") + 1, staging
     )
     # EAN codes stay unique: the drop has no duplicates and stored codes were joined to their row.
     merged = upsert.upsert_by_key(stored, known.unionByName(numbered), FACILITY.key)
-    report = _commit_dimension(store, "facility", stored, merged, checked, "facilities")
-    return _finish(report, staging)
-
-
-def _commit_dimension(
-    store: TableStore,
-    name: str,
-    stored: DataFrame,
-    merged: DataFrame,
-    checked: checks.CheckedDrop,
-    noun: str,
-) -> JobReport:
-    before = stored.count()
-    store.commit(name, merged)
-    inserted = store.read(name).count() - before
-    updated = checked.profile.nr_rows - inserted
-    text = messages.IMPORTED.format(new=inserted, known=updated, noun=noun)
-    return JobReport(OperationResult(short_msg=text), inserted, updated)
+    store.commit("facility", merged)
+    return _finish(_imported(counts.new, checked, "facilities"), staging)
 
 
 def _months(df: DataFrame) -> list[date]:

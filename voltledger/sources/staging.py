@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,12 +15,16 @@ def shared_folder(spark: SparkSession) -> str:
     Only where it is unset and Spark runs in this very process (tests) is a local folder taken.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share!")
-        folder = tempfile.mkdtemp(prefix="voltledger-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder is not None:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share!")
+    return _local_folder(spark.sparkContext.applicationId)
+
+
+@cache
+def _local_folder(_application_id: str) -> str:
+    return tempfile.mkdtemp(prefix="voltledger-")
 
 
 def hadoop_path(spark: SparkSession, path: str):
