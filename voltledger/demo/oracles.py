@@ -124,7 +124,8 @@ _TABLES = {
         SELECT facility_id, date_id, 99 AS customer_group_id FROM contract
         WHERE date_id < DATE '{a.STORED_UNTIL}'""",
     "resolved_contract": """
-        SELECT f.facility_id, ct.customer_type_id, p.product_id,
+        SELECT f.facility_id, CAST(ct.customer_type_id AS SMALLINT) AS customer_type_id,
+               p.product_id,
                s.facility_id IS NULL AND s.date_id IS NULL AS to_insert, i.*
         FROM contract_drop i
         LEFT JOIN facility f ON f.ean = i.ean
@@ -132,7 +133,8 @@ _TABLES = {
         LEFT JOIN product p ON p.external_id = i.ext_product_id
         LEFT JOIN stored_contract s ON s.facility_id = f.facility_id AND s.date_id = i.date_id""",
     "raw_resolved_contract": """
-        SELECT f.facility_id, ct.customer_type_id, p.product_id,
+        SELECT f.facility_id, CAST(ct.customer_type_id AS SMALLINT) AS customer_type_id,
+               p.product_id,
                s.facility_id IS NULL AND s.date_id IS NULL AS to_insert, i.*
         FROM raw_contract_drop i
         LEFT JOIN facility f ON f.ean = i.ean
@@ -140,12 +142,12 @@ _TABLES = {
         LEFT JOIN product p ON p.external_id = i.ext_product_id
         LEFT JOIN stored_contract s ON s.facility_id = f.facility_id AND s.date_id = i.date_id""",
     "raw_resolved_facility": """
-        SELECT s.facility_id, ft.facility_type_id, i.*
+        SELECT s.facility_id, CAST(ft.facility_type_id AS TINYINT) AS facility_type_id, i.*
         FROM raw_facility_drop i
         LEFT JOIN stored_facility s ON s.ean = i.ean
         LEFT JOIN facility_type ft ON ft.code = i.facility_type_code""",
     "resolved_facility": """
-        SELECT s.facility_id, ft.facility_type_id, i.*
+        SELECT s.facility_id, CAST(ft.facility_type_id AS TINYINT) AS facility_type_id, i.*
         FROM facility_drop i
         LEFT JOIN stored_facility s ON s.ean = i.ean
         LEFT JOIN facility_type ft ON ft.code = i.facility_type_code""",
@@ -234,7 +236,8 @@ _CONTRACT = (
 
 _METER = "facility_id, ean, serie_value, status_id, serie_type_code, date_id"
 _LINK_SPLIT = """
-    SELECT l.facility_id, l.date_id, l.customer_group_id FROM assigned l
+    SELECT CAST(l.facility_id AS INTEGER) AS facility_id, l.date_id, l.customer_group_id
+    FROM assigned l
     LEFT JOIN stored_link s ON s.facility_id = l.facility_id AND s.date_id = l.date_id
     WHERE l.customer_group_id IS NOT NULL AND s.facility_id IS {}"""
 
@@ -311,7 +314,8 @@ _BODIES = {
                description
         FROM resolved_facility WHERE facility_id IS NULL""",
     "k3_update_by_key": """
-        SELECT s.facility_id, r.ean, r.ean_prod, r.facility_type_id, r.name, s.description
+        SELECT s.facility_id, r.ean, r.ean_prod,
+               CAST(r.facility_type_id AS INTEGER) AS facility_type_id, r.name, s.description
         FROM stored_facility s JOIN resolved_facility r ON r.facility_id = s.facility_id""",
     "k6_assigned_ids": """
         SELECT (SELECT max(facility_id) FROM stored_facility) + row_number() OVER (ORDER BY ean)
@@ -319,7 +323,7 @@ _BODIES = {
         FROM resolved_facility WHERE facility_id IS NULL""",
     "k7_contract_upsert": """
         SELECT r.facility_id, r.date_id, r.fuse_size, r.subscribed_power, r.connection_power,
-               s.account_nr, r.customer_type_id, r.product_id
+               s.account_nr, CAST(r.customer_type_id AS INTEGER) AS customer_type_id, r.product_id
         FROM resolved_contract r
         LEFT JOIN stored_contract s ON s.facility_id = r.facility_id AND s.date_id = r.date_id""",
     "u1_union_of_strategies": """
@@ -484,7 +488,9 @@ _BODIES = {
                i.external_id, i.name, i.description
         FROM product_drop i LEFT JOIN stored_product s ON s.external_id = i.external_id""",
     "j2_facility_import": _FACILITY_MERGED,
-    "j3_contract_import": f"SELECT {_CONTRACT} FROM resolved_contract",
+    "j3_contract_import": f"""
+        SELECT * REPLACE (CAST(customer_type_id AS INTEGER) AS customer_type_id)
+        FROM (SELECT {_CONTRACT} FROM resolved_contract)""",
     "j4_meter_import": f"SELECT {_METER} FROM meter",
     "j5_map_facilities": f"""
         SELECT coalesce(l.facility_id, s.facility_id) AS facility_id,
