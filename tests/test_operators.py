@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import date
 from decimal import Decimal
 
@@ -107,6 +108,18 @@ class TestChecks:
         assert sum(sizes) == 4000 and len(sizes) > 1
 
 
+    def test_checks_read_the_columns_they_need(self, spark, tmp_path):
+        path = str(tmp_path / "drop")
+        spark.sql("SELECT 'c' AS serie_type_code, 1 AS ean, DATE'2025-01-01' AS date_id, 1D AS serie_value, 's' AS status_id").write.parquet(path)
+        drop = spark.read.parquet(path)
+        plan = checks.drop_profile(drop, checks.METER_RULES)._jdf.queryExecution().executedPlan()
+        assert "status_id" not in plan.toString() and "serie_value" in plan.toString()
+        plan = checks.duplicate_counts(drop, checks.METER_RULES)._jdf.queryExecution().executedPlan()
+        assert "ReadSchema: struct<serie_type_code:string,ean:int,date_id:date>" in plan.toString()
+        # Counted in the tasks that read before anything is shuffled.
+        assert "partial_count(1)" in plan.toString()
+
+
 class TestUpsert:
     TABLE = struct(id=INT, a=STRING, b=INT)
 
@@ -124,6 +137,17 @@ class TestUpsert:
         rows = sorted(tuples(upsert.upsert_by_key(target, changes, ("id",))))
         assert rows == [(1, None, 1), (2, "y", 2), (3, "z", 3), (9, "new", None)]
 
+    def test_random_upserts(self, spark):
+        """Against a dict: a given value always wins, null included; other columns stay."""
+        rng = random.Random(5)
+        stored = {k: (rng.choice("xyz"), rng.randint(0, 9)) for k in rng.sample(range(300), 150)}
+        given = {k: rng.choice(["p", "q", None]) for k in rng.sample(range(300), 150)}
+        target = spark.createDataFrame([(k, *v) for k, v in stored.items()], self.TABLE)
+        changes = spark.createDataFrame(list(given.items()), "id int, a string")
+        expected = {**stored, **{k: (a, stored.get(k, (None, None))[1]) for k, a in given.items()}}
+        rows = upsert.upsert_by_key(target, changes, ("id",)).collect()
+        assert {r.id: (r.a, r.b) for r in rows} == expected and len(rows) == len(expected)
+
     def test_insert(self, spark, target):
         new = spark.createDataFrame([("w", 4.5)], "a string, b double")
         assert tuples(upsert.insert_rows(target.limit(0), new)) == [(None, "w", 4)]

@@ -284,12 +284,15 @@ def map_facilities(
     rule_set = grouping.prepare_rules(groups)
     assigned = staging.write(grouping.assign_groups(contracts, rule_set.rules))
     # Every contract has a row here, mapped or not: no separate join to see whether there are any.
-    if assigned.isEmpty():
+    is_unmapped = F.col("customer_group_id").isNull()
+    counts = assigned.agg(
+        F.count_if(is_unmapped).alias("unmapped"), F.count_if(~is_unmapped).alias("links")
+    ).first()
+    if counts.unmapped + counts.links == 0:
         return _finish(_failed(messages.NO_CONTRACTS), staging)
     links = grouping.links_of(assigned)
     unmapped = grouping.unmapped_of(assigned)
-    nr_unmapped = unmapped.count()
-    mapped = grouping.mapping_result(rule_set.skipped, nr_unmapped)
+    mapped = grouping.mapping_result(rule_set.skipped, counts.unmapped)
     warnings = () if mapped.ok else (mapped.short_msg,)
 
     duplicates = grouping.duplicate_links(links)
@@ -300,7 +303,7 @@ def map_facilities(
         return JobReport(result, warnings=warnings, violations=rows)
 
     inserted, updated = _merge_months(
-        store, "facility_customer_group_link", links, LINK.key, links.count()
+        store, "facility_customer_group_link", links, LINK.key, counts.links
     )
     text = messages.IMPORTED_IN_INTERVAL.format(
         new=inserted, known=updated, noun="facility customer group links", start=start, end=end
@@ -310,6 +313,6 @@ def map_facilities(
         inserted,
         updated,
         warnings,
-        ordered(unmapped, BY_MONTH) if nr_unmapped > 0 else None,
+        ordered(unmapped, BY_MONTH) if counts.unmapped > 0 else None,
     )
     return _finish(report, staging)
