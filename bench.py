@@ -65,6 +65,7 @@ def main() -> None:
         shuffle_partitions=cpus,
         **{
             "spark.driver.memory": "16g",
+            "spark.driver.extraJavaOptions": "-XX:+UseParallelGC",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },

@@ -18,11 +18,12 @@ def spark() -> SparkSession:
         master="local[4]",
         shuffle_partitions=4,
         **{
+            "spark.driver.memory": "4g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.sql.session.timeZone": "UTC",
             # Many small queries: compiling quickly beats compiling well.
-            "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1",
+            "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1 -XX:+UseParallelGC",
         },
     )
     session.sparkContext.setLogLevel("OFF")
