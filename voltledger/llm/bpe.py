@@ -327,22 +327,42 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, ROWS)
 
 
-def token_ids(docs: DataFrame, tokenizer_path: str, column: str = "ids") -> DataFrame:
-    """The rows with the ids of their texts as an added array column, which takes the place of a
-    column of the same name."""
+def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """The rows without ``text``, with the ids of their texts, their number and the hash of the text
+    they decode to as columns ids, n_tokens and decoded_sha256 (which replace columns of that name)."""
     from pyspark.sql import types as T
 
-    kept = [f for f in docs.schema.fields if f.name != column]
-    schema = T.StructType([*kept, T.StructField(column, T.ArrayType(T.IntegerType(), False))])
+    added = [
+        T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
+        T.StructField("n_tokens", T.LongType()),
+        T.StructField("decoded_sha256", T.StringType()),
+    ]
+    taken = {"text", *(f.name for f in added)}
+    kept = [f for f in docs.schema.fields if f.name not in taken]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, _ = load(tokenizer_path)
+        names = [*(f.name for f in kept), *(f.name for f in added)]
         for batch in batches:
-            ids = list(encode_column(batch.column("text"), tokenizer_path))
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
-            array = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, array], names=[*batch.schema.names, column]
-            )
-
-    return docs.select(*[f.name for f in kept]).mapInArrow(run, schema)
+            texts = batch.column("text")
+            ids = encode_column(texts, tokenizer_path)
+            # A few rows at a time: ids take more room than their text.
+            for first, last in slices(texts):
+                part = [next(ids) for _ in range(last - first)]
+                lengths = np.array([len(p) for p in part], np.int64)
+                ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+                decoded = [hashlib.sha256(model.decode(p).encode()).hexdigest() for p in part]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(f.name).slice(first, last - first) for f in kept),
+                        pa.ListArray.from_arrays(
+                            pa.array(ends), pa.array(np.concatenate(part).astype(np.int32))
+                        ),
+                        pa.array(lengths),
+                        pa.array(decoded, pa.string()),
+                    ],
+                    names=names,
+                )
+
+    columns = [*(f.name for f in kept), "text"]
+    return docs.select(*columns).mapInArrow(run, T.StructType([*kept, *added]))

@@ -6,33 +6,86 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltledger.llm import bpe, token_output
+from voltledger.llm import (
+    bpe,
+    embedding_dedup,
+    licenses,
+    mixing,
+    ngram_join,
+    quality,
+    secrets,
+    syncmers,
+    token_output,
+    toxicity,
+)
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Python workers import this package by the path the driver found it on.
+def ready(spark: SparkSession) -> None:
+    """Let Python workers import this package by the path the driver found it on."""
     root = str(Path(__file__).resolve().parents[2])
     spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return token_output.token_output(docs, _tokenizer("byte_bpe_50k.json"))
+    return token_output.token_output(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
 
 
 def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return bpe.encode_decode(docs, _tokenizer("word_bpe_49k.json"))
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op2_secret_scan": op2_secret_scan,
     "op3_bpe_encode_decode": op3_bpe_encode_decode,
+    "op4_source_mixing": op4_source_mixing,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_toxicity": op6_toxicity,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_license_scan": op8_license_scan,
+    "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_ngram_join": op10_ngram_join,
 }
