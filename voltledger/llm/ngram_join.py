@@ -30,7 +30,7 @@ from voltledger.sources.staging import Staging
 
 THRESHOLD = (4, 5)
 ROWS_PER_BAND = 5
-TARGET_RECALL = 0.9999
+TARGET_RECALL = 0.99999
 CHUNK = 256
 
 _CLASSED = "doc_id long, text_hash long, set_key string, shingles int, bands array<long>"
