@@ -119,7 +119,7 @@ def p_value(value: Column, name: Column) -> Column:
         lambda total, count: total + count * count,
     )
     chi = k / n * squares - n
-    chi_score = F.greatest((chi - (k - 1)) / F.sqrt((k - 1) * 2 * (n - 1) / n), zero)
+    chi_score = (chi - (k - 1)) / F.sqrt((k - 1) * 2 * (n - 1) / n)
 
     def walk(state: Column, x: Column) -> Column:
         high = (x >= k / 2).cast("double")
