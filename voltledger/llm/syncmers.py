@@ -82,7 +82,10 @@ def with_next(docs: DataFrame, staging: Staging) -> DataFrame:
             F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"),
         ).alias("key"),
     )
-    spread = keyed.select("key").repartitionByRange("key").groupBy(F.spark_partition_id().alias("part"))
+    # A number of its own, for keys alone are too small to tell how many buckets the texts need.
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = keyed.select("key").repartitionByRange(buckets, "key")
+    spread = spread.groupBy(F.spark_partition_id().alias("part"))
     ends = staging.write(spread.agg(F.min("key").alias("low"), F.max("key").alias("high")))
     lows = [row.low for row in ends.orderBy("low").collect()]
     if not lows:
