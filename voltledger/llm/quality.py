@@ -25,7 +25,7 @@ from voltledger.llm.text_batch import slices, words
 
 FOLDS = 5
 THRESHOLD = 0.3
-TRAINING_ROWS = 8000
+TRAINING_ROWS = 4000
 BUCKETS = 1 << 13
 RANK = 6
 EPOCHS = 12
@@ -71,7 +71,7 @@ class FactorisationMachine:
         self.linear = np.zeros(width)
         self.factors = random.normal(0, 0.05, (width, RANK))
 
-    def sums(self, x: np.ndarray, at: np.ndarray, value: np.ndarray, bounds: np.ndarray):
+    def sums(self, at: np.ndarray, value: np.ndarray, bounds: np.ndarray):
         """Linear score, and sum and sum of squares of each dimension, of each row."""
         part = self.factors[at] * value[:, None]
         starts = bounds[:-1]
@@ -79,9 +79,8 @@ class FactorisationMachine:
         squares = np.add.reduceat(part * part, starts, axis=0)
         return np.add.reduceat(self.linear[at] * value, starts), total, squares
 
-    def margin(self, features: Features, rows: slice = slice(None)) -> np.ndarray:
-        bounds = features.bounds
-        linear, total, squares = self.sums(None, features.index, features.value, bounds)
+    def margin(self, features: Features) -> np.ndarray:
+        linear, total, squares = self.sums(features.index, features.value, features.bounds)
         return linear + 0.5 * (total**2 - squares).sum(axis=1)
 
     def fit(self, features: Features, labels: np.ndarray) -> None:
@@ -99,7 +98,7 @@ class FactorisationMachine:
                 flat = np.concatenate(pieces)
                 at, value = features.index[flat], features.value[flat]
                 bounds = np.concatenate([[0], np.cumsum(lengths)])
-                linear, total, squares = self.sums(None, at, value, bounds)
+                linear, total, squares = self.sums(at, value, bounds)
                 margin = linear + 0.5 * (total**2 - squares).sum(axis=1)
                 error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[picked]) * balance[picked]
                 step = np.repeat(error / len(picked), lengths) * value
@@ -158,10 +157,10 @@ def score(docs: DataFrame, machine: FactorisationMachine | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = np.full(batch.num_rows, 0.5)
-            if machine is not None and batch.num_rows:
-                margin = machine.margin(Features(batch.column("text")))
-                scores = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+            scores, texts = np.full(batch.num_rows, 0.5), batch.column("text")
+            for first, last in slices(texts, 1 << 20) if machine is not None else ():
+                margin = machine.margin(Features(texts.slice(first, last - first)))
+                scores[first:last] = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(scores)], names=[*batch.schema.names, "score"]
             )
