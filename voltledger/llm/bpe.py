@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from voltledger.llm.text_batch import Memo, distinct, hash_spans, ranges, slices, words
 
-MEMO_WORDS = 1_500_000
+MEMO_WORDS = 500_000
 ROWS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 NEVER = np.int64(1) << 40
 _LATIN = re.compile("[\x00-\u024f]*")
