@@ -177,7 +177,7 @@ def test_random_strings_are_told_from_names(spark):
 def test_p_values_are_even_for_random_strings(spark):
     rnd = random.Random(4)
     rows = [("".join(rnd.choice("0123456789abcdef") for _ in range(40)),) for _ in range(3000)]
-    df = spark.createDataFrame(rows, "s string").select(secrets.p_value(F.col("s"), F.lit("hex")).alias("p"))
+    df = spark.createDataFrame(rows, "s string").select(secrets.p_value(F.col("s"), F.lit(secrets.ALPHABETS["hex"])).alias("p"))
     p = np.array([r.p for r in df.collect()])
     assert abs(p.mean() - 0.5) < 0.05 and abs((p > 0.5).mean() - 0.5) < 0.06
 

@@ -98,13 +98,20 @@ def _tail(score: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(score * score * score * 0.07056 + score * 1.5976))
 
 
-def p_value(value: Column, name: Column) -> Column:
-    """How likely three scores as bad as these are for even random symbols of the encoding."""
-    body = F.rtrim(F.translate(value, "-_", "+/"), F.lit("="))
-    body = F.when(name == "hex", F.lower(body)).otherwise(body)
+def _alphabet(name: Column) -> Column:
     alphabet = F.lit(ALPHABETS["base64"])
     for other in ("hex", "base32", "base36"):
         alphabet = F.when(name == other, ALPHABETS[other]).otherwise(alphabet)
+    return alphabet
+
+
+def _body(value: Column, name: Column) -> Column:
+    body = F.rtrim(F.translate(value, "-_", "+/"), F.lit("="))
+    return F.when(name == "hex", F.lower(body)).otherwise(body)
+
+
+def p_value(body: Column, alphabet: Column) -> Column:
+    """How likely three scores as bad as these are for even random symbols of the alphabet."""
     n, k = F.length(body).cast("double"), F.length(alphabet).cast("double")
     symbols = F.regexp_extract_all(alphabet, F.lit("."), F.lit(0))
     places = F.transform(
@@ -161,17 +168,25 @@ def p_value(value: Column, name: Column) -> Column:
 def _candidates(text: Column) -> Column:
     """Spans of candidates with their stratum (encoding and class of length) and p-value."""
     spans = _found(text, CANDIDATE, 3, lambda hit: encoding(hit).isNotNull())
-    return F.transform(
-        spans,
+    # One step at a time, so that each is computed once for a candidate and not for each symbol.
+    plain = lambda s: (s["start"], s["end"], s["kind"], s["value"])
+    named = F.transform(spans, lambda s: F.struct(*plain(s), encoding(s["value"]).alias("name")))
+    ready = F.transform(
+        named,
         lambda s: F.struct(
-            s["start"], s["end"], s["kind"], s["value"],
+            *plain(s),
             F.concat(
-                encoding(s["value"]), F.lit(":"),
+                s["name"], F.lit(":"),
                 F.floor(F.log2(F.length(s["value"]).cast("double")) * 2).cast("string"),
             ).alias("stratum"),
-            p_value(s["value"], encoding(s["value"])).alias("p"),
+            _alphabet(s["name"]).alias("alphabet"),
+            _body(s["value"], s["name"]).alias("body"),
         ),
     )
+    return F.transform(
+        ready,
+        lambda s: F.struct(*plain(s), s["stratum"], p_value(s["body"], s["alphabet"]).alias("p")),
+    )
 
 
 def cut_offs(docs: DataFrame) -> dict[str, float]:
