@@ -57,7 +57,7 @@ class TestProducts:
             "Found rows (2) with missing values in required columns ('external_id', 'name')!"
         )
         assert {tuple(r) for r in report.violations.collect()} == {
-            (None, "Low Voltage Subscribed Power"),
+            (None, "Capacity 400 V"),
             ("9001", None),
         }
         assert store.read("product").isEmpty()
@@ -72,10 +72,10 @@ class TestProducts:
 
     def test_name_taken_by_stored_product(self, store, fill, write_drop):
         fill(store, "product", golden.rows(golden.PRODUCTS)[:1])
-        drop = [{"external_id": "77", "name": "Apartment", "description": None}]
+        drop = [{"external_id": "77", "name": "Flat", "description": None}]
         report = jobs.import_products(store, write_drop(drop))
         assert not report.ok and "not unique" in report.result.short_msg
-        assert [r.name for r in report.violations.collect()] == ["Apartment"]
+        assert [r.name for r in report.violations.collect()] == ["Flat"]
         assert store.read("product").count() == 1
 
     def test_absent_description_is_kept(self, store, fill, write_drop):

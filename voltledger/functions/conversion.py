@@ -60,6 +60,18 @@ def cast_present(df: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
+def cast_in_place(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The frame with the columns of ``schema`` that it has cast to their types."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return df.withColumns(
+        {
+            f.name: cast_column(F.col(f.name), types[f.name], f.dataType)
+            for f in schema.fields
+            if f.name in types and types[f.name] != f.dataType
+        }
+    )
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """All columns of ``schema`` in its order; absent ones are null, the others are cast."""
     types = {f.name: f.dataType for f in df.schema.fields}

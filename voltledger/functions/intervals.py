@@ -11,7 +11,6 @@ minutes and seconds are elapsed time, which matters on the days the clock change
 
 from __future__ import annotations
 
-import re
 from datetime import UTC, datetime
 from typing import NamedTuple
 from zoneinfo import ZoneInfo
@@ -25,8 +24,7 @@ from voltledger import messages
 BUSINESS_TIMEZONE = "Europe/Stockholm"
 MONTHS_PER_UNIT = {"M": 1, "Y": 12}
 ELAPSED_UNITS = {"h": "hours", "m": "mins", "s": "secs"}
-# Searched, not matched in full: what follows a recognised point is ignored ("now+1min").
-RELATIVE_POINT = re.compile(r"(now|C[YMD])([+-])?(\d+)?([YMDhms])?")
+BASES = ("now", "CY", "CM", "CD")
 
 
 class IntervalError(ValueError):
@@ -65,12 +63,24 @@ def _shift_elapsed(base: Column, amount: int, unit: str, tz: str) -> Column:
     return F.convert_timezone(utc, zone, moved)
 
 
+def _read_offset(rest: str) -> tuple[str, str, str] | None:
+    """Sign, number and unit of what follows a base, each empty where it is not there. Text after
+    the unit is ignored ("now+1min" is one minute); None when nothing of an offset follows."""
+    sign = rest[:1] if rest[:1] in ("+", "-") else ""
+    rest = rest[len(sign) :]
+    number = rest[: len(rest) - len(rest.lstrip("0123456789"))]
+    unit = rest[len(number) :][:1]
+    if unit not in (*MONTHS_PER_UNIT, "D", *ELAPSED_UNITS):
+        unit = ""
+    return (sign, number, unit) if sign or number or unit else None
+
+
 def _relative_point(text: str, now: datetime, tz: str) -> Column | None:
     """Wall-clock timestamp in ``tz`` as a foldable expression, or None when not relative."""
-    match = RELATIVE_POINT.search(text)
-    if match is None:
+    base = next((b for b in BASES if text.startswith(b)), None)
+    if base is None:
         return None
-    base, sign, number, unit = match.groups()
+    offset = _read_offset(text[len(base) :])
     wall = _wall_literal(now)
     point = {
         "now": wall,
@@ -78,8 +88,9 @@ def _relative_point(text: str, now: datetime, tz: str) -> Column | None:
         "CM": F.trunc(F.to_date(wall), "month").cast("timestamp_ntz"),
         "CD": F.to_date(wall).cast("timestamp_ntz"),
     }[base]
-    if sign is None and number is None and unit is None:
+    if offset is None:
         return point
+    sign, number, unit = offset
     if not (sign and number and unit and int(number)):
         raise IntervalError(messages.INVALID_RELATIVE_POINT.format(text=text))
     amount = int(sign + number)

@@ -9,15 +9,18 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from datetime import date, datetime
+from functools import wraps
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from voltledger import messages
+from voltledger import messages, schemas
+from voltledger.functions.conversion import cast_in_place
 from voltledger.functions.intervals import BUSINESS_TIMEZONE, resolve_interval
 from voltledger.functions.ordering import ordered
 from voltledger.operators import checks, constraints, grouping, resolve, upsert
-from voltledger.results import JobReport, OperationResult
+from voltledger.results import SPARK_ERRORS, JobReport, OperationResult
 from voltledger.schemas import FACILITY, FACILITY_CONTRACT, LINK, PRODUCT
 from voltledger.sinks.meter_store import write_meter_store
 from voltledger.sources import tables
@@ -57,17 +60,34 @@ def _finish(report: JobReport, staging: Staging) -> JobReport:
 
 
 def _load(
-    store: TableStore, path: str, method: str, rules: checks.DropRules
+    store: TableStore, path: str, method: str, rules: checks.DropRules, schema: T.StructType
 ) -> tuple[DataFrame | None, checks.CheckedDrop]:
+    """The drop in the types it is stored in, and its checks: what becomes equal or null by the cast
+    counts as such."""
     drop, result = load_drop(store.spark, path, method)
     if not result.ok:
         return None, checks.CheckedDrop(result)
+    drop = cast_in_place(drop, schema)
     return drop, checks.check_drop(drop, rules)
 
 
+def _reported(job):
+    """A job whose data make Spark fail (a text where a number must be) ends with a failed result."""
+
+    @wraps(job)
+    def run(*args, **kwargs) -> JobReport:
+        try:
+            return job(*args, **kwargs)
+        except SPARK_ERRORS as e:
+            return JobReport(OperationResult.from_error("Could not process the data!", e))
+
+    return run
+
+
+@_reported
 def import_products(store: TableStore, path: str, method: str = "file") -> JobReport:
     """Insert new products and update the known ones."""
-    drop, checked = _load(store, path, method, checks.PRODUCT_RULES)
+    drop, checked = _load(store, path, method, checks.PRODUCT_RULES, schemas.PRODUCT_DROP)
     if not checked.result.ok:
         return _rejected(checked)
 
@@ -93,9 +113,10 @@ def _imported(nr_new: int, checked: checks.CheckedDrop, noun: str) -> JobReport:
     return JobReport(OperationResult(short_msg=text), nr_new, nr_known)
 
 
+@_reported
 def import_facilities(store: TableStore, path: str, method: str = "file") -> JobReport:
     """Insert new facilities and update the known ones."""
-    drop, checked = _load(store, path, method, checks.FACILITY_RULES)
+    drop, checked = _load(store, path, method, checks.FACILITY_RULES, schemas.FACILITY_DROP)
     if not checked.result.ok:
         return _rejected(checked)
 
@@ -146,9 +167,10 @@ def _merge_months(
     return inserted, nr_changes - inserted
 
 
+@_reported
 def import_contracts(store: TableStore, path: str, method: str = "file") -> JobReport:
     """Insert new facility contracts and update the known ones of the same facility and month."""
-    drop, checked = _load(store, path, method, checks.CONTRACT_RULES)
+    drop, checked = _load(store, path, method, checks.CONTRACT_RULES, schemas.CONTRACT_DROP)
     if not checked.result.ok:
         return _rejected(checked)
     first, last = checked.profile.first_date, checked.profile.last_date
@@ -186,6 +208,7 @@ def import_contracts(store: TableStore, path: str, method: str = "file") -> JobR
     return _finish(report, staging)
 
 
+@_reported
 def import_meter_rows(
     drop: DataFrame, facilities: DataFrame, serie_types: DataFrame, root: str
 ) -> JobReport:
@@ -194,6 +217,7 @@ def import_meter_rows(
     Nothing is staged: counting what cannot be resolved needs only the distinct keys, and the rows
     themselves are read, joined and written in one go.
     """
+    drop = cast_in_place(drop, schemas.METER_DROP)
     checked = checks.check_drop(drop, checks.METER_RULES)
     if not checked.result.ok:
         return _rejected(checked)
@@ -251,6 +275,7 @@ def import_meter_data(
     return MeterImportReport(OperationResult(short_msg=text), reports)
 
 
+@_reported
 def map_facilities(
     store: TableStore,
     interval: str = "CM-1M..CM",

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from voltledger.functions.intervals import BUSINESS_TIMEZONE
+
 # Adaptive execution carries the scaling: it coalesces small shuffle partitions, splits skewed
 # join partitions and rebalanced partitions by size, and switches to broadcast joins when the
 # measured size of a side is below Spark's own threshold.
 SCALE_SETTINGS = {
+    # Months of zoned drops begin at midnight of the business zone.
+    "spark.sql.session.timeZone": BUSINESS_TIMEZONE,
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -15,16 +15,33 @@ MONTH_COLUMN = "date_id"
 NANOS_AS_LONG = "spark.sql.legacy.parquet.nanosAsLong"
 
 
+class MonthTypeError(ValueError):
+    """The months of a drop are plain numbers, which do not say what they count."""
+
+
 def scan_files(spark: SparkSession, *paths: str) -> DataFrame:
     """The parquet files of a drop as one frame.
 
     The files may differ in their optional columns, so their schemas are merged. Timestamps in
-    nanoseconds, which Spark refuses, are read as numbers; a month column of numbers is turned back
-    into timestamps.
+    nanoseconds, which Spark refuses, are read as numbers; a month column of them is turned back
+    into timestamps. A month column that is a number in the file itself is an error.
     """
-    spark.conf.set(NANOS_AS_LONG, "true")
-    df = spark.read.option("mergeSchema", True).parquet(*paths)
-    if MONTH_COLUMN in df.columns and isinstance(df.schema[MONTH_COLUMN].dataType, T.LongType):
+    reader = spark.read.option("mergeSchema", True)
+    spark.conf.set(NANOS_AS_LONG, "false")
+    try:
+        df, nanos = reader.parquet(*paths), False
+    except SPARK_ERRORS:
+        nanos = True
+    finally:
+        spark.conf.set(NANOS_AS_LONG, "true")
+    if nanos:
+        df = reader.parquet(*paths)
+    if MONTH_COLUMN not in df.columns:
+        return df
+    kind = df.schema[MONTH_COLUMN].dataType
+    if isinstance(kind, T.NumericType) and not (nanos and isinstance(kind, T.LongType)):
+        raise MonthTypeError(f'"{MONTH_COLUMN}" must be a date or a timestamp, not a number!')
+    if nanos and isinstance(kind, T.LongType):
         moment = F.expr(
             f"timestampadd(MICROSECOND, {MONTH_COLUMN} DIV 1000, TIMESTAMP_NTZ'1970-01-01')"
         )
@@ -45,6 +62,8 @@ def read_drop(spark: SparkSession, path: str) -> tuple[DataFrame | None, Operati
     pattern = f"{path.rstrip('/')}/*.parquet" if directory else path
     try:
         df = scan_files(spark, pattern)
+    except MonthTypeError as e:
+        return None, OperationResult.failed(f'Could not read parquet files from "{pattern}"!', str(e))
     except SPARK_ERRORS as e:
         return None, OperationResult.from_error(f'Could not read parquet files from "{pattern}"!', e)
     if not df.columns:
