@@ -98,3 +98,33 @@ def test_archived_files_are_not_needed_again(spark, run, write_drop, tmp_path):
 def test_no_files(run):
     (report,) = run()
     assert not report.ok and run.source in report.result.short_msg
+
+
+def test_rejected_drop_passes_once_its_facility_exists(spark, run, store, fill, write_drop):
+    """The good file of the drop is not lost either, and no new file is needed."""
+    rows = golden.meter_drop(golden.ACTIVE_ENERGY)
+    known = store.read("facility").where("facility_id > 1").collect()
+    everyone = golden.rows(golden.FACILITIES, "facility_type_code")
+    fill(store, "facility", [row.asDict() for row in known])
+    write_drop(rows[:1], path=run.source)
+    write_drop(rows[1:], path=run.source)
+    assert [report.ok for report in run()] == [False]
+    assert [report.ok for report in run()] == [False]
+    fill(store, "facility", everyone)
+    assert [report.ok for report in run()] == [True]
+    assert stored(spark, run.root) == golden.stored_meter_rows(golden.ACTIVE_ENERGY)
+    assert run() == []
+
+
+def test_rejected_drop_never_overwrites_a_newer_one(spark, run, store, fill, write_drop):
+    rows = golden.meter_drop(golden.ACTIVE_ENERGY)
+    everyone = golden.rows(golden.FACILITIES, "facility_type_code")
+    old = [{**rows[0], "serie_value": 77.0}, {**rows[1], "ean": 1}]
+    write_drop(old, path=run.source)
+    run()
+    write_drop(rows, path=run.source)
+    (report,) = run()
+    assert report.ok and "not tried again" in report.warnings[0]
+    fill(store, "facility", [*everyone, {**everyone[0], "facility_id": 99, "ean": 1}])
+    assert run() == []
+    assert stored(spark, run.root) == golden.stored_meter_rows(golden.ACTIVE_ENERGY)

@@ -49,19 +49,26 @@ CUSTOMER_GROUPS = (
     (17, "no_product", None, None, None, None, None, None, True, True, 1, None, None, None, 4, "product"),
     (18, "no_minimum", None, 100, None, None, None, None, True, True, 1, None, None, None, 1, "fuse_size"),
 )
-# Groups of which a contract matches at most one; the two without parameters are among them.
+# A rule table whose conditions exclude one another; two rules lack a parameter. A contract has either a
+# fuse or a subscribed power.
 DISJOINT_GROUPS = (
-    "16_A",
-    "20_A",
-    "25_A",
-    "63_A",
-    "ge_125_A",
-    "300_500_kW",
-    "500_1000_kW",
-    "production_lt_1000_kW",
-    "production_ge_1000_kW",
-    "no_product",
-    "no_minimum",
+    (1, "economy", None, None, None, None, None, None, True, True, 1, None, 1, None, 4, "product"),
+    (2, "16_A", 16, 16, None, None, None, None, True, True, 1, None, None, 1, 1, "fuse_size"),
+    (3, "20_A_25_A", 20, 25, None, None, None, None, True, True, 1, None, None, 1, 1, "fuse_size"),
+    (4, "35_A", 25, 35, None, None, None, None, False, True, 1, None, None, 1, 1, "fuse_size"),
+    (5, "50_A", 50, 63, None, None, None, None, True, False, 1, None, None, 1, 1, "fuse_size"),
+    (6, "63_A_private", 63, 80, None, None, None, None, True, False, 1, 1, None, 1, 1, "fuse_size"),
+    (7, "63_A_company", 50, 63, None, None, None, None, False, True, 1, 2, None, 1, 1, "fuse_size"),
+    (8, "80_A", 63, 125, None, None, None, None, False, False, 1, None, None, 1, 1, "fuse_size"),
+    (9, "ge_125_A", 125, None, None, None, None, None, True, True, 1, None, None, 1, 1, "fuse_size"),
+    (10, "80_300_kW", None, None, 80.0, 300.0, None, None, True, True, 1, None, None, 1, 2, "subscribed_power"),
+    (11, "300_1000_kW", None, None, 300.0, 1000.0, None, None, False, False, 1, None, None, 1, 2, "subscribed_power"),
+    (12, "ge_1000_kW", None, None, 1000.0, None, None, None, True, True, 1, None, None, 1, 2, "subscribed_power"),
+    (13, "production_lt_1000_kW", None, None, None, None, 0.0, 1000.0, True, False, 2, None, None, 4, 3, "connection_power"),
+    (14, "production_ge_1000_kW", None, None, None, None, 1000.0, None, True, True, 2, None, None, 4, 3, "connection_power"),
+    (15, "production_promo", None, None, None, None, None, None, True, True, 2, None, 4, None, 4, "product"),
+    (16, "no_product", None, None, None, None, None, None, True, True, 1, None, None, None, 4, "product"),
+    (17, "no_minimum", None, 100, None, None, None, None, True, True, 1, None, None, None, 1, "fuse_size"),
 )
 GROUP_COLUMNS = (
     "customer_group_id",
@@ -87,9 +94,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def customer_groups(spark: SparkSession) -> DataFrame:
+def customer_groups(spark: SparkSession, groups: tuple[tuple, ...] = CUSTOMER_GROUPS) -> DataFrame:
     """The rule table with strategy codes; the name repeats the code."""
-    rows = [dict(zip(GROUP_COLUMNS, values, strict=True)) for values in CUSTOMER_GROUPS]
+    rows = [dict(zip(GROUP_COLUMNS, values, strict=True)) for values in groups]
     rows = [{**row, "name": row["code"]} for row in rows]
     columns = {f.name: f.dataType for f in CUSTOMER_GROUP.schema.fields}
     return local_table(spark, rows, struct(**columns, mapping_strategy_code=STRING))

@@ -43,6 +43,8 @@ _TABLES = {
     "serie_type": _code_table(SERIE_TYPES, "serie_type_id"),
     "customer_group": f"""
         SELECT * FROM (VALUES {_values(a.CUSTOMER_GROUPS)}) AS t({', '.join(a.GROUP_COLUMNS)})""",
+    "disjoint_group": f"""
+        SELECT * FROM (VALUES {_values(a.DISJOINT_GROUPS)}) AS t({', '.join(a.GROUP_COLUMNS)})""",
     "facility": f"""
         SELECT c_custkey + 1 AS facility_id, {a.EAN_BASE} + c_custkey AS ean,
                CASE WHEN c_custkey % 7 = 0 THEN {a.EAN_PROD_BASE} + c_custkey END AS ean_prod,
@@ -220,6 +222,7 @@ _TABLES = {
                            ELSE c.connection_power < g.max_connection_power END)
              END""",
 }
+_TABLES["disjointly_assigned"] = _TABLES["assigned"].replace("customer_group g", "disjoint_group g")
 
 
 def _sql(body: str) -> str:
@@ -233,7 +236,9 @@ _CONTRACT = (
     "facility_id, date_id, fuse_size, subscribed_power, connection_power, account_nr, "
     "customer_type_id, product_id"
 )
-
+_ALL_CONTRACTS = f"""
+    SELECT * REPLACE (CAST(customer_type_id AS INTEGER) AS customer_type_id)
+    FROM (SELECT {_CONTRACT} FROM resolved_contract)"""
 _METER = "facility_id, ean, serie_value, status_id, serie_type_code, date_id"
 _LINK_SPLIT = """
     SELECT CAST(l.facility_id AS INTEGER) AS facility_id, l.date_id, l.customer_group_id
@@ -480,6 +485,7 @@ _BODIES = {
             WHERE product_id NOT IN (SELECT product_id FROM product)
         ) WHERE nr_violations > 0""",
     "t1_incremental_import": f"SELECT {_METER} FROM meter",
+    "t1_rejected_then_fixed": f"SELECT {_METER} FROM meter",
     "t2_month_correction": _CORRECTED_STORE,
     "j1_product_import": """
         SELECT CAST(coalesce(s.product_id, (SELECT max(product_id) FROM stored_product)
@@ -488,18 +494,19 @@ _BODIES = {
                i.external_id, i.name, i.description
         FROM product_drop i LEFT JOIN stored_product s ON s.external_id = i.external_id""",
     "j2_facility_import": _FACILITY_MERGED,
-    "j3_contract_import": f"""
-        SELECT * REPLACE (CAST(customer_type_id AS INTEGER) AS customer_type_id)
-        FROM (SELECT {_CONTRACT} FROM resolved_contract)""",
+    "j3_contract_import": _ALL_CONTRACTS,
+    "k9_contract_correction": _ALL_CONTRACTS,
+    "j5_mapping_refused": f"""
+        SELECT facility_id, date_id, count(*) AS nr_duplicates FROM assigned
+        WHERE customer_group_id IS NOT NULL AND {_J5_RANGE} GROUP BY ALL HAVING count(*) > 1""",
     "j4_meter_import": f"SELECT {_METER} FROM meter",
     "j5_map_facilities": f"""
         SELECT coalesce(l.facility_id, s.facility_id) AS facility_id,
                coalesce(l.date_id, s.date_id) AS date_id,
                coalesce(l.customer_group_id, s.customer_group_id) AS customer_group_id
         FROM (
-            SELECT facility_id, date_id, customer_group_id FROM assigned
-            JOIN customer_group g USING (customer_group_id)
-            WHERE g.code IN {a.DISJOINT_GROUPS} AND {_J5_RANGE}
+            SELECT facility_id, date_id, customer_group_id FROM disjointly_assigned
+            WHERE customer_group_id IS NOT NULL AND {_J5_RANGE}
         ) l
         FULL JOIN stored_link s ON s.facility_id = l.facility_id AND s.date_id = l.date_id""",
 }

@@ -478,6 +478,19 @@ def _streamed_store(spark, sf_dir, label: str, drops: list[Callable]) -> DataFra
     return read_meter_store(spark, root)
 
 
+def t1_rejected_then_fixed(spark, sf_dir):
+    """A drop with unknown facilities is rejected, and imported once they exist: no new file arrives."""
+    store, staging = _seeded(spark, "t1-fixed", "serie_type")
+    store.commit("facility", a.stored_facilities(spark, sf_dir))
+    source, root = _drop(a.meter_drop(spark, sf_dir), staging), staging.path("meter_data")
+    (report,) = import_new_meter_drops(store, source, root, staging.path("checkpoint"))
+    assert not report.ok
+    store.commit("facility", a.facilities(spark, sf_dir))
+    (report,) = import_new_meter_drops(store, source, root, staging.path("checkpoint"))
+    assert report.ok, report.result
+    return read_meter_store(spark, root)
+
+
 def _months(drop: Callable, condition: str) -> Callable:
     return lambda spark, sf_dir: drop(spark, sf_dir).where(condition)
 
@@ -496,9 +509,9 @@ def t2_month_correction(spark, sf_dir):
 # --- jobs ------------------------------------------------------------------------------------
 
 
-def _drop(df: DataFrame, staging: Staging) -> str:
-    path = staging.path("drop")
-    df.write.parquet(path)
+def _drop(df: DataFrame, staging: Staging, name: str = "drop") -> str:
+    path = staging.path(name)
+    df.write.mode("append").parquet(path)
     return path
 
 
@@ -529,29 +542,63 @@ def j3_contract_import(spark, sf_dir):
     return store.read("facility_contract")
 
 
+def k9_contract_correction(spark, sf_dir):
+    """Older contracts first, then all of them as one more file of the same directory: only the new
+    file is imported, and a third run finds none."""
+    store, staging = _seeded(spark, "k9", "customer_type")
+    store.commit("product", a.products(spark, sf_dir))
+    store.commit("facility", a.facilities(spark, sf_dir))
+    drop = a.contract_drop(spark, sf_dir)
+    older = drop.where(F.col("date_id") < F.lit(a.STORED_UNTIL).cast("date"))
+    path = _drop(older.withColumn("fuse_size", F.lit(10)), staging)
+    _checked(jobs.import_contracts(store, path))
+    _drop(drop, staging)
+    _checked(jobs.import_contracts(store, path))
+    assert not jobs.import_contracts(store, path).ok
+    return store.read("facility_contract")
+
+
 def j4_meter_import(spark, sf_dir):
+    """Two sources that pass and one, with unknown facilities and days inside the month, that does not."""
     store, staging = _seeded(spark, "j4", "serie_type")
     store.commit("facility", a.facilities(spark, sf_dir))
-    root = staging.path("meter_data")
-    path = _drop(a.meter_drop(spark, sf_dir), staging)
-    report = jobs.import_meter_data(store, root, {"active_energy_cons": path})
+    root, drop = staging.path("meter_data"), a.meter_drop(spark, sf_dir)
+    paths = {
+        source: _drop(drop.where(F.col("serie_type_code") == source), staging, source)
+        for source in ("active_energy_cons", "max_active_power_cons")
+    }
+    paths["active_energy_prod"] = _drop(a.raw_meter_drop(spark, sf_dir), staging, "raw")
+    report = jobs.import_meter_data(store, root, paths)
     assert report.ok, report.result
+    assert not report.sources["active_energy_prod"].ok
     return read_meter_store(spark, root)
 
 
-def j5_map_facilities(spark, sf_dir):
-    """Only the groups that cannot both match a contract, so that the job does not refuse."""
+def _mapping(spark, sf_dir, groups: DataFrame) -> tuple[TableStore, JobReport]:
     store, _ = _seeded(spark, "j5", "facility_type", "customer_group_mapping_strategy")
     store.commit("facility", a.facilities(spark, sf_dir))
     store.commit("facility_contract", a.contracts(spark, sf_dir))
     store.commit("facility_customer_group_link", a.stored_links(spark, sf_dir))
-    store.commit(
-        "customer_group", a.customer_groups(spark).where(F.col("code").isin(*a.DISJOINT_GROUPS))
-    )
-    _checked(jobs.map_facilities(store, f"{RANGE_FIRST}..{date(1998, 1, 1)}"))
+    store.commit("customer_group", groups)
+    return store, jobs.map_facilities(store, f"{RANGE_FIRST}..{date(1998, 1, 1)}")
+
+
+def j5_map_facilities(spark, sf_dir):
+    """Rules that exclude one another, so that the job does not refuse."""
+    store, report = _mapping(spark, sf_dir, a.customer_groups(spark, a.DISJOINT_GROUPS))
+    _checked(report)
     return store.read("facility_customer_group_link")
 
 
+def j5_mapping_refused(spark, sf_dir):
+    """Rules that overlap: nothing is stored, and the double links are handed out."""
+    store, report = _mapping(spark, sf_dir, a.customer_groups(spark))
+    assert not report.ok
+    stored = store.read("facility_customer_group_link")
+    assert stored.where(F.col("customer_group_id") != 99).isEmpty()
+    return report.violations
+
+
 def flagship(spark, sf_dir):
     """Which customer group does each facility belong to each month, and what is left over?"""
     return _assigned(spark, sf_dir)
@@ -617,12 +664,15 @@ QUERIES: dict[str, Query] = {
         c2_foreign_key_violations,
         c3_c4_table_violations,
         t1_incremental_import,
+        t1_rejected_then_fixed,
         t2_month_correction,
         j1_product_import,
         j2_facility_import,
         j3_contract_import,
         j4_meter_import,
         j5_map_facilities,
+        j5_mapping_refused,
+        k9_contract_correction,
     )
 } | {
     "m6_map_by_product": _by_strategy("product"),

@@ -10,8 +10,9 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from datetime import date, datetime
 from functools import wraps
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +26,7 @@ from voltledger.schemas import FACILITY, FACILITY_CONTRACT, LINK, PRODUCT
 from voltledger.sinks.meter_store import write_meter_store
 from voltledger.sources import tables
 from voltledger.sources.drops import load_drop
+from voltledger.sources.ledger import DropLedger
 from voltledger.sources.staging import Staging
 from voltledger.sources.tables import TableStore
 
@@ -52,23 +54,44 @@ def _rejected(checked: checks.CheckedDrop) -> JobReport:
     return JobReport(checked.result, violations=checked.violations)
 
 
-def _finish(report: JobReport, staging: Staging) -> JobReport:
-    """Staged rows stay as long as the report refers to them."""
-    if report.violations is None:
-        staging.drop()
-    return report
+class Drop(NamedTuple):
+    """The rows of a drop that were not imported before, and the files they come from."""
+
+    rows: DataFrame | None
+    result: OperationResult
+    ledger: DropLedger
+    files: list[Row] | None = None
+
+    def done(self) -> None:
+        self.ledger.enter(self.files)
+
+
+def _open(store: TableStore, path: str, method: str, job: str) -> Drop:
+    """Of a directory the files that ``job`` has not imported yet; a path that names a file, that file."""
+    ledger, files = DropLedger(store, job), None
+    if method == "file":
+        try:
+            files = ledger.unseen(path)
+        except SPARK_ERRORS as e:
+            text = f'Could not read parquet files from "{path}"!'
+            return Drop(None, OperationResult.from_error(text, e), ledger)
+        if files == []:
+            return Drop(None, OperationResult.failed(f'No new parquet files in "{path}"!'), ledger)
+    names = None if files is None else [file.file for file in files]
+    rows, result = load_drop(store.spark, path, method, names)
+    return Drop(rows, result, ledger, files)
 
 
 def _load(
-    store: TableStore, path: str, method: str, rules: checks.DropRules, schema: T.StructType
-) -> tuple[DataFrame | None, checks.CheckedDrop]:
+    store: TableStore, path: str, method: str, rules: checks.DropRules, schema: T.StructType, job: str
+) -> tuple[Drop, checks.CheckedDrop]:
     """The drop in the types it is stored in, and its checks: what becomes equal or null by the cast
     counts as such."""
-    drop, result = load_drop(store.spark, path, method)
-    if not result.ok:
-        return None, checks.CheckedDrop(result)
-    drop = cast_in_place(drop, schema)
-    return drop, checks.check_drop(drop, rules)
+    drop = _open(store, path, method, job)
+    if not drop.result.ok:
+        return drop, checks.CheckedDrop(drop.result)
+    drop = drop._replace(rows=cast_in_place(drop.rows, schema))
+    return drop, checks.check_drop(drop.rows, rules)
 
 
 def _reported(job):
@@ -84,27 +107,77 @@ def _reported(job):
     return run
 
 
-@_reported
-def import_products(store: TableStore, path: str, method: str = "file") -> JobReport:
+def _staged(label: str):
+    """Give a job a staging folder. It is gone when the job ends, by an error too, unless the report
+    hands out rows: then closing the report removes it."""
+
+    def wrap(job):
+        reported = _reported(job)
+
+        @wraps(job)
+        def run(store: TableStore, *args, **kwargs) -> JobReport:
+            staging, report = Staging(store.spark, label), None
+            try:
+                report = reported(store, *args, staging=staging, **kwargs)
+                return report
+            finally:
+                if report is None or report.violations is None:
+                    staging.drop()
+                else:
+                    report.on_close = staging.drop
+
+        return run
+
+    return wrap
+
+
+def _lacking(name: str, new: DataFrame, known: DataFrame) -> JobReport | None:
+    """A failed report if columns are missing that inserts or updates of the table need."""
+    for result in (upsert.check_insert_columns(name, new), upsert.check_update_columns(name, known)):
+        if not result.ok:
+            return JobReport(result)
+    return None
+
+
+def _commit_unique(
+    store: TableStore, table: schemas.Table, merged: DataFrame, staging: Staging
+) -> JobReport | None:
+    """Publish a table if its unique columns are unique, else a failed report with what repeats."""
+    merged = staging.write(merged)
+    for cols in (table.key, *table.unique):
+        repeated = constraints.unique_violations(merged, cols)
+        if not repeated.isEmpty():
+            what = "names" if cols == ("name",) else f"values of {cols}"
+            return _failed(f'Unable to save to table "{table.name}", {what} are not unique!', repeated)
+    store.commit(table.name, merged)
+    return None
+
+
+@_staged("products")
+def import_products(
+    store: TableStore, path: str, method: str = "file", *, staging: Staging
+) -> JobReport:
     """Insert new products and update the known ones."""
-    drop, checked = _load(store, path, method, checks.PRODUCT_RULES, schemas.PRODUCT_DROP)
+    drop, checked = _load(
+        store, path, method, checks.PRODUCT_RULES, schemas.PRODUCT_DROP, "product"
+    )
     if not checked.result.ok:
         return _rejected(checked)
 
-    staging = Staging(store.spark, "products")
     stored = store.read("product")
-    resolved = staging.write(resolve.resolve_products(drop, stored))
+    resolved = staging.write(resolve.resolve_products(drop.rows, stored))
     new, known = resolve.split_products(resolved)[:2]
+    if (lacking := _lacking("product", new, known)) is not None:
+        return lacking
     nr_new = new.count()
     numbered = upsert.assign_ids(
         new, "external_id", "product_id", upsert.max_id(stored, "product_id") + 1, staging
     )
     merged = upsert.upsert_by_key(stored, known.unionByName(numbered), PRODUCT.key)
-    taken = constraints.unique_violations(merged, ("name",))
-    if not taken.isEmpty():
-        return _failed('Unable to save to table "product", names are not unique!', taken)
-    store.commit("product", merged)
-    return _finish(_imported(nr_new, checked, "products"), staging)
+    if (refused := _commit_unique(store, PRODUCT, merged, staging)) is not None:
+        return refused
+    drop.done()
+    return _imported(nr_new, checked, "products")
 
 
 def _imported(nr_new: int, checked: checks.CheckedDrop, noun: str) -> JobReport:
@@ -113,19 +186,24 @@ def _imported(nr_new: int, checked: checks.CheckedDrop, noun: str) -> JobReport:
     return JobReport(OperationResult(short_msg=text), nr_new, nr_known)
 
 
-@_reported
-def import_facilities(store: TableStore, path: str, method: str = "file") -> JobReport:
+@_staged("facilities")
+def import_facilities(
+    store: TableStore, path: str, method: str = "file", *, staging: Staging
+) -> JobReport:
     """Insert new facilities and update the known ones."""
-    drop, checked = _load(store, path, method, checks.FACILITY_RULES, schemas.FACILITY_DROP)
+    drop, checked = _load(
+        store, path, method, checks.FACILITY_RULES, schemas.FACILITY_DROP, "facility"
+    )
     if not checked.result.ok:
         return _rejected(checked)
 
-    staging = Staging(store.spark, "facilities")
     stored = store.read("facility")
     resolved = staging.write(
-        resolve.resolve_facilities(drop, stored, store.read("facility_type"))
+        resolve.resolve_facilities(drop.rows, stored, store.read("facility_type"))
     )
     new, known, invalid = resolve.split_facilities(resolved)
+    if (lacking := _lacking("facility", new, known)) is not None:
+        return lacking
     counts = resolved.agg(
         F.count_if(F.col("facility_id").isNull()).alias("new"),
         F.count_if(F.col("facility_type_id").isNull()).alias("invalid"),
@@ -136,10 +214,11 @@ def import_facilities(store: TableStore, path: str, method: str = "file") -> Job
     numbered = upsert.assign_ids(
         new, "ean", "facility_id", upsert.max_id(stored, "facility_id") + 1, staging
     )
-    # EAN codes stay unique: the drop has no duplicates and stored codes were joined to their row.
     merged = upsert.upsert_by_key(stored, known.unionByName(numbered), FACILITY.key)
-    store.commit("facility", merged)
-    return _finish(_imported(counts.new, checked, "facilities"), staging)
+    if (refused := _commit_unique(store, FACILITY, merged, staging)) is not None:
+        return refused
+    drop.done()
+    return _imported(counts.new, checked, "facilities")
 
 
 def _months(df: DataFrame) -> list[date]:
@@ -156,31 +235,28 @@ def _merge_months(
         return 0, 0
     stored = store.read(name, months)
     before = stored.count()
-    # A month that arrives for the first time needs no join with what is stored.
-    merged = (
-        upsert.upsert_by_key(stored, changes, key)
-        if before > 0
-        else upsert.insert_rows(stored, changes)
-    )
-    store.commit(name, merged)
+    store.commit(name, upsert.upsert_by_key(stored, changes, key))
     inserted = store.read(name, months).count() - before
     return inserted, nr_changes - inserted
 
 
-@_reported
-def import_contracts(store: TableStore, path: str, method: str = "file") -> JobReport:
+@_staged("contracts")
+def import_contracts(
+    store: TableStore, path: str, method: str = "file", *, staging: Staging
+) -> JobReport:
     """Insert new facility contracts and update the known ones of the same facility and month."""
-    drop, checked = _load(store, path, method, checks.CONTRACT_RULES, schemas.CONTRACT_DROP)
+    drop, checked = _load(
+        store, path, method, checks.CONTRACT_RULES, schemas.CONTRACT_DROP, "facility_contract"
+    )
     if not checked.result.ok:
         return _rejected(checked)
     first, last = checked.profile.first_date, checked.profile.last_date
     if first is None:
         return _failed(messages.NO_IMPORT_INTERVAL)
 
-    staging = Staging(store.spark, "contracts")
     resolved = staging.write(
         resolve.resolve_contracts(
-            drop, store.read("facility"), store.read("customer_type"), store.read("product")
+            drop.rows, store.read("facility"), store.read("customer_type"), store.read("product")
         )
     )
     counts = resolved.agg(
@@ -194,18 +270,17 @@ def import_contracts(store: TableStore, path: str, method: str = "file") -> JobR
         rows = ordered(resolve.contracts_with_unknown_ean(resolved), BY_EAN)
         return _failed(messages.UNKNOWN_EAN.format(n=counts.ean), rows)
 
+    rows = resolve.contract_rows(resolved)
+    if (lacking := _lacking("facility_contract", rows, rows)) is not None:
+        return lacking
     inserted, updated = _merge_months(
-        store,
-        "facility_contract",
-        resolve.contract_rows(resolved),
-        FACILITY_CONTRACT.key,
-        checked.profile.nr_rows,
+        store, "facility_contract", rows, FACILITY_CONTRACT.key, checked.profile.nr_rows
     )
+    drop.done()
     text = messages.IMPORTED_IN_INTERVAL.format(
         new=inserted, known=updated, noun="facility contracts", start=first, end=last
     )
-    report = JobReport(OperationResult(short_msg=text), inserted, updated)
-    return _finish(report, staging)
+    return JobReport(OperationResult(short_msg=text), inserted, updated)
 
 
 @_reported
@@ -262,12 +337,13 @@ def import_meter_data(
             text = f'No path is configured for the meter data source "{source}"!'
             reports[source] = _failed(text)
             continue
-        drop, result = load_drop(store.spark, paths[source], method)
-        reports[source] = (
-            import_meter_rows(drop, facilities, serie_types, root)
-            if result.ok
-            else JobReport(result)
-        )
+        drop = _open(store, paths[source], method, f"meter_data/{source}")
+        if not drop.result.ok:
+            reports[source] = JobReport(drop.result)
+            continue
+        reports[source] = import_meter_rows(drop.rows, facilities, serie_types, root)
+        if reports[source].ok:
+            drop.done()
     done = tuple(name for name, report in reports.items() if report.ok)
     if not done:
         return MeterImportReport(OperationResult.failed("No meter data was imported!"), reports)
@@ -275,12 +351,14 @@ def import_meter_data(
     return MeterImportReport(OperationResult(short_msg=text), reports)
 
 
-@_reported
+@_staged("mapping")
 def map_facilities(
     store: TableStore,
     interval: str = "CM-1M..CM",
     now: datetime | None = None,
     tz: str = BUSINESS_TIMEZONE,
+    *,
+    staging: Staging,
 ) -> JobReport:
     """Map the contracts of an interval to customer groups and store the links.
 
@@ -305,7 +383,6 @@ def map_facilities(
     if groups.isEmpty():
         return _failed(messages.NO_CUSTOMER_GROUPS)
 
-    staging = Staging(spark, "mapping")
     rule_set = grouping.prepare_rules(groups)
     assigned = staging.write(grouping.assign_groups(contracts, rule_set.rules))
     # Every contract has a row here, mapped or not: no separate join to see whether there are any.
@@ -314,7 +391,7 @@ def map_facilities(
         F.count_if(is_unmapped).alias("unmapped"), F.count_if(~is_unmapped).alias("links")
     ).first()
     if counts.unmapped + counts.links == 0:
-        return _finish(_failed(messages.NO_CONTRACTS), staging)
+        return _failed(messages.NO_CONTRACTS)
     links = grouping.links_of(assigned)
     unmapped = grouping.unmapped_of(assigned)
     mapped = grouping.mapping_result(rule_set.skipped, counts.unmapped)
@@ -333,11 +410,10 @@ def map_facilities(
     text = messages.IMPORTED_IN_INTERVAL.format(
         new=inserted, known=updated, noun="facility customer group links", start=start, end=end
     )
-    report = JobReport(
+    return JobReport(
         OperationResult(short_msg=text),
         inserted,
         updated,
         warnings,
         ordered(unmapped, BY_MONTH) if counts.unmapped > 0 else None,
     )
-    return _finish(report, staging)

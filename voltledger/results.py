@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -57,7 +58,20 @@ class JobReport:
     updated: int = 0
     warnings: tuple[str, ...] = ()
     violations: DataFrame | None = None
+    on_close: Callable[[], None] | None = None
 
     @property
     def ok(self) -> bool:
         return self.result.ok
+
+    def close(self) -> None:
+        """Remove what the job staged for the rows in violation, which cannot be read any more."""
+        if self.on_close is not None:
+            self.on_close()
+            self.on_close = None
+
+    def __enter__(self) -> JobReport:
+        return self
+
+    def __exit__(self, *_error) -> None:
+        self.close()

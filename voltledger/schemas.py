@@ -298,9 +298,23 @@ COST_GROUP_LINK = Table(
     ),
 )
 
+# What the imports remember: the files whose rows are stored, and the files of rejected streamed drops.
+IMPORTED_FILE = Table(
+    "imported_file",
+    struct(job=STRING, file=STRING, modified=LONG, nr_bytes=LONG),
+    key=("job", "file", "modified", "nr_bytes"),
+)
+REJECTED_FILE = Table(
+    "rejected_file",
+    struct(source_dir=STRING, drop_nr=LONG, file=STRING),
+    key=("source_dir", "drop_nr", "file"),
+)
+
 TABLES: dict[str, Table] = {
     table.name: table
     for table in (
+        IMPORTED_FILE,
+        REJECTED_FILE,
         FACILITY_TYPE,
         CUSTOMER_TYPE,
         CUSTOMER_GROUP_MAPPING_STRATEGY,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +18,11 @@ MONTH_COLUMN = "date_id"
 NANOS_AS_LONG = "spark.sql.legacy.parquet.nanosAsLong"
 
 
+def literal_path(path: str) -> str:
+    """The path with the characters escaped that a glob pattern would interpret."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
 class MonthTypeError(ValueError):
     """The months of a drop are plain numbers, which do not say what they count."""
 
@@ -49,19 +57,21 @@ def scan_files(spark: SparkSession, *paths: str) -> DataFrame:
     return df
 
 
-def read_drop(spark: SparkSession, path: str) -> tuple[DataFrame | None, OperationResult]:
+def read_drop(
+    spark: SparkSession, path: str, files: Sequence[str] | None = None
+) -> tuple[DataFrame | None, OperationResult]:
     """Read one parquet file, or the parquet files directly inside a directory.
 
-    Sub-directories are left out. A missing path, no matching file, an unreadable file or a file
-    without columns gives a failed result.
+    Sub-directories are left out. ``files`` are the only ones of the directory to read. A missing
+    path, no matching file, an unreadable file or a file without columns gives a failed result.
     """
     file_system, hadoop = hadoop_path(spark, path)
     if not file_system.exists(hadoop):
         return None, OperationResult.failed(messages.PATH_NOT_FOUND.format(path=path))
     directory = file_system.getFileStatus(hadoop).isDirectory()
-    pattern = f"{path.rstrip('/')}/*.parquet" if directory else path
+    pattern = f"{literal_path(path.rstrip('/'))}/*.parquet" if directory else literal_path(path)
     try:
-        df = scan_files(spark, pattern)
+        df = scan_files(spark, *([pattern] if files is None else map(literal_path, files)))
     except MonthTypeError as e:
         return None, OperationResult.failed(f'Could not read parquet files from "{pattern}"!', str(e))
     except SPARK_ERRORS as e:
@@ -72,11 +82,11 @@ def read_drop(spark: SparkSession, path: str) -> tuple[DataFrame | None, Operati
 
 
 def load_drop(
-    spark: SparkSession, path: str, method: str = "file"
+    spark: SparkSession, path: str, method: str = "file", files: Sequence[str] | None = None
 ) -> tuple[DataFrame | None, OperationResult]:
     """Load a drop by import method; only files are implemented."""
     if method == "file":
-        return read_drop(spark, path)
+        return read_drop(spark, path, files)
     if method == "plugin":
         return None, OperationResult.failed(messages.PLUGIN_IMPORT)
     return None, OperationResult.failed(

@@ -19,12 +19,13 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share!")
-    return _local_folder(spark.sparkContext.applicationId)
+    return _local_folder(spark.sparkContext.applicationId).name
 
 
 @cache
-def _local_folder(_application_id: str) -> str:
-    return tempfile.mkdtemp(prefix="voltledger-")
+def _local_folder(_application_id: str) -> tempfile.TemporaryDirectory:
+    """Goes with the process."""
+    return tempfile.TemporaryDirectory(prefix="voltledger-", ignore_cleanup_errors=True)
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -37,7 +38,7 @@ def hadoop_path(spark: SparkSession, path: str):
 class Staging:
     """A folder of its own for one run. Frames read from it do not depend on any executor.
 
-    ``keep`` it when frames that read from it are handed out; otherwise ``drop`` it.
+    ``drop`` it when no frame that reads from it is needed any more.
     """
 
     def __init__(self, spark: SparkSession, label: str):

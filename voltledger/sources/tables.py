@@ -62,6 +62,8 @@ class TableStore:
                 seen.add(child)
                 if wanted is None or child in wanted:
                     paths.append(f"{path}/{child}")
+            if wanted is not None and wanted <= seen:
+                break  # older versions have nothing to add
         return paths
 
     def read(self, name: str, months: Collection[date] | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Incremental import of meter drops: only files that were not seen before."""
+"""Incremental import of meter drops: only files that were not seen before, and rejected ones again."""
 
 from __future__ import annotations
 
@@ -8,13 +8,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltledger import messages
+from voltledger.functions.conversion import cast_in_place
 from voltledger.plans.jobs import import_meter_rows
-from voltledger.results import JobReport, OperationResult
-from voltledger.schemas import METER_DROP
-from voltledger.sources.drops import scan_files
+from voltledger.results import SPARK_ERRORS, JobReport, OperationResult
+from voltledger.schemas import METER_DROP, REJECTED_FILE
+from voltledger.seeds import local_table
+from voltledger.sources.drops import MonthTypeError, literal_path, scan_files
 from voltledger.sources.staging import hadoop_path
 from voltledger.sources.tables import TableStore
 
+PARTITION = ["serie_type_code", "date_id"]
+
+
+class RejectedDrops:
+    """The files of rejected drops, oldest drop first, kept in the table store. Only file names go
+    through the driver."""
+
+    def __init__(self, store: TableStore, source_dir: str):
+        self.store = store
+        self.source_dir = source_dir
+
+    def _of(self, here: bool) -> DataFrame:
+        same = F.col("source_dir") == self.source_dir
+        return self.store.read(REJECTED_FILE.name).where(same if here else ~same)
+
+    def all(self) -> list[list[str]]:
+        """The drops whose files are still in place."""
+        drops: dict[int, list[str]] = {}
+        for row in self._of(True).orderBy("drop_nr", "file").collect():
+            file_system, path = hadoop_path(self.store.spark, row.file)
+            if file_system.exists(path):
+                drops.setdefault(row.drop_nr, []).append(row.file)
+        return list(drops.values())
+
+    def replace(self, drops: list[list[str]]) -> None:
+        rows = [
+            {"source_dir": self.source_dir, "drop_nr": nr, "file": file}
+            for nr, files in enumerate(drops)
+            for file in files
+        ]
+        mine = local_table(self.store.spark, rows, REJECTED_FILE.schema)
+        self.store.commit(REJECTED_FILE.name, self._of(False).unionByName(mine))
+
 
 def import_new_meter_drops(
     store: TableStore,
@@ -28,9 +63,13 @@ def import_new_meter_drops(
     The files of one run are one drop: checked as a whole, resolved, and written over the (serie
     type, month) partitions they cover, so a later drop corrects a month by replacing it. The
     checkpoint, not the directory, remembers what was read; a batch that was interrupted is repeated
-    and gives the same partitions. A rejected drop is reported and not tried again: its correction
-    arrives as a new file. With ``archive_dir`` Spark moves files there some time after they were
-    read; the newest drop stays in place. There is no report when nothing new arrived.
+    and gives the same partitions. With ``archive_dir`` Spark moves files there some time after they
+    were read; the newest drop stays in place, and what was rejected before it cannot be tried again.
+
+    A rejected drop is remembered with all its files and tried again by the next runs, oldest first
+    and after what is new, until it passes or its files are gone. A newer drop that was imported and
+    has one of its partitions takes its place, so that old rows never overwrite newer ones; the report
+    of that newer drop warns of it. There is no report when there is nothing to import.
     """
     spark = store.spark
     file_system, directory = hadoop_path(spark, source_dir)
@@ -38,25 +77,63 @@ def import_new_meter_drops(
         text = messages.PATH_NOT_FOUND.format(path=source_dir)
         return [JobReport(OperationResult.failed(text))]
     facilities, serie_types = store.read("facility"), store.read("serie_type")
+    memory = RejectedDrops(store, source_dir)
+    waiting = memory.all()
     reports: list[JobReport] = []
 
+    def scan(files: list[str]) -> DataFrame:
+        return scan_files(spark, *map(literal_path, files))
+
+    def partitions(files: list[str]) -> DataFrame:
+        return cast_in_place(scan(files), METER_DROP).select(*PARTITION)
+
+    def overlap(older: list[str], newer: list[str]) -> bool:
+        try:
+            covered = partitions(newer).distinct()
+            return not partitions(older).join(covered, PARTITION, "left_semi").isEmpty()
+        except (*SPARK_ERRORS, MonthTypeError):
+            return False  # the older drop cannot even be read
+
+    def attempt(files: list[str]) -> JobReport:
+        try:
+            return import_meter_rows(scan(files), facilities, serie_types, root)
+        except MonthTypeError as e:
+            return JobReport(OperationResult.failed(str(e)))
+
+    def settle(files: list[str], report: JobReport) -> None:
+        """Remember a rejected drop; forget an imported one, and the older ones it replaces."""
+        at = waiting.index(files) if files in waiting else len(waiting)
+        if not report.ok:
+            if at == len(waiting):
+                waiting.append(files)
+        else:
+            replaced = [older for older in waiting[:at] if overlap(older, files)]
+            waiting[:] = [drop for drop in waiting if drop != files and drop not in replaced]
+            report.warnings += tuple(
+                f"Rejected files {tuple(older)} are not tried again: a newer drop has their months!"
+                for older in replaced
+            )
+        memory.replace(waiting)
+        reports.append(report)
+
     def import_files(batch: DataFrame, _batch_id: int) -> None:
         # The rows of a batch come without column pruning, and every action would read them in
         # full. The stream only tells which files are new; they are then scanned like any drop.
-        files = [unquote(row.file) for row in batch.distinct().collect()]
+        files = sorted(unquote(row.file) for row in batch.distinct().collect())
         if not files:
             return
-        report = import_meter_rows(scan_files(spark, *files), facilities, serie_types, root)
+        report = attempt(files)
         if report.result.code is not None:
             # Spark failed, not the drop: let the stream fail too, so that the batch is repeated.
             raise RuntimeError(f"{report.result.short_msg}\n{report.result.long_msg}")
-        reports.append(report)
+        settle(files, report)
 
+    before = list(waiting)
     reader = spark.readStream.schema(METER_DROP)
     if archive_dir is not None:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
     query = (
-        reader.parquet(f"{source_dir.rstrip('/')}/*.parquet")
+        reader.parquet(f"{literal_path(source_dir.rstrip('/'))}/*.parquet")
         .select(F.col("_metadata.file_path").alias("file"))
         .writeStream.foreachBatch(import_files)
         .option("checkpointLocation", checkpoint)
@@ -64,4 +141,7 @@ def import_new_meter_drops(
         .start()
     )
     query.awaitTermination()
+    for files in before:
+        if files in waiting:
+            settle(files, attempt(files))
     return reports
