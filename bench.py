@@ -1,4 +1,4 @@
-"""Time the headline queries and print one JSON line.
+"""Time the queries and print one JSON line.
 
 BENCH_SF_DIR names the tables, BENCH_CPUS the number of local cores. A query is evaluated in full
 (every column of every row) without a sink. Each query runs once on the smallest tables at hand
@@ -18,36 +18,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from voltledger.demo.queries import QUERIES  # noqa: E402
 from voltledger.session import get_session  # noqa: E402
 
-HEADLINE = (
-    "v7_contract_drop_report",
-    "v8_meter_drop_report",
-    "v3_duplicate_rows",
-    "s6_contracts_extended",
-    "m1_product_update",
-    "m2_facility_update",
-    "m3_contract_insert",
-    "m3_contract_update",
-    "m4_serie_values",
-    "v11_unresolved_meter_row_count",
-    "m10_map_all",
-    "v13_unmapped_contracts",
-    "v14_duplicate_links",
-    "m11_link_insert",
-    "k3_update_by_key",
-    "k6_assigned_ids",
-    "k7_contract_upsert",
-    "m12_interval_timestamps",
-    "c3_c4_table_violations",
-    "k1_meter_partition_overwrite",
-    "s9_meter_store_read",
-    "t2_month_correction",
-    "j1_product_import",
-    "j2_facility_import",
-    "j3_contract_import",
-    "j4_meter_import",
-    "j5_map_facilities",
-)
-
 
 def run(spark, name: str, sf_dir: str) -> float:
     started = time.perf_counter()
@@ -58,7 +28,7 @@ def run(spark, name: str, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
-    chosen = sys.argv[1:] or HEADLINE
+    chosen = sys.argv[1:] or list(QUERIES)
     spark = get_session(
         "voltledger-bench",
         master=f"local[{cpus}]",
