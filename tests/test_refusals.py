@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, datetime
+from zoneinfo import ZoneInfo
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -61,3 +62,36 @@ def test_a_source_with_texts_for_numbers_leaves_the_others_alone(full_store, tmp
     paths = {bad: write(tmp_path, [meter(ean="no number")], "bad"), good: write(tmp_path, [meter()], "good")}
     report = jobs.import_meter_data(full_store, str(tmp_path / "out"), paths, [bad, good])
     assert report.ok and not report.sources[bad].ok and report.sources[good].ok
+
+
+def nano_months(tmp_path, name: str, zone: str | None, month: datetime) -> str:
+    """A contract drop whose months are in nanoseconds."""
+    folder = tmp_path / name
+    folder.mkdir(exist_ok=True)
+    moment = month if zone is None else month.replace(tzinfo=ZoneInfo(zone))
+    months = pa.array([moment], pa.timestamp("ns", tz=zone))
+    table = pa.table({"ean": [EAN], "date_id": months, "customer_type_code": ["private_person"]})
+    pq.write_table(table, folder / f"{zone is None}.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("zone", [None, "Europe/Stockholm"])
+@pytest.mark.parametrize("session_zone", ["Europe/Stockholm", "UTC"])
+def test_nanosecond_months_are_wall_time_or_moments_as_the_file_says(full_store, tmp_path, zone, session_zone):
+    spark = full_store.spark
+    path = nano_months(tmp_path, "drop", zone, datetime(2026, 7, 1))
+    spark.conf.set("spark.sql.session.timeZone", session_zone)
+    try:
+        report = jobs.import_contracts(full_store, path)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert report.result.ok == (zone in (None, session_zone))
+    if report.result.ok:
+        assert full_store.read("facility_contract", [date(2026, 7, 1)]).count() == 1
+
+
+def test_nanosecond_months_of_two_kinds_are_refused(full_store, tmp_path):
+    for zone in (None, "UTC"):
+        path = nano_months(tmp_path, "drop", zone, datetime(2026, 7, 1))
+    report = jobs.import_contracts(full_store, path)
+    assert not report.result.ok and "wall time in others" in f"{report.result.short_msg}{report.result.long_msg}"

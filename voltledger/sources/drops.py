@@ -24,7 +24,28 @@ def literal_path(path: str) -> str:
 
 
 class MonthTypeError(ValueError):
-    """The months of a drop are plain numbers, which do not say what they count."""
+    """The months of a drop do not say which moments they are."""
+
+
+def _nano_months_are_zoned(spark: SparkSession, files: Sequence[str]) -> bool:
+    """Whether nanosecond months count from the epoch in UTC or are wall time, as the footers state."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader
+    no_rows = jvm.org.apache.parquet.format.converter.ParquetMetadataConverter.SKIP_ROW_GROUPS
+    zoned = set()
+    for file in files:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        schema = reader.readFooter(conf, path, no_rows).getFileMetaData().getSchema()
+        if not schema.containsField(MONTH_COLUMN):
+            continue
+        kind = schema.getType(schema.getFieldIndex(MONTH_COLUMN)).getLogicalTypeAnnotation()
+        if kind is None or not kind.toString().startswith("TIMESTAMP(NANOS"):
+            raise MonthTypeError(f'"{MONTH_COLUMN}" must be a date or a timestamp, not a number!')
+        zoned.add(kind.isAdjustedToUTC())
+    if len(zoned) > 1:
+        raise MonthTypeError(f'"{MONTH_COLUMN}" is zoned in some files and wall time in others!')
+    return zoned == {True}
 
 
 def scan_files(spark: SparkSession, *paths: str) -> DataFrame:
@@ -32,7 +53,8 @@ def scan_files(spark: SparkSession, *paths: str) -> DataFrame:
 
     The files may differ in their optional columns, so their schemas are merged. Timestamps in
     nanoseconds, which Spark refuses, are read as numbers; a month column of them is turned back
-    into timestamps. A month column that is a number in the file itself is an error.
+    into timestamps, zoned or wall time as the files have it. A month column that is a number in the
+    file itself is an error.
     """
     reader = spark.read.option("mergeSchema", True)
     spark.conf.set(NANOS_AS_LONG, "false")
@@ -50,9 +72,11 @@ def scan_files(spark: SparkSession, *paths: str) -> DataFrame:
     if isinstance(kind, T.NumericType) and not (nanos and isinstance(kind, T.LongType)):
         raise MonthTypeError(f'"{MONTH_COLUMN}" must be a date or a timestamp, not a number!')
     if nanos and isinstance(kind, T.LongType):
-        moment = F.expr(
-            f"timestampadd(MICROSECOND, {MONTH_COLUMN} DIV 1000, TIMESTAMP_NTZ'1970-01-01')"
-        )
+        micros = f"{MONTH_COLUMN} DIV 1000"
+        if _nano_months_are_zoned(spark, df.inputFiles()):
+            moment = F.expr(f"timestamp_micros({micros})")
+        else:
+            moment = F.expr(f"timestampadd(MICROSECOND, {micros}, TIMESTAMP_NTZ'1970-01-01')")
         df = df.withColumn(MONTH_COLUMN, moment)
     return df
 
