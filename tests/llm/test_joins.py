@@ -6,9 +6,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
-from voltledger.llm import embedding_dedup, ngram_join, quality, queries, toxicity
+from voltledger.llm import embedding_dedup, features, ngram_join, quality, queries, toxicity
 from voltledger.llm.components import components
 from voltledger.sources.staging import Staging
 
@@ -203,3 +204,16 @@ def test_pipeline_over_a_table(spark):
     before = queries.table(spark, SF_DIR, "documents")
     ids = {r.doc_id for r in out.select("doc_id").collect()}
     assert 0 < len(ids) < before.count() and out.where("size(ids) <> n_tokens").count() == 0
+
+
+def test_training_rows_take_a_share_of_the_rare_label(spark):
+    ids = range(2000)
+    labels = spark.createDataFrame([(i, int(i % 20 == 0)) for i in ids], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, t) for i in ids for t in ("b", f"a{i}")], "doc_id long, text string")
+    for share, low, high in ((None, 5, 30), (0.25, 35, 65)):
+        rows = features.training_rows(docs, labels, "toxic", F.lit(True), 200, share).collect()
+        assert 150 <= len(rows) <= 250 and len({r.doc_id for r in rows}) == len(rows)
+        assert low <= sum(r.label for r in rows) <= high
+        assert all(r.text == f"a{r.doc_id}" for r in rows)
+    rows = features.training_rows(docs.limit(0), labels.limit(0), "toxic", F.lit(True), 200, 0.5)
+    assert rows.count() == 0

@@ -12,18 +12,25 @@ def remainder(modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, most: int) -> DataFrame:
+def training_rows(
+    docs: DataFrame, labels: DataFrame, label: str, allowed: Column, most: int, share: float | None = None
+) -> DataFrame:
     """(doc_id, text, label) of about ``most`` labelled rows at most, chosen by a hash of doc_id.
 
-    A doc_id with contradicting labels, or with several texts, is as good as its smallest ones.
+    With a ``share`` up to that part of them has label 1, however rare it is. Of a doc_id with
+    contradicting labels, or with several texts, the smallest one counts.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(allowed)
     known = known.groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
-    total = known.count()
-    limit = int(min(1.0, most / max(total, 1)) * (1 << 30))
+    is_one = F.col("label") == 1
+    total = known.agg(F.count_if(is_one).alias("yes"), F.count_if(~is_one).alias("no")).first()
+    wanted = most * (total.yes / max(total.yes + total.no, 1) if share is None else share)
+    yes = min(wanted, total.yes)
+    limits = [int(min(1.0, n / max(of, 1)) * (1 << 30)) for n, of in ((yes, total.yes), (most - yes, total.no))]
+    limit = F.when(is_one, F.lit(limits[0])).otherwise(F.lit(limits[1]))
     known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < limit)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
-    return rows.dropDuplicates(["doc_id"])
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 _UPPER = re.compile("[A-ZÀ-Þ]")
