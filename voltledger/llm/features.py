@@ -29,7 +29,8 @@ def training_rows(
     limits = [int(min(1.0, n / max(of, 1)) * (1 << 30)) for n, of in ((yes, total.yes), (most - yes, total.no))]
     limit = F.when(is_one, F.lit(limits[0])).otherwise(F.lit(limits[1]))
     known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < limit)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.join(F.broadcast(known), "doc_id")  # about ``most`` pairs of numbers, whatever the tables
     return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
