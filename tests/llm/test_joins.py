@@ -147,6 +147,51 @@ def test_embedding_copies_and_nulls(spark):
     assert embedding_dedup.embedding_dedup(df.where("false")).count() == 0
 
 
+def cone(rows, pairs, width=32, cosine=0.8):
+    """Unit vectors of one mean direction with these mean cosines, the first ones with a partner at 0.935."""
+    rnd = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    axis = unit(rnd.standard_normal(width))
+    out = unit(axis * cosine**0.5 + unit(rnd.standard_normal((rows, width))) * (1 - cosine) ** 0.5)
+    side = rnd.standard_normal((pairs, width))
+    side = unit(side - (side * out[:pairs]).sum(axis=1, keepdims=True) * out[:pairs])
+    return np.concatenate([out, 0.935 * out[:pairs] + (1 - 0.935**2) ** 0.5 * side])
+
+
+def cone_links(spark, rows, pairs):
+    """Wanted and found link ends of a table whose vectors share a mean direction."""
+    all_rows = cone(rows, pairs)
+    near = all_rows @ all_rows.T >= embedding_dedup.THRESHOLD
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(all_rows)],
+                               "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.embedding_dedup(df).collect()}
+    return near.sum(axis=1), np.array([got[i] for i in range(len(all_rows))])
+
+
+def test_embedding_cone_is_whole(spark):
+    wanted, got = cone_links(spark, 4000, 300)
+    assert (wanted == got).all()
+
+
+def test_embedding_cone_by_passes(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
+    planned, plans = embedding_dedup.plan, []
+    monkeypatch.setattr(embedding_dedup, "plan", lambda *a: plans.append(planned(*a)) or plans[-1])
+    wanted, got = cone_links(spark, 4000, 300)
+    assert plans[0][0] > embedding_dedup.passes_for(4300)
+    assert np.abs(wanted - got).sum() <= 0.002 * wanted.sum()
+
+
+def test_plan_leaves_crowded_vectors_to_the_blocks():
+    n = 10**6
+    even, cut = embedding_dedup.plan(n, {7: n})
+    assert 0 < even < 100 and cut == 8
+    assert embedding_dedup.plan(n, {7: n - 10, embedding_dedup.NEVER: 10}) == (even, cut)
+    assert embedding_dedup.plan(n, {embedding_dedup.NEVER: n}) == (0, 0)
+    assert embedding_dedup.plan(n, {7: n // 2, 16: n // 2})[0] > even
+
+
 def test_window_passes_grow_with_the_table():
     assert embedding_dedup.passes_for(10) <= embedding_dedup.passes_for(10_000) < embedding_dedup.passes_for(10**7)
 
