@@ -318,5 +318,80 @@ def test_licenses(spark, docs, no_docs):
     assert all(name in got.get(i, ()) for i, _, name in rows)
 
 
+GNU_HEADER = """ * This {what} is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU {name} as published by
+ * the Free Software Foundation, either version {version} of the License, or
+ * (at your option) any later version.
+ *
+ * This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY.
+ * You should have received a copy of the GNU General Public License and of the
+ * GNU {name} along with it.
+"""
+BSD_HEAD = """Copyright (c) 1999, Some Body. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_TAIL = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS"
+BSD_NAMES = """Neither the name of Big Company Inc. nor the names of its contributors may be used to
+endorse or promote products derived from this software without specific prior written permission.
+"""
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+associated documentation files (the "Software"), to deal in the Software without restriction, including
+without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies
+of the Software, and to permit persons to whom the Software is furnished to do so"""
+
+
+def test_license_texts_get_their_own_name(spark):
+    def gnu(name, version):
+        return GNU_HEADER.format(what="library", name=name, version=version)
+
+    texts = [
+        ("AGPL-3.0", gnu("Affero General Public License", 3)),
+        ("LGPL-3.0", gnu("Lesser General Public License", 3)),
+        ("LGPL-2.1", gnu("Lesser General Public License", 2.1)),
+        ("GPL-3.0", gnu("General Public License", 3)),
+        ("GPL-2.0", gnu("General Public License", 2)),
+        ("GPL-2.0 LGPL-3.0", gnu("General Public License", 2) + gnu("Lesser General Public License", 3)),
+        ("", gnu("General Public License", 1)),
+        ("", "This work is licensed under the GNU General Public License, version 1."),
+        ("BSD-2-Clause", BSD_HEAD + BSD_TAIL),
+        ("BSD-3-Clause", BSD_HEAD + "3. " + BSD_NAMES + BSD_TAIL),
+        ("BSD-4-Clause", BSD_HEAD + "3. All advertising materials mentioning features or use of this software "
+         "must display the following acknowledgement: This product includes software developed by the Lab.\n4. "
+         + BSD_NAMES + BSD_TAIL),
+        ("BSD", BSD_HEAD[:300]),
+        ("MIT", MIT_TEXT + ", subject to the following conditions: The above copyright notice and this permission "
+         "notice shall be included in all copies or substantial portions of the Software."),
+        ("MIT-0", MIT_TEXT + ". THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND"),
+        ("CC0-1.0", "To the extent possible under law, A. Body has waived all copyright and related or "
+         "neighboring rights to this work."),
+        ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the "
+         "Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ]
+    rows = [(i, f"{prose(i, 40)}\n{t}\n{prose(i + 1, 60)}") for i, (_, t) in enumerate(texts)]
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append(r.license)
+    assert [" ".join(sorted(got.get(i, []))) for i in range(len(texts))] == [name for name, _ in texts]
+
+
+def test_license_table_is_an_argument(spark):
+    docs = spark.createDataFrame([(1, "Use is bound by the House Rules of Volt Ledger, edition 7, as posted.")],
+                                 "doc_id long, text string")
+    notice = "bound by the House Rules of Volt Ledger, edition 7"
+    assert licenses.scan(docs).count() == 0 and licenses.scan(docs, {}).count() == 0
+    for table in ({"House": [notice]}, spark.createDataFrame([("House", notice)], "license string, notice string")):
+        assert [(r.license, r.containment) for r in licenses.scan(docs, table).collect()] == [("House", 1.0)]
+    with pytest.raises(ValueError):
+        licenses.scan(docs, {"House": ["House Rules"]})
+
+
 def test_license_bands_are_dense_enough():
     assert min(licenses.collision_probability(n) for n in range(1, 200)) > 0.9999

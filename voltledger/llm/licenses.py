@@ -1,7 +1,9 @@
 """License notices in texts by MinHash bands over overlapping windows (operator 8).
 
-Words are compared in lower case without punctuation at their ends. A template is a notice as a run of
-words; its set is that of its five-word shingles. For each size class of templates (1, 2, 4, 8, ...
+The notices are an argument: a table of licenses and their notices, ``license_notices`` where none is given;
+licenses outside the table are not looked for. Words are compared in lower case without punctuation at
+their ends. A template is a notice as a run of words, or several runs with `` ... `` between them; its set
+is that of its five-word shingles. For each size class of templates (1, 2, 4, 8, ...
 shingles) every text is cut into windows of twice that many shingles, each overlapping half of the next, so a
 notice lies whole in one of them. A window and a template meet when a minimum of one of ``BANDS``
 permutations agrees (one row per band): at the least similarity that a window with a valid notice can
@@ -9,6 +11,11 @@ have they do with probability ``collision_probability``. What meets is verified:
 template's shingles that the window holds must be 0.8 or more. A window that holds no shingle of any
 template cannot share a minimum with one, so such windows are passed over first.
 
+Licenses share their wording. Where the notice of another license holds 0.8 of a template, a window must
+also hold more than half of the shingles that this other notice lacks, so no license is named by words that
+are another's as well. Where places overlap, a notice whose found shingles are among those of another
+license's found notice gives way to it (a BSD clause to the longer license).
+
 Defined cases: null and empty texts hold no notice; rows are judged one by one, so equal rows give equal
 results; null doc_ids are kept as null; a document without notice gives no row; an empty table gives
 none; other columns are ignored.
@@ -16,66 +23,23 @@ none; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from voltledger.llm.license_notices import NOTICES
 from voltledger.llm.text_batch import SHINGLE_WORDS, hash_spans, shingles, text_buffer, words
 
 CONTAINMENT = (4, 5)
 BANDS = 64
 ROWS = "doc_id long, license string, containment double, windows long, first_char long, end_char long"
 
-# Public notices by SPDX name.
-TEMPLATES = {
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file "
-        "except in compliance with the License. You may obtain a copy of the License at",
-        "Unless required by applicable law or agreed to in writing, software distributed under the "
-        "License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, "
-        "either express or implied.",
-    ),
-    "MIT": (
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
-        "and associated documentation files (the \"Software\"), to deal in the Software without "
-        "restriction, including without limitation the rights to use, copy, modify, merge, publish, "
-        "distribute, sublicense, and/or sell copies of the Software",
-    ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "either version 3 of the License, or (at your option) any later version.",
-    ),
-    "GPL-2.0": (
-        "This work is licensed under the GNU General Public License, version 2.",
-        "either version 2 of the License, or (at your option) any later version.",
-    ),
-    "LGPL-3.0": ("licensed under the GNU Lesser General Public License, version 3.",),
-    "AGPL-3.0": ("licensed under the GNU Affero General Public License, version 3.",),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "Creative Commons Attribution-NonCommercial 4.0 International License"),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "Creative Commons Attribution 4.0 International License"),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "Creative Commons Attribution-ShareAlike 4.0 International License"),
-    "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted "
-        "provided that the following conditions are met",
-        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse "
-        "or promote products derived from this software without specific prior written permission.",
-    ),
-    "MPL-2.0": (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    ),
-    "ISC": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without "
-        "fee is hereby granted, provided that the above copyright notice and this permission notice appear "
-        "in all copies.",
-    ),
-    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
-}
+# Shingles that the words between two runs of a notice may take up.
+GAP = 16
+TEMPLATES = NOTICES
 
 _EDGE = np.ones(128, bool)
 _EDGE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
@@ -129,17 +93,51 @@ def _class_of(count: int) -> int:
     return 1 << (count - 1).bit_length()
 
 
-@lru_cache(maxsize=1)
-def _templates():
-    """By size class: (license, set, minima) of each template; and all shingles, sorted."""
+def _table(templates: Mapping[str, Sequence[str]] | DataFrame) -> tuple[tuple[str, str], ...]:
+    """(license, notice) of a mapping or of a frame with these columns, which has to be small."""
+    if isinstance(templates, DataFrame):
+        pairs = [(row.license, row.notice) for row in templates.select("license", "notice").collect()]
+    else:
+        pairs = [(name, notice) for name, notices in templates.items() for notice in notices]
+    for name, notice in pairs:
+        if name is None or notice is None:
+            raise ValueError("A notice or its license is null!")
+        for piece in notice.split(" ... "):
+            if len(_shingles(pa.array([piece]))[2]) < SHINGLE_WORDS:
+                raise ValueError(f"A notice of {name} has fewer than {SHINGLE_WORDS} words in a run: {piece}")
+    return tuple(pairs)
+
+
+@lru_cache(maxsize=4)
+def _templates(pairs: tuple[tuple[str, str], ...]):
+    """By size class: (license, set, minima, what each rival lacks) of each template; and all shingles."""
+    sets = []
+    for name, notice in pairs:
+        pieces = notice.split(" ... ")
+        grams = np.unique(_shingles(pa.array(pieces))[0])
+        sets.append((name, grams, _class_of(len(grams) + GAP * (len(pieces) - 1))))
     by_class: dict[int, list] = {}
-    every = []
-    for name, notices in TEMPLATES.items():
-        for notice in notices:
-            grams = np.unique(_shingles(pa.array([notice]))[0])
-            every.append(grams)
-            by_class.setdefault(_class_of(len(grams)), []).append((name, grams, _minima(grams)))
-    return by_class, np.unique(np.concatenate(every))
+    part, whole = CONTAINMENT
+    for name, grams, size in sets:
+        beyond = []
+        for other, theirs, _ in sets:
+            lacks = np.setdiff1d(grams, theirs, True)
+            if other != name and len(lacks) and whole * (len(grams) - len(lacks)) >= part * len(grams):
+                beyond.append(lacks)
+        by_class.setdefault(size, []).append((name, grams, _minima(grams), beyond))
+    every = [grams for _, grams, _ in sets]
+    return by_class, np.unique(np.concatenate([np.empty(0, np.uint64), *every]))
+
+
+def _gives_way(one: tuple, other: tuple) -> bool:
+    """Whether the other notice found accounts for all that this one was found by, and for more."""
+    name, share, shared, place = one
+    their_name, their_share, more, their_place = other
+    if name != their_name and (place[0] > their_place[-1] or their_place[0] > place[-1]):
+        return False
+    if not (their_share > share or (name != their_name and len(more) > len(shared))):
+        return False
+    return bool(np.isin(shared, more).all())
 
 
 def _windows(count: int, size: int, hits: np.ndarray) -> np.ndarray:
@@ -149,9 +147,13 @@ def _windows(count: int, size: int, hits: np.ndarray) -> np.ndarray:
     return np.unique(np.clip(np.concatenate([block - 1, block]), 0, last)) * size
 
 
-def find_in(column: pa.Array) -> Iterator[tuple[int, str, float, int, int, int]]:
+def find_in(
+    column: pa.Array, pairs: tuple[tuple[str, str], ...]
+) -> Iterator[tuple[int, str, float, int, int, int]]:
     """(row, license, containment, windows, first and end byte) of each notice of each text."""
-    by_class, every = _templates()
+    by_class, every = _templates(pairs)
+    if not len(every):
+        return
     grams, bounds, starts, ends, word_bounds = _shingles(column)
     at = np.minimum(np.searchsorted(every, grams), len(every) - 1)
     hits = np.flatnonzero(every[at] == grams)
@@ -166,17 +168,18 @@ def find_in(column: pa.Array) -> Iterator[tuple[int, str, float, int, int, int]]
             for first in _windows(len(own), size, inside):
                 window = np.unique(own[first : first + 2 * size])
                 minima = _minima(window)
-                for name, wanted, their_minima in templates:
+                for name, wanted, their_minima, beyond in templates:
                     if (minima == their_minima).any():
                         shared = np.intersect1d(window, wanted, True)
-                        if whole * len(shared) >= part * len(wanted):
+                        own_words = all(2 * np.isin(x, shared).sum() > len(x) for x in beyond)
+                        if whole * len(shared) >= part * len(wanted) and own_words:
                             place = first + np.flatnonzero(np.isin(own[first : first + 2 * size], shared))
                             held.append((name, len(shared) / len(wanted), shared, place))
         best: dict[str, list] = {}
-        for name, share, shared, place in held:
-            # The notice of another version holds these words and more of its own.
-            if any(s > share and np.isin(shared, more).all() for _, s, more, _ in held):
+        for notice in held:
+            if any(_gives_way(notice, other) for other in held):
                 continue
+            name, share, _, place = notice
             base = word_bounds[row]
             final = min(int(place[-1]) + SHINGLE_WORDS, word_bounds[row + 1] - base) - 1
             span = (int(starts[base + place[0]]), int(ends[base + final]))
@@ -189,9 +192,11 @@ def find_in(column: pa.Array) -> Iterator[tuple[int, str, float, int, int, int]]
             yield int(row), name, share, count, first - int(offsets[row]), end - int(offsets[row])
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, templates: Mapping[str, Sequence[str]] | DataFrame = TEMPLATES) -> DataFrame:
     """One row per document and license: the largest containment, the number of windows that hold it,
-    and the characters of the first one (end exclusive)."""
+    and the characters of the first one (end exclusive). ``templates`` are notices by license, or a small
+    frame of them (license, notice)."""
+    pairs = _table(templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from voltledger.llm.text_batch import slices
@@ -201,7 +206,7 @@ def scan(docs: DataFrame) -> DataFrame:
             out = []
             for first, last in slices(texts):
                 part = texts.slice(first, last - first)
-                for row, license, share, count, start, end in find_in(part):
+                for row, license, share, count, start, end in find_in(part, pairs):
                     raw = part[row].as_py().encode()
                     chars = len(raw[:start].decode()), len(raw[:end].decode())
                     out.append((names[first + row], license, share, count, *chars))
