@@ -174,6 +174,31 @@ def test_random_strings_are_told_from_names(spark):
     assert found[one].spans == f"random:6:{6 + len(keys[one])}"
 
 
+def test_keys_of_one_case_and_without_digits_are_candidates(spark):
+    rnd = random.Random(7)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    kinds = [(lower + "234567", 52), (lower + "0123456789", 32), (lower + lower.upper(), 20), (lower, 40)]
+    keys = [(k, "".join(rnd.choice(signs) for _ in range(n))) for k, (signs, n) in enumerate(kinds) for _ in range(200)]
+    names = [("_" if i % 2 else "").join(w if j % 2 else w.title() for j, w in enumerate(prose(i, 6).split()))
+             for i in range(300)]
+    names += [prose(i, 12).replace(" ", "-/_"[i % 3]) for i in range(300)]
+    names += [prose(i, 9).replace(" ", "") for i in range(300)]
+    names = [n for n in names if len(n) >= 20]
+    rows = [(i, f"see {s} here") for i, s in enumerate([*(s for _, s in keys), *names])]
+    found = {r.doc_id: r.n_random for r in secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in range(len(kinds)):
+        hits = [found[i] for i, (k, _) in enumerate(keys) if k == kind]
+        assert sum(hits) > 0.4 * len(hits), (kind, sum(hits))
+    assert sum(found[i] for i in range(len(keys), len(rows))) < 0.05 * len(names)
+
+
+def test_words_alone_are_no_keys(spark):
+    rows = [(i, f"see {prose(i, 9).replace(' ', '')[:20 + i % 20]} here") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert df.select(F.explode(secrets._candidates(F.col("text")))).count() > 300
+    assert secrets.report(df).agg(F.sum("n_random")).first()[0] == 0
+
+
 def test_p_values_are_even_for_random_strings(spark):
     rnd = random.Random(4)
     rows = [("".join(rnd.choice("0123456789abcdef") for _ in range(40)),) for _ in range(3000)]

@@ -4,15 +4,18 @@
 Patterns. assign: a keyword, a sign and a value of 8 or more characters; access: an access key of 16 or
 more; hex: 32 or more hexadecimal digits. Matches are leftmost and do not overlap within a kind.
 
-Battery. Candidates are runs of 20 or more key characters whose character set fits an encoding (hex,
-base 32, base 64 with either pair of signs). Their symbols, as numbers of the encoding's alphabet, are
+Battery. Candidates are runs of 20 or more key characters, by the encoding that their character set fits
+(hex, base 32 and base 36 in either case, base 64 with either pair of signs; strings without digits have
+encodings of their own); digits and signs alone are none. Their symbols, as numbers of the encoding's alphabet, are
 put to three tests of the hypothesis "drawn evenly at random": a chi-squared test of uniform use of the
 alphabet, a runs test about its middle, and the serial correlation of neighbours. The three scores give
 one p-value, which is uniform for keys and near zero for words, paths and identifiers.
 
 Control. Short strings leave the tests little power, so the share of ordinary strings among those
 accepted is estimated by encoding and class of length over the whole table: p-values above one half
-come from keys, which tells how many keys there are, and the rest of what a cut-off accepts is false.
+come from keys, which tells how many keys there are, and the rest of what a cut-off accepts is false. In the
+encodings of words and names a share of these (``WORDY_HIGH``) is taken to have such p-values too, so a class
+in which words prevail accepts nothing.
 Each class takes the lowest cut-off whose share of false discoveries is at most ``FALSE_SHARE``, or
 accepts nothing. Accepted strings that touch no span of a pattern are reported as kind random.
 
@@ -43,7 +46,14 @@ ALPHABETS = {
     "base32": _UPPER + "234567",
     "base36": _UPPER + "0123456789",
     "base64": _UPPER + _UPPER.lower() + "0123456789+/",
+    "letters": _UPPER,
+    "mixed": _UPPER + _UPPER.lower() + "+/",
 }
+# Encodings tested in the alphabet of another one, and those that are tested in upper case.
+ALIKE = {"base32l": "base32", "base36l": "base36", "other": "base64"}
+RAISED = ("base32l", "base36l", "letters")
+# Encodings of words and names, of which up to this share has p-values above one half.
+WORDY, WORDY_HIGH = ("letters", "mixed", "other"), 0.05
 _SPANS = "array<struct<start:int,end:int,kind:int,value:string>>"
 
 
@@ -80,16 +90,23 @@ def pattern_spans(text: Column) -> Column:
 
 
 def encoding(value: Column) -> Column:
-    """The encoding a string seems to be in, null where it has none: digits alone, words in one case
-    and names without digits are no keys."""
+    """The encoding a string seems to be in, null for digits alone. What words and names look like too has
+    encodings of its own, so that these do not blur the rest: letters of one case, mixed letters without
+    digit, and what else has signs or a first capital only. Keys without digits are even over the letters."""
     body = F.rtrim(value, F.lit("="))
     digit = body.rlike("[0-9]")
+    mixed = body.rlike("[a-z]") & body.rlike(".[A-Z]")
     return (
-        F.when(body.rlike("^[0-9_-]*$") | ~digit, F.lit(None).cast("string"))
-        .when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex")
-        .when(body.rlike("^[A-Z2-7]+$"), "base32")
-        .when(body.rlike("^[A-Z0-9]+$"), "base36")
-        .when(body.rlike("[a-z]") & body.rlike(".[A-Z]"), "base64")
+        F.when(body.rlike("^[0-9+/_-]*$"), F.lit(None).cast("string"))
+        .when(digit & body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex")
+        .when(digit & body.rlike("^[A-Z2-7]+$"), "base32")
+        .when(digit & body.rlike("^[a-z2-7]+$"), "base32l")
+        .when(digit & body.rlike("^[A-Z0-9]+$"), "base36")
+        .when(digit & body.rlike("^[a-z0-9]+$"), "base36l")
+        .when(body.rlike("^([A-Z]+|[a-z]+)$"), "letters")
+        .when(digit & mixed, "base64")
+        .when(mixed, "mixed")
+        .otherwise("other")
     )
 
 
@@ -100,14 +117,19 @@ def _tail(score: Column) -> Column:
 
 def _alphabet(name: Column) -> Column:
     alphabet = F.lit(ALPHABETS["base64"])
-    for other in ("hex", "base32", "base36"):
-        alphabet = F.when(name == other, ALPHABETS[other]).otherwise(alphabet)
+    for other in ("hex", "base32", "base36", "letters", "mixed"):
+        names = [other, *(c for c, plain in ALIKE.items() if plain == other)]
+        alphabet = F.when(name.isin(names), ALPHABETS[other]).otherwise(alphabet)
     return alphabet
 
 
 def _body(value: Column, name: Column) -> Column:
     body = F.rtrim(F.translate(value, "-_", "+/"), F.lit("="))
-    return F.when(name == "hex", F.lower(body)).otherwise(body)
+    return (
+        F.when(name == "hex", F.lower(body))
+        .when(name.isin(*RAISED), F.upper(body))
+        .otherwise(body)
+    )
 
 
 def p_value(body: Column, alphabet: Column) -> Column:
@@ -203,7 +225,11 @@ def cut_offs(docs: DataFrame) -> dict[str, float]:
         by.setdefault(row.stratum, [0] * STEPS)[row.step] += row["count"]
     out = {}
     for stratum, steps in by.items():
-        keys = 2.0 * sum(steps[STEPS // 2 :])
+        high = sum(steps[STEPS // 2 :])
+        if stratum.split(":")[0] in WORDY:
+            words = max(0.0, (sum(steps) - 2 * high) / (1 - 2 * WORDY_HIGH))
+            high = max(0.0, high - WORDY_HIGH * words)
+        keys = 2.0 * high
         for cut in range(1, STEPS // 2 + 1):
             accepted = sum(steps[cut:])
             expected = keys * (1 - cut / STEPS)
