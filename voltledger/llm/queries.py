@@ -12,9 +12,12 @@ from voltledger.llm import (
     licenses,
     mixing,
     ngram_join,
+    periodic_runs,
+    piece_bpe,
     quality,
     secrets,
     syncmers,
+    token_alignment,
     token_output,
     toxicity,
 )
@@ -77,6 +80,20 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.report(
+        table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
+    )
+
+
+def op13_piece_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_secret_scan": op2_secret_scan,
@@ -88,4 +105,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_ngram_join": op10_ngram_join,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_piece_encode_decode": op13_piece_encode_decode,
 }
