@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltledger.schemas import CUSTOMER_GROUP, STRING, struct
+from voltledger.schemas import CUSTOMER_GROUP, STRING, TARIFF_COMPONENT_TYPE, struct
 from voltledger.seeds import local_table
 
 EAN_BASE = 123456000000000000
@@ -70,6 +70,20 @@ DISJOINT_GROUPS = (
     (16, "no_product", None, None, None, None, None, None, True, True, 1, None, None, None, 4, "product"),
     (17, "no_minimum", None, 100, None, None, None, None, True, True, 1, None, None, None, 1, "fuse_size"),
 )
+# name, calculation strategy, periodize strategy, serie type, comparison serie type (all by id), revenue
+COMPONENT_TYPES = (
+    ("fixed fee", 1, 2, None, None, True),
+    ("energy", 2, 1, 1, None, True),
+    ("subscribed power", 3, 3, None, None, True),
+    ("connection power", 4, 2, None, None, True),
+    ("beyond subscribed power", 5, 1, 13, None, True),
+    ("beyond connection power", 6, 3, 13, None, True),
+    ("energy beyond peaks", 7, 1, 1, 13, True),
+    ("compensation", 2, 3, 13, None, False),
+    ("yearly fee", 1, 3, None, None, True),
+    ("discount", 1, 1, None, None, False),
+    ("reactive energy", 2, 1, 3, None, True),
+)
 GROUP_COLUMNS = (
     "customer_group_id",
     "code",
@@ -349,3 +363,84 @@ def meter_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("serie_value", F.col("serie_value") + 0.5)
         .withColumn("status_id", F.lit("corrected"))
     )
+
+
+def tariffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One per region: the first has no start, the last no end, others begin inside a month."""
+    return table(spark, sf_dir, "region").selectExpr(
+        "CAST(r_regionkey + 1 AS INT) AS tariff_id",
+        "r_name AS name",
+        "1 AS currency_id",
+        "CASE WHEN r_regionkey > 0 THEN make_date(CAST(1992 + r_regionkey AS INT), 3,"
+        " CAST(1 + 7 * (r_regionkey - 1) AS INT)) END AS validity_start",
+        "CASE WHEN r_regionkey < 4 THEN make_date(CAST(1995 + r_regionkey AS INT), 8,"
+        " CAST(1 + 9 * r_regionkey AS INT)) END AS validity_end",
+    )
+
+
+def tariff_cost_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One per nation, in the tariff of its region."""
+    return table(spark, sf_dir, "nation").selectExpr(
+        "CAST(n_nationkey + 1 AS INT) AS tariff_cost_group_id",
+        "CAST(n_regionkey + 1 AS INT) AS tariff_id",
+        "n_name AS name",
+    )
+
+
+def cost_group_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cost group prices three customer groups, each customer group several cost groups."""
+    groups = ("n_nationkey % 17", "(n_nationkey * 3 + 5) % 17", "(n_nationkey * 5 + 11) % 17")
+    return table(spark, sf_dir, "nation").selectExpr(
+        "CAST(n_nationkey + 1 AS INT) AS tariff_cost_group_id",
+        f"explode(array_distinct(array({', '.join(f'CAST({g} + 1 AS INT)' for g in groups)})))"
+        " AS customer_group_id",
+    )
+
+
+def component_types(spark: SparkSession) -> DataFrame:
+    names = ("name", "calc_strategy_id", "periodize_strategy_id", "serie_type_id", "comparison_serie_type_id",
+             "is_revenue")
+    rows = [
+        {"tariff_component_type_id": i, "unit_id": 1, **dict(zip(names, row, strict=True))}
+        for i, row in enumerate(COMPONENT_TYPES, start=1)
+    ]
+    return local_table(spark, rows, TARIFF_COMPONENT_TYPE.schema)
+
+
+def tariff_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priced like parts: part n is the component of type n % 11 in the cost group n div 11. Validity months
+    follow from the size, half of them wrap."""
+    n = len(COMPONENT_TYPES)
+    return table(spark, sf_dir, "part").where(f"p_partkey < 25 * {n}").selectExpr(
+        "CAST(p_partkey + 1 AS INT) AS tariff_component_id",
+        f"CAST(p_partkey % {n} + 1 AS INT) AS tariff_component_type_id",
+        f"CAST(p_partkey div {n} + 1 AS INT) AS tariff_cost_group_id",
+        "CAST(p_retailprice / 7 AS DECIMAL(20,6)) AS price",
+        "CAST(p_retailprice / 70 AS DECIMAL(20,6)) AS authority_fee",
+        "CAST(CASE WHEN p_partkey % 4 > 0 THEN p_retailprice / 9 END AS DECIMAL(20,6)) AS price_outside_validity",
+        "CAST(CASE WHEN p_partkey % 4 > 1 THEN p_retailprice / 90 END AS DECIMAL(20,6))"
+        " AS authority_fee_outside_validity",
+        "CAST(CASE WHEN p_partkey % 3 > 0 THEN 0.05 * (p_partkey % 3) END AS DECIMAL(9,6)) AS overshoot_limit",
+        "CAST(p_size % 12 + 1 AS INT) AS validity_start",
+        "CAST(p_size * 5 % 12 + 1 AS INT) AS validity_end",
+    )
+
+
+def component_type_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tariffs offer all component types but one each."""
+    kinds = ", ".join(str(i) for i in range(1, len(COMPONENT_TYPES) + 1))
+    return (
+        tariffs(spark, sf_dir)
+        .selectExpr("tariff_id", f"explode(array({kinds})) AS tariff_component_type_id")
+        .where("tariff_component_type_id != 2 * tariff_id")
+    )
+
+
+def meter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The meter store that the valid drop leads to."""
+    return meter_drop(spark, sf_dir).selectExpr(
+        f"ean - {EAN_BASE} + 1 AS facility_id",
+        "date_id",
+        "serie_type_code",
+        "CAST(serie_value AS DECIMAL(18,3)) AS serie_value",
+    )

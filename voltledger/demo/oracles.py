@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from voltledger.demo import adapters as a
 from voltledger.demo.queries import RANGE_FIRST, RANGE_LAST
-from voltledger.seeds import CUSTOMER_TYPES, FACILITY_TYPES, SERIE_TYPES
+from voltledger.seeds import (
+    CALC_STRATEGIES,
+    CUSTOMER_TYPES,
+    FACILITY_TYPES,
+    PERIODIZE_STRATEGIES,
+    SERIE_TYPES,
+)
 
 
 def _literal(value) -> str:
@@ -223,6 +229,118 @@ _TABLES = {
              END""",
 }
 _TABLES["disjointly_assigned"] = _TABLES["assigned"].replace("customer_group g", "disjoint_group g")
+_KINDS = len(a.COMPONENT_TYPES)
+_TABLES |= {
+    "calc_strategy": _code_table(CALC_STRATEGIES, "calc_strategy_id"),
+    "periodize_strategy": _code_table(PERIODIZE_STRATEGIES, "periodize_strategy_id"),
+    "tariff": """
+        SELECT CAST(r_regionkey + 1 AS INTEGER) AS tariff_id,
+               CASE WHEN r_regionkey > 0
+                    THEN make_date(1992 + r_regionkey, 3, 1 + 7 * (r_regionkey - 1)) END AS validity_start,
+               CASE WHEN r_regionkey < 4
+                    THEN make_date(1995 + r_regionkey, 8, 1 + 9 * r_regionkey) END AS validity_end
+        FROM region""",
+    "cost_group": """
+        SELECT CAST(n_nationkey + 1 AS INTEGER) AS tariff_cost_group_id,
+               CAST(n_regionkey + 1 AS INTEGER) AS tariff_id
+        FROM nation""",
+    "cost_group_link": """
+        SELECT DISTINCT CAST(n_nationkey + 1 AS INTEGER) AS tariff_cost_group_id,
+               CAST(unnest([n_nationkey % 17, (n_nationkey * 3 + 5) % 17, (n_nationkey * 5 + 11) % 17]) + 1
+                    AS INTEGER) AS customer_group_id
+        FROM nation""",
+    "component_type": f"""
+        SELECT * FROM (VALUES {_values((i, *row) for i, row in enumerate(a.COMPONENT_TYPES, start=1))})
+            AS t(tariff_component_type_id, name, calc_strategy_id, periodize_strategy_id, serie_type_id,
+                 comparison_serie_type_id, is_revenue)""",
+    "component": f"""
+        SELECT CAST(p_partkey + 1 AS INTEGER) AS tariff_component_id,
+               CAST(p_partkey % {_KINDS} + 1 AS INTEGER) AS tariff_component_type_id,
+               CAST(p_partkey // {_KINDS} + 1 AS INTEGER) AS tariff_cost_group_id,
+               CAST(p_retailprice / 7 AS DECIMAL(20,6)) AS price,
+               CAST(p_retailprice / 70 AS DECIMAL(20,6)) AS authority_fee,
+               CAST(CASE WHEN p_partkey % 4 > 0 THEN p_retailprice / 9 END AS DECIMAL(20,6))
+                   AS price_outside_validity,
+               CAST(CASE WHEN p_partkey % 4 > 1 THEN p_retailprice / 90 END AS DECIMAL(20,6))
+                   AS authority_fee_outside_validity,
+               CAST(CASE p_partkey % 3 WHEN 1 THEN 0.05 WHEN 2 THEN 0.1 END AS DECIMAL(9,6)) AS overshoot_limit,
+               p_size % 12 + 1 AS validity_start,
+               p_size * 5 % 12 + 1 AS validity_end
+        FROM part WHERE p_partkey < 25 * {_KINDS}""",
+    "contract_month": "SELECT DISTINCT date_id FROM first_order",
+    "all_month": """
+        SELECT CAST(unnest(generate_series((SELECT min(date_id) FROM contract_month),
+                                           (SELECT max(date_id) FROM contract_month),
+                                           INTERVAL 1 MONTH)) AS DATE) AS date_id""",
+    "tariff_month": """
+        SELECT tariff_id, date_id FROM tariff, all_month
+        WHERE (validity_start IS NULL OR date_id >= validity_start)
+          AND (validity_end IS NULL OR date_id < validity_end)""",
+    "price_sheet": """
+        SELECT l.customer_group_id, m.date_id, m.tariff_id, l.tariff_cost_group_id, c.tariff_component_id,
+               cs.code AS calc_strategy, ps.code AS periodize_strategy, st.code AS serie_type_code,
+               xt.code AS comparison_serie_type_code,
+               coalesce(c.overshoot_limit, CAST(1 AS DECIMAL(9,6))) AS overshoot_limit, t.is_revenue,
+               coalesce(CASE WHEN inside THEN price ELSE price_outside_validity END, 0) AS price,
+               coalesce(CASE WHEN inside THEN authority_fee ELSE authority_fee_outside_validity END, 0)
+                   AS authority_fee
+        FROM cost_group_link l
+        JOIN cost_group g USING (tariff_cost_group_id)
+        JOIN tariff_month m ON m.tariff_id = g.tariff_id
+        JOIN component c ON c.tariff_cost_group_id = l.tariff_cost_group_id
+        JOIN component_type t ON t.tariff_component_type_id = c.tariff_component_type_id
+        JOIN calc_strategy cs ON cs.calc_strategy_id = t.calc_strategy_id
+        JOIN periodize_strategy ps ON ps.periodize_strategy_id = t.periodize_strategy_id
+        LEFT JOIN serie_type st ON st.serie_type_id = t.serie_type_id
+        LEFT JOIN serie_type xt ON xt.serie_type_id = t.comparison_serie_type_id,
+        LATERAL (SELECT CASE WHEN validity_start <= validity_end
+                             THEN month(m.date_id) BETWEEN validity_start AND validity_end
+                             ELSE month(m.date_id) >= validity_start OR month(m.date_id) <= validity_end
+                        END AS inside)""",
+    "priced": """
+        SELECT a.facility_id, a.date_id, a.subscribed_power, a.connection_power, s.* EXCLUDE (date_id),
+               r.serie_value, x.serie_value AS comparison_value
+        FROM disjointly_assigned a
+        JOIN price_sheet s ON s.customer_group_id = a.customer_group_id AND s.date_id = a.date_id
+        LEFT JOIN meter r ON r.facility_id = a.facility_id AND r.date_id = a.date_id
+                         AND r.serie_type_code = s.serie_type_code
+        LEFT JOIN meter x ON x.facility_id = a.facility_id AND x.date_id = a.date_id
+                         AND x.serie_type_code = s.comparison_serie_type_code""",
+    "calculated": """
+        SELECT *, CAST(CASE calc_strategy
+            WHEN 'fixed' THEN 1
+            WHEN 'per_unit' THEN serie_value
+            WHEN 'subscribed_power' THEN CAST(subscribed_power AS DECIMAL(17,6))
+            WHEN 'connection_power' THEN CAST(connection_power AS DECIMAL(17,6))
+            ELSE CASE WHEN excess > 0 THEN excess WHEN excess <= 0 THEN 0 END END AS DECIMAL(17,6)) AS quantity
+        FROM (SELECT *, CAST(serie_value - overshoot_limit * CASE calc_strategy
+                  WHEN 'overshoot_subscribed_power' THEN CAST(subscribed_power AS DECIMAL(17,6))
+                  WHEN 'overshoot_connection_power' THEN CAST(connection_power AS DECIMAL(17,6))
+                  WHEN 'overshoot_comparison_meter_data_serie' THEN comparison_value END
+                  AS DECIMAL(30,12)) AS excess
+              FROM priced)""",
+    "share": """
+        SELECT *,
+               CASE periodize_strategy WHEN 'per_year_periodize_over_month_length'
+                    THEN day(last_day(date_id)) ELSE 1 END AS part,
+               CASE periodize_strategy WHEN 'per_year_periodize_over_month_length'
+                    THEN CASE WHEN year(date_id) % 4 = 0 AND (year(date_id) % 100 != 0 OR year(date_id) % 400 = 0)
+                              THEN 366 ELSE 365 END
+                    WHEN 'per_year_divide_by_12' THEN 12 ELSE 1 END AS whole,
+               -- Products in units of 10^-12 as whole numbers, so that rounding is exact.
+               CAST(replace(CAST(quantity * price AS VARCHAR), '.', '') AS HUGEINT) AS units,
+               CAST(replace(CAST(quantity * authority_fee AS VARCHAR), '.', '') AS HUGEINT) AS fee_units
+        FROM calculated""",
+    "amount": """
+        SELECT *,
+               CAST(CAST((2 * units * part + whole * 1000000) // (2 * whole * 1000000) AS DECIMAL(20,0))
+                    * CAST(0.000001 AS DECIMAL(6,6)) AS DECIMAL(20,6)) * CASE WHEN is_revenue THEN 1 ELSE -1 END
+                   AS amount,
+               CAST(CAST((2 * fee_units * part + whole * 1000000) // (2 * whole * 1000000) AS DECIMAL(20,0))
+                    * CAST(0.000001 AS DECIMAL(6,6)) AS DECIMAL(20,6)) * CASE WHEN is_revenue THEN 1 ELSE -1 END
+                   AS fee_amount
+        FROM share""",
+}
 
 
 def _sql(body: str) -> str:
@@ -500,6 +618,29 @@ _BODIES = {
         SELECT facility_id, date_id, count(*) AS nr_duplicates FROM assigned
         WHERE customer_group_id IS NOT NULL AND {_J5_RANGE} GROUP BY ALL HAVING count(*) > 1""",
     "j4_meter_import": f"SELECT {_METER} FROM meter",
+    "x1_calculated_quantity": """
+        SELECT facility_id, date_id, tariff_component_id, calc_strategy, quantity FROM calculated""",
+    "x2_periodized_cost": """
+        SELECT facility_id, date_id, tariff_component_id, periodize_strategy,
+               CAST(amount AS DECIMAL(20,6)) AS amount, CAST(fee_amount AS DECIMAL(20,6)) AS fee_amount
+        FROM amount""",
+    "x3_price_sheet": "SELECT * FROM price_sheet",
+    "x4_tariff_months": "SELECT * FROM tariff_month",
+    "x5_monthly_totals": """
+        SELECT facility_id, date_id,
+               CAST(coalesce(sum(amount) FILTER (is_revenue), 0) AS DECIMAL(20,3)) AS revenue,
+               CAST(coalesce(sum(amount) FILTER (NOT is_revenue), 0) AS DECIMAL(20,3)) AS cost,
+               CAST(coalesce(sum(amount), 0) AS DECIMAL(20,3)) AS balance,
+               CAST(coalesce(sum(fee_amount), 0) AS DECIMAL(20,3)) AS authority_fee,
+               count(*) AS nr_components, count(*) FILTER (amount IS NULL) AS nr_without_value
+        FROM amount GROUP BY facility_id, date_id""",
+    "x6_priced_contracts": """
+        SELECT facility_id, date_id, tariff_component_id, customer_group_id, tariff_cost_group_id, tariff_id
+        FROM priced""",
+    "x6_unavailable_components": """
+        SELECT tariff_component_id, tariff_component_type_id, tariff_cost_group_id, tariff_id
+        FROM component JOIN cost_group USING (tariff_cost_group_id)
+        WHERE tariff_component_type_id = 2 * tariff_id""",
     "j5_map_facilities": f"""
         SELECT coalesce(l.facility_id, s.facility_id) AS facility_id,
                coalesce(l.date_id, s.date_id) AS date_id,

@@ -14,7 +14,7 @@ from voltledger import schemas
 from voltledger.demo import adapters as a
 from voltledger.functions.conversion import cast_present
 from voltledger.functions.intervals import filter_interval
-from voltledger.operators import checks, constraints, grouping, resolve, upsert
+from voltledger.operators import checks, constraints, grouping, resolve, tariffs, upsert
 from voltledger.plans import jobs
 from voltledger.results import JobReport, Upsert
 from voltledger.schemas import DATE, INT, SERIE_VALUE_TYPE, struct
@@ -604,6 +604,76 @@ def flagship(spark, sf_dir):
     return _assigned(spark, sf_dir)
 
 
+# --- tariff costs ----------------------------------------------------------------------------
+
+
+def _tariff_months(spark, sf_dir):
+    span = a.contracts(spark, sf_dir).agg(F.min("date_id"), F.max("date_id")).first()
+    return tariffs.tariff_months(a.tariffs(spark, sf_dir), *span)
+
+
+def x4_tariff_months(spark, sf_dir):
+    return _tariff_months(spark, sf_dir)
+
+
+def _price_sheet(spark, sf_dir):
+    return tariffs.price_sheet(
+        _tariff_months(spark, sf_dir),
+        a.tariff_cost_groups(spark, sf_dir),
+        a.cost_group_links(spark, sf_dir),
+        a.tariff_components(spark, sf_dir),
+        a.component_types(spark),
+        seed_table(spark, "calc_strategy"),
+        seed_table(spark, "periodize_strategy"),
+        seed_table(spark, "serie_type"),
+    )
+
+
+def x3_price_sheet(spark, sf_dir):
+    return _price_sheet(spark, sf_dir)
+
+
+def _priced(spark, sf_dir):
+    rules = grouping.prepare_rules(a.customer_groups(spark, a.DISJOINT_GROUPS)).rules
+    links = grouping.links_of(grouping.assign_groups(a.contracts_with_type(spark, sf_dir), rules))
+    return tariffs.priced_contracts(
+        a.contracts(spark, sf_dir), links, a.meter_rows(spark, sf_dir), _price_sheet(spark, sf_dir)
+    )
+
+
+def x6_priced_contracts(spark, sf_dir):
+    return _priced(spark, sf_dir).select(
+        *tariffs.COMPONENT_KEY, "customer_group_id", "tariff_cost_group_id", "tariff_id"
+    )
+
+
+def x1_calculated_quantity(spark, sf_dir):
+    calculated = tariffs.with_quantity(_priced(spark, sf_dir))
+    return calculated.select(*tariffs.COMPONENT_KEY, "calc_strategy", "quantity")
+
+
+def _amounts(spark, sf_dir):
+    return tariffs.with_amounts(tariffs.with_quantity(_priced(spark, sf_dir)))
+
+
+def x2_periodized_cost(spark, sf_dir):
+    return _amounts(spark, sf_dir).select(
+        *tariffs.COMPONENT_KEY, "periodize_strategy", "amount", "fee_amount"
+    )
+
+
+def x5_monthly_totals(spark, sf_dir):
+    return tariffs.monthly_totals(_amounts(spark, sf_dir))
+
+
+def x6_unavailable_components(spark, sf_dir):
+    return tariffs.unavailable_components(
+        a.tariff_components(spark, sf_dir),
+        a.tariff_cost_groups(spark, sf_dir),
+        a.component_type_links(spark, sf_dir),
+    )
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -673,6 +743,13 @@ QUERIES: dict[str, Query] = {
         j5_map_facilities,
         j5_mapping_refused,
         k9_contract_correction,
+        x1_calculated_quantity,
+        x2_periodized_cost,
+        x3_price_sheet,
+        x4_tariff_months,
+        x5_monthly_totals,
+        x6_priced_contracts,
+        x6_unavailable_components,
     )
 } | {
     "m6_map_by_product": _by_strategy("product"),

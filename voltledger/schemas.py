@@ -197,7 +197,7 @@ LINK = Table(
     partition_by="date_id",
 )
 
-# Tariff tables: part of the data model, filled by nobody and read by no job.
+# Tariff tables: the price lists that plans/costs.py computes with, filled by the user.
 TARIFF = Table(
     "tariff",
     struct(
