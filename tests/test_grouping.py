@@ -112,19 +112,22 @@ def brute_force(contracts, groups):
     return sorted(links)
 
 
-@pytest.mark.parametrize("max_broadcast_rules", [grouping.BROADCAST_MAX_RULES, 3])
-def test_against_brute_force(spark, max_broadcast_rules):
+@pytest.mark.parametrize("way", ["direct", "segments", "segments by shuffle"])
+def test_against_brute_force(spark, monkeypatch, way):
     rng = random.Random(7)
     contracts, groups = random_contracts(rng, 400), random_groups(rng, 60)
     rules = grouping.prepare_rules(local_table(spark, groups, GROUP)).rules
-    if max_broadcast_rules == 3:
+    if way == "segments by shuffle":
+        monkeypatch.setattr(grouping, "BROADCAST_MAX_NODES", 3)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assigned = grouping.assign_groups(
-            local_table(spark, contracts, CONTRACT), rules, max_broadcast_rules
+            local_table(spark, contracts, CONTRACT), rules, 200 if way == "direct" else 3
         )
         plan = assigned._jdf.queryExecution().executedPlan().toString()
-        assert ("_salt" in plan) == ("BroadcastHashJoin" not in plan) == (max_broadcast_rules == 3)
+        assert ("node_key" in plan) == (way != "direct")
+        assert ("BroadcastHashJoin" in plan) == (way != "segments by shuffle")
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
         assigned = assigned.cache()
         assigned.count()
     finally:
@@ -137,6 +140,7 @@ def test_against_brute_force(spark, max_broadcast_rules):
     assert {r.facility_id for r in unmapped.collect()} == {
         c["facility_id"] for c in contracts
     } - {facility for facility, _ in expected}
+    assigned.unpersist()
 
 
 def test_strategies_add_up(spark):
@@ -198,3 +202,42 @@ def test_contracts_are_not_shuffled(spark, tmp_path):
     assert plan.count("FileScan") == 1
     assert "BroadcastHashJoin [facility_type_id" in plan
     assert "Exchange hashpartitioning" not in plan and "NestedLoop" not in plan
+
+
+def test_many_rules_meet_contracts_by_equal_keys(spark):
+    """20 000 rules on one axis, narrow ones and wide ones that hold a third of all values: bounds, gaps
+    and values beyond all bounds."""
+    rng = random.Random(5)
+    narrow = [(i * 10.0, i * 10.0 + 8, rng.random() < 0.5, rng.random() < 0.5) for i in range(19_990)]
+    wide = [(1000.0 * i, None if i == 3 else 1000.0 * i + 66_000.5, False, True) for i in range(10)]
+    groups = [
+        {"customer_group_id": i, "mapping_strategy_code": "subscribed_power", "facility_type_id": 1,
+         "min_subscribed_power": low, "max_subscribed_power": high, "min_bound_included": first,
+         "max_bound_included": last}
+        for i, (low, high, first, last) in enumerate(narrow + wide, start=1)
+    ]
+    rules = grouping.prepare_rules(local_table(spark, groups, GROUP)).rules
+    values = [-1.0, 0.0, 1e7, 66_000.5, *(rng.randrange(2_010_000) / 10 for _ in range(3000))]
+    values += [rng.randrange(20_100) * 10.0 + rng.choice([0, 8]) for _ in range(1000)]
+    contracts = spark.createDataFrame(
+        [(i, v) for i, v in enumerate(values)], "facility_id long, subscribed_power double"
+    ).selectExpr(
+        "facility_id", "DATE'2025-01-01' AS date_id", "CAST(NULL AS INT) AS fuse_size", "subscribed_power",
+        "CAST(NULL AS DOUBLE) AS connection_power", "1 AS customer_type_id", "CAST(NULL AS INT) AS product_id",
+        "1 AS facility_type_id")
+    assigned = grouping.assign_groups(contracts, rules)
+    plan = assigned._jdf.queryExecution().executedPlan().toString()
+    assert "node_key" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+    got = {}
+    for row in assigned.collect():
+        got.setdefault(row.facility_id, set()).add(row.customer_group_id)
+
+    def rules_of(v):
+        i = int(v // 10)
+        near = [(j + 1, narrow[j]) for j in (i,) if 0 <= j < len(narrow)]
+        for k, (low, high, first, last) in near + [(len(narrow) + 1 + j, w) for j, w in enumerate(wide)]:
+            above = v > low or (first and v == low)
+            if above and (high is None or v < high or (last and v == high)):
+                yield k
+
+    assert got == {i: set(rules_of(v)) or {None} for i, v in enumerate(values)}

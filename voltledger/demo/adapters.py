@@ -116,6 +116,32 @@ def customer_groups(spark: SparkSession, groups: tuple[tuple, ...] = CUSTOMER_GR
     return local_table(spark, rows, struct(**columns, mapping_strategy_code=STRING))
 
 
+# A rule per part: by product, or by an interval of subscribed power (consumption) or connection power.
+PART_GROUP_VALUES = (
+    "CASE WHEN p_partkey % 7 = 0 THEN 'product' WHEN p_partkey % 2 = 0 THEN 'subscribed_power'"
+    " ELSE 'connection_power' END AS mapping_strategy_code",
+    "p_partkey * 37 % 1500 + p_size / 8 AS lower",
+    "CASE WHEN p_partkey % 501 > 0 THEN p_partkey * 37 % 1500 + p_size / 2 END AS upper",
+    "p_partkey % 3 = 0 AS min_bound_included",
+    "p_partkey % 5 < 3 AS max_bound_included",
+    "CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 2 END AS facility_type_id",
+    "CASE WHEN p_partkey % 11 < 4 THEN p_partkey % 11 % 2 + 1 END AS customer_type_id",
+    "CASE WHEN p_partkey % 7 < 2 THEN p_size % 6 + 1 END AS product_id",
+    "CASE WHEN p_partkey % 13 = 1 THEN 2 END AS not_product_id",
+)
+
+
+def part_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many customer groups as parts, with narrow intervals and some without an end."""
+    values = table(spark, sf_dir, "part").selectExpr("p_partkey + 1 AS customer_group_id", *PART_GROUP_VALUES)
+    bounds = [
+        f"CASE WHEN mapping_strategy_code = '{name}' THEN {side} END AS {bound}_{name}"
+        for name in ("fuse_size", "subscribed_power", "connection_power")
+        for bound, side in (("min", "lower"), ("max", "upper"))
+    ]
+    return values.selectExpr("*", *bounds)
+
+
 def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").selectExpr(
         "c_custkey + 1 AS facility_id",

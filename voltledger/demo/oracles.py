@@ -229,6 +229,11 @@ _TABLES = {
              END""",
 }
 _TABLES["disjointly_assigned"] = _TABLES["assigned"].replace("customer_group g", "disjoint_group g")
+_TABLES["part_group"] = f"""
+    SELECT *, lower AS min_subscribed_power, upper AS max_subscribed_power, lower AS min_connection_power,
+           upper AS max_connection_power, lower AS min_fuse_size, upper AS max_fuse_size
+    FROM (SELECT CAST(p_partkey + 1 AS BIGINT) AS customer_group_id, {', '.join(a.PART_GROUP_VALUES)} FROM part)"""
+_TABLES["assigned_by_part"] = _TABLES["assigned"].replace("customer_group g", "part_group g")
 _KINDS = len(a.COMPONENT_TYPES)
 _TABLES |= {
     "calc_strategy": _code_table(CALC_STRATEGIES, "calc_strategy_id"),
@@ -624,6 +629,7 @@ _BODIES = {
         SELECT facility_id, date_id, tariff_component_id, periodize_strategy,
                CAST(amount AS DECIMAL(20,6)) AS amount, CAST(fee_amount AS DECIMAL(20,6)) AS fee_amount
         FROM amount""",
+    "d7_many_rules": "SELECT facility_id, date_id, customer_group_id FROM assigned_by_part",
     "x3_price_sheet": "SELECT * FROM price_sheet",
     "x4_tariff_months": "SELECT * FROM tariff_month",
     "x5_monthly_totals": """

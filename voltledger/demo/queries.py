@@ -305,6 +305,13 @@ def _assigned(spark, sf_dir):
     return grouping.assign_groups(a.contracts_with_type(spark, sf_dir), rules)
 
 
+def d7_many_rules(spark, sf_dir):
+    """A rule per part: contracts meet them by the segments their values lie in."""
+    rules = grouping.prepare_rules(a.part_groups(spark, sf_dir)).rules
+    assigned = grouping.assign_groups(a.contracts_with_type(spark, sf_dir), rules, max_direct_rules=100)
+    return assigned.selectExpr("facility_id", "date_id", "CAST(customer_group_id AS LONG) AS customer_group_id")
+
+
 def v13_unmapped_contracts(spark, sf_dir):
     return grouping.unmapped_of(_assigned(spark, sf_dir))
 
@@ -717,6 +724,7 @@ QUERIES: dict[str, Query] = {
         d3_contract_resolution,
         d4_meter_resolution,
         d6_contracts_without_link,
+        d7_many_rules,
         m1_product_insert,
         m1_product_update,
         m2_facility_insert,

@@ -2,7 +2,8 @@
 
 A customer group is a rule: a facility type, optionally a customer type, a product and a product to
 stay clear of, and a strategy, which is either the product itself or an interval on the fuse size,
-the subscribed power or the connection power of the contract. All rules are applied in one join.
+the subscribed power or the connection power of the contract. All rules are applied in one join, by equal keys
+where there are many.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltledger import messages
+from voltledger.operators import segments
 from voltledger.operators.checks import duplicate_rows
-from voltledger.operators.joins import fits_broadcast
+from voltledger.operators.joins import broadcast_if_small, fits_broadcast
 from voltledger.results import OperationResult, Upsert
 
 # The contract column each interval strategy looks at; a rule has min_ and max_ columns named alike.
@@ -22,8 +24,10 @@ INTERVAL_COLUMNS = ("fuse_size", "subscribed_power", "connection_power")
 PRODUCT_STRATEGY = "product"
 STRATEGIES = (PRODUCT_STRATEGY, *INTERVAL_COLUMNS)
 
-# A rule is a dozen numbers: this many take a few megabytes in every executor.
-BROADCAST_MAX_RULES = 10_000
+# So many rules of a facility type are tried one by one.
+DIRECT_MAX_RULES = 200
+# A node of a rule is six numbers: this many take some 100 MB in every executor.
+BROADCAST_MAX_NODES = 1_000_000
 
 LINK_KEY = ("facility_id", "date_id")
 
@@ -114,32 +118,67 @@ def _contract_value() -> Column:
 
 
 def assign_groups(
-    contracts: DataFrame, rules: DataFrame, max_broadcast_rules: int = BROADCAST_MAX_RULES
+    contracts: DataFrame, rules: DataFrame, max_direct_rules: int = DIRECT_MAX_RULES
 ) -> DataFrame:
-    """Contracts with the id of every group they match, null where they match none.
+    """Contracts (unique by facility and month) with the id of every group they match, null where they
+    match none.
 
-    The rules are broadcast after their number is checked, so the contracts are read once and not
-    shuffled, and both the links and the unmapped contracts come from this one frame. More rules
-    than that are joined by shuffle, with the contracts of a facility type spread over many tasks
-    and the rules copied to each of them.
+    A few rules are broadcast after their number is checked and tried one by one, so the contracts are read
+    once and not shuffled, and both the links and the unmapped contracts come from this one frame. More
+    rules than that are found by equal keys, see ``segments``.
     """
+    if not fits_broadcast(rules, max_direct_rules):
+        return _assign_by_segments(contracts, rules)
     matches = contract_filter() & (
         (F.col("rule_strategy") == PRODUCT_STRATEGY) | interval_filter()
     )
     same_type = F.col("facility_type_id") == F.col("rule_facility_type_id")
-    if fits_broadcast(rules, max_broadcast_rules):
-        joined = contracts.join(F.broadcast(rules), same_type & matches, "left")
-    else:
-        salts = int(contracts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        salted = contracts.withColumn(
-            "_salt", F.pmod(F.xxhash64(*LINK_KEY), F.lit(salts)).cast("int")
-        )
-        copies = rules.withColumn("_rule_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        same_part = same_type & (F.col("_salt") == F.col("_rule_salt"))
-        joined = salted.join(copies, same_part & matches, "left")
+    joined = contracts.join(F.broadcast(rules), same_type & matches, "left")
     return joined.select(*contracts.columns, F.col("rule_group_id").alias("customer_group_id"))
 
 
+def _assign_by_segments(contracts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Each contract probes the nodes its values lie in; what it finds is collected per contract."""
+    axes = segments.axes_of(rules, INTERVAL_COLUMNS)
+    nodes = segments.rule_nodes(rules, axes, PRODUCT_STRATEGY)
+    levels = segments.used_levels(nodes)
+    nodes = broadcast_if_small(
+        nodes.select(
+            "node_key",
+            "node_product",
+            "rule_facility_type_id",
+            "rule_customer_type_id",
+            "rule_not_product_id",
+            "rule_group_id",
+        ),
+        BROADCAST_MAX_NODES,
+    )
+    of_contract = {
+        f"_segment_{axis.strategy}": segments.segment(F.col(axis.strategy).cast("double"), axis.bounds)
+        for axis in axes
+    }
+    probing = contracts.withColumns(of_contract) if axes else contracts
+    probe = F.explode_outer(segments.probes(axes, levels, F.col("product_id"))).alias("probe")
+    probing = probing.select(*contracts.columns, probe)
+    found = (
+        (F.col("probe.node_key") == F.col("node_key"))
+        & (F.col("probe.node_product") == F.col("node_product"))
+        & (F.col("facility_type_id") == F.col("rule_facility_type_id"))
+        & (F.col("rule_customer_type_id").isNull() | (F.col("customer_type_id") == F.col("rule_customer_type_id")))
+        & (F.col("rule_not_product_id").isNull() | (F.col("product_id") != F.col("rule_not_product_id")))
+    )
+    # The probes of a contract lie side by side: collecting them shrinks the rows before the shuffle.
+    others = [c for c in contracts.columns if c not in LINK_KEY]
+    collected = (
+        probing.join(nodes, found, "left")
+        .groupBy(*LINK_KEY)
+        .agg(*[F.first(c).alias(c) for c in others], F.collect_list("rule_group_id").alias("_groups"))
+    )
+    return collected.select(
+        *contracts.columns, F.explode_outer("_groups").alias("customer_group_id")
+    )
+
+
 def links_of(assigned: DataFrame) -> DataFrame:
     """The links; a contract that matches two groups has two."""
     return assigned.where(F.col("customer_group_id").isNotNull()).select(
