@@ -118,7 +118,7 @@ def customer_groups(spark: SparkSession, groups: tuple[tuple, ...] = CUSTOMER_GR
 
 # A rule per part: by product, or by an interval of subscribed power (consumption) or connection power.
 PART_GROUP_VALUES = (
-    "CASE WHEN p_partkey % 7 = 0 THEN 'product' WHEN p_partkey % 2 = 0 THEN 'subscribed_power'"
+    "CASE WHEN p_partkey % 97 = 0 THEN 'product' WHEN p_partkey % 2 = 0 THEN 'subscribed_power'"
     " ELSE 'connection_power' END AS mapping_strategy_code",
     "p_partkey * 37 % 1500 + p_size / 8 AS lower",
     "CASE WHEN p_partkey % 501 > 0 THEN p_partkey * 37 % 1500 + p_size / 2 END AS upper",
@@ -126,7 +126,7 @@ PART_GROUP_VALUES = (
     "p_partkey % 5 < 3 AS max_bound_included",
     "CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 2 END AS facility_type_id",
     "CASE WHEN p_partkey % 11 < 4 THEN p_partkey % 11 % 2 + 1 END AS customer_type_id",
-    "CASE WHEN p_partkey % 7 < 2 THEN p_size % 6 + 1 END AS product_id",
+    "CASE WHEN p_partkey % 97 = 0 OR p_partkey % 7 < 2 THEN p_size % 6 + 1 END AS product_id",
     "CASE WHEN p_partkey % 13 = 1 THEN 2 END AS not_product_id",
 )
 
