@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import and_
 
@@ -24,6 +24,37 @@ def conflicts_with_stored(new: DataFrame, stored: DataFrame, cols: Sequence[str]
     return new.join(stored.select(*cols), list(cols), "left_semi")
 
 
+def unique_violations_of_changes(
+    changes: DataFrame, stored: DataFrame, key: Sequence[str], cols: Sequence[str]
+) -> DataFrame:
+    """Values of ``cols`` that would occur more than once after ``changes`` replace or join the stored rows
+    with the same ``key``.
+
+    Stored rows were unique before, so only those that share a value with a change and are not replaced
+    themselves count: the stored table is read once and neither grouped nor, for a small drop, shuffled.
+    """
+    cols = list(cols)
+    touched = stored.select(*dict.fromkeys((*key, *cols))).join(changes.select(*cols), cols, "left_semi")
+    staying = touched.join(changes.select(*key), list(key), "left_anti")
+    return unique_violations(changes.select(*cols).unionByName(staying.select(*cols)), cols)
+
+
+def orphans(changes: DataFrame, table: Table, parents: Callable[[str], DataFrame]) -> DataFrame:
+    """Keys in ``changes`` that have no parent row: constraint, key_value (as text), nr_rows.
+
+    Keys are counted before they meet the parents, and only those of the changes are looked up.
+    """
+    parts = []
+    for fk in table.foreign_keys:
+        if fk.column in changes.columns:
+            lacking = foreign_key_violations(changes, fk.column, parents(fk.parent), fk.parent_column)
+            key = F.col(fk.column).cast("string").alias("key_value")
+            parts.append(lacking.select(F.lit(f"{fk.column}_fk").alias("constraint"), key, "nr_rows"))
+    if not parts:
+        return changes.sparkSession.createDataFrame([], "constraint string, key_value string, nr_rows long")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def foreign_key_violations(
     child: DataFrame, column: str, parent: DataFrame, parent_column: str
 ) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voltledger import messages, schemas
-from voltledger.functions.conversion import cast_in_place
+from voltledger.functions.conversion import cast_in_place, conform, has_required_columns
 from voltledger.functions.intervals import BUSINESS_TIMEZONE, resolve_interval
 from voltledger.functions.ordering import ordered
 from voltledger.operators import checks, constraints, grouping, resolve, upsert
@@ -139,17 +139,33 @@ def _lacking(name: str, new: DataFrame, known: DataFrame) -> JobReport | None:
     return None
 
 
+def _not_unique(table: schemas.Table, cols: tuple[str, ...], repeated: DataFrame) -> JobReport:
+    what = "names" if cols == ("name",) else f"values of {cols}"
+    return _failed(f'Unable to save to table "{table.name}", {what} are not unique!', repeated)
+
+
 def _commit_unique(
-    store: TableStore, table: schemas.Table, merged: DataFrame, staging: Staging
+    store: TableStore, table: schemas.Table, stored: DataFrame, changes: DataFrame, staging: Staging
 ) -> JobReport | None:
-    """Publish a table if its unique columns are unique, else a failed report with what repeats."""
-    merged = staging.write(merged)
+    """Publish a table with its changes if its unique columns stay unique, else a failed report with what
+    repeats. Of a version that was checked when it was written only the changes are looked at; another
+    one (written by hand) is checked whole once."""
+    merged = upsert.upsert_by_key(stored, changes, table.key)
+    whole = not store.is_checked(table.name)
+    if whole:
+        merged = staging.write(merged)
     for cols in (table.key, *table.unique):
-        repeated = constraints.unique_violations(merged, cols)
+        if whole:
+            repeated = constraints.unique_violations(merged, cols)
+        elif cols == table.key:
+            repeated = constraints.unique_violations(changes, cols)
+        elif set(cols) <= set(changes.columns):
+            repeated = constraints.unique_violations_of_changes(changes, stored, table.key, cols)
+        else:
+            continue  # values that the changes do not bring stay as they are
         if not repeated.isEmpty():
-            what = "names" if cols == ("name",) else f"values of {cols}"
-            return _failed(f'Unable to save to table "{table.name}", {what} are not unique!', repeated)
-    store.commit(table.name, merged)
+            return _not_unique(table, cols, repeated)
+    store.commit(table.name, merged, checked=True)
     return None
 
 
@@ -173,8 +189,8 @@ def import_products(
     numbered = upsert.assign_ids(
         new, "external_id", "product_id", upsert.max_id(stored, "product_id") + 1, staging
     )
-    merged = upsert.upsert_by_key(stored, known.unionByName(numbered), PRODUCT.key)
-    if (refused := _commit_unique(store, PRODUCT, merged, staging)) is not None:
+    changes = known.unionByName(numbered)
+    if (refused := _commit_unique(store, PRODUCT, stored, changes, staging)) is not None:
         return refused
     drop.done()
     return _imported(nr_new, checked, "products")
@@ -214,8 +230,8 @@ def import_facilities(
     numbered = upsert.assign_ids(
         new, "ean", "facility_id", upsert.max_id(stored, "facility_id") + 1, staging
     )
-    merged = upsert.upsert_by_key(stored, known.unionByName(numbered), FACILITY.key)
-    if (refused := _commit_unique(store, FACILITY, merged, staging)) is not None:
+    changes = known.unionByName(numbered)
+    if (refused := _commit_unique(store, FACILITY, stored, changes, staging)) is not None:
         return refused
     drop.done()
     return _imported(counts.new, checked, "facilities")
@@ -240,6 +256,46 @@ def _merge_months(
     return inserted, nr_changes - inserted
 
 
+@_staged("rows")
+def save_rows(store: TableStore, name: str, rows: DataFrame, *, staging: Staging) -> JobReport:
+    """Insert or update rows of any table by primary key, for instance customer groups and tariffs.
+
+    Nothing is written unless all constraints of the table hold for the rows: required values, first days of
+    months, checks, unique columns and foreign keys, whose parents are looked up in the store. Columns that the
+    rows lack stay as they are, and are null in new rows.
+    """
+    table = schemas.TABLES[name]
+    required = has_required_columns(rows.columns, (*table.key, *table.not_null))
+    if not required.ok:
+        return JobReport(required)
+    known = [c for c in rows.columns if c in table.schema.names]
+    rows = staging.write(cast_in_place(rows.select(*known), table.schema))
+    broken = constraints.row_violations(conform(rows, table.schema), table)
+    counts = {c: n for c, n in broken.first().asDict().items() if n > 0}
+    if counts:
+        listed = ", ".join(f"{c} ({n})" for c, n in counts.items())
+        return _failed(f'Unable to save to table "{name}", rows break: {listed}!')
+    lacking = constraints.orphans(rows, table, store.read)
+    if not lacking.isEmpty():
+        return _failed(f'Unable to save to table "{name}", rows refer to keys that do not exist!', lacking)
+    nr_rows = rows.count()
+    if table.partition_by is not None:
+        for cols in (table.key, *table.unique):
+            repeated = constraints.unique_violations(rows, cols)
+            if not repeated.isEmpty():
+                return _not_unique(table, cols, repeated)
+        inserted, updated = _merge_months(store, name, rows, table.key, nr_rows)
+    else:
+        stored = store.read(name)
+        before = stored.count()
+        if (refused := _commit_unique(store, table, stored, rows, staging)) is not None:
+            return refused
+        inserted = store.read(name).count() - before
+        updated = nr_rows - inserted
+    text = messages.IMPORTED.format(new=inserted, known=updated, noun=f'rows of "{name}"')
+    return JobReport(OperationResult(short_msg=text), inserted, updated)
+
+
 @_staged("contracts")
 def import_contracts(
     store: TableStore, path: str, method: str = "file", *, staging: Staging

@@ -16,6 +16,8 @@ from voltledger.schemas import TABLES
 from voltledger.sources.staging import hadoop_path
 
 COMMITTED = "_SUCCESS"
+# Beside it: the unique columns of this version were found unique when it was written.
+CHECKED = "_UNIQUE"
 
 
 class TableStore:
@@ -76,14 +78,26 @@ class TableStore:
         reader = self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}")
         return reader.parquet(*paths).select(*schema.names)
 
-    def commit(self, name: str, df: DataFrame) -> None:
-        """Publish ``df``: as the whole table, or as the months it contains."""
+    def is_checked(self, name: str) -> bool:
+        """Whether the current version of a table (one without months) was written as checked."""
+        for version in self._versions(name):
+            children = self._children(f"{self.root}/{name}/version={version}")
+            if COMMITTED in children:
+                return CHECKED in children
+        return True
+
+    def commit(self, name: str, df: DataFrame, checked: bool = False) -> None:
+        """Publish ``df``: as the whole table, or as the months it contains. ``checked`` says that its
+        unique columns are unique, so that a later commit need only look at what it changes."""
         table = TABLES[name]
         version = max(self._versions(name), default=0) + 1
         path = f"{self.root}/{name}/version={version}"
         df = conform(df, table.schema)
         if table.partition_by is None:
             df.write.parquet(path)
+            if checked:
+                file_system, marker = hadoop_path(self.spark, f"{path}/{CHECKED}")
+                file_system.create(marker).close()
             return
         # Rebalance splits a large month over several tasks; a plain repartition would not.
         (
