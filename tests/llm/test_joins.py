@@ -169,18 +169,43 @@ def cone_links(spark, rows, pairs):
     return near.sum(axis=1), np.array([got[i] for i in range(len(all_rows))])
 
 
-def test_embedding_cone_is_whole(spark):
+def passes_of(spark, table):
+    """The largest number of passes and the number of hard vectors of a table of one label."""
+    teams = spark.createDataFrame([("1", i, v.tolist()) for i, v in enumerate(table)],
+                                  "team string, node long, vector array<double>")
+    sizes = teams.groupBy("team").agg(F.count("*").alias("n"))
+    row = embedding_dedup._planned(teams, sizes, Staging(spark, "test")).agg(
+        F.max("passes").alias("passes"), F.count_if("hard").alias("hard")).first()
+    return row.passes, row.hard
+
+
+def test_embedding_cone_by_passes(spark):
+    """At real settings a crowded team takes more passes than an even one, and hardly any blocks."""
     wanted, got = cone_links(spark, 4000, 300)
+    assert np.abs(wanted - got).sum() <= 0.0005 * wanted.sum()
+    passes, hard = passes_of(spark, cone(4000, 300))
+    assert passes > embedding_dedup.passes_for(4300) and hard < 10
+
+
+def test_embedding_small_label_is_one_pass(spark):
+    wanted, got = cone_links(spark, 40, 10)
     assert (wanted == got).all()
+    assert passes_of(spark, cone(40, 10)) == (1, 0)
+    assert passes_of(spark, cone(60, 20))[0] > 1
 
 
-def test_embedding_cone_by_passes(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
-    planned, plans = embedding_dedup.plan, []
-    monkeypatch.setattr(embedding_dedup, "plan", lambda *a: plans.append(planned(*a)) or plans[-1])
-    wanted, got = cone_links(spark, 4000, 300)
-    assert plans[0][0] > embedding_dedup.passes_for(4300)
-    assert np.abs(wanted - got).sum() <= 0.002 * wanted.sum()
+def test_embedding_runs_of_equal_numbers_meet_in_blocks(spark):
+    """Vectors in almost one direction share all signs: no window holds them."""
+    rnd = np.random.default_rng(5)
+    table = np.concatenate([cone(150, 20), 1 + 1e-13 * rnd.standard_normal((300, 32))])
+    near = (unit := table / np.linalg.norm(table, axis=1, keepdims=True)) @ unit.T >= embedding_dedup.THRESHOLD
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(table)],
+                               "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.embedding_dedup(df).collect()}
+    assert [got[i] for i in range(len(table))] == near.sum(axis=1).tolist()
+    passes, hard = passes_of(spark, table)
+    assert passes > 0 and hard > 100
 
 
 def test_plan_leaves_crowded_vectors_to_the_blocks():
@@ -190,6 +215,7 @@ def test_plan_leaves_crowded_vectors_to_the_blocks():
     assert embedding_dedup.plan(n, {7: n - 10, embedding_dedup.NEVER: 10}) == (even, cut)
     assert embedding_dedup.plan(n, {embedding_dedup.NEVER: n}) == (0, 0)
     assert embedding_dedup.plan(n, {7: n // 2, 16: n // 2})[0] > even
+    assert embedding_dedup.plan(n, {7: n // 2, 40: n // 2}) == (even, cut)
 
 
 def test_window_passes_grow_with_the_table():

@@ -1,17 +1,17 @@
-"""Near-duplicate vectors by exact blocks and sorted projection passes (operator 9).
+"""Near-duplicate vectors by sorted projection passes (operator 9).
 
 Vectors with equal labels and a cosine of 0.93 or more (in double precision) are linked. Equal vectors
-of a label form a class and one stands for all. The classes of one label and length are a team. All
-pairs of a team are verified, in blocks, where that is cheaper than passes, as in every small team.
-
-In a larger team each pass writes a vector's signs against random hyperplanes, from the centre of the
-team, as one number, orders the team by it and verifies every vector against the ``WINDOW`` that follow.
-A pair is found in a pass when it agrees on the signs that leave a window of vectors. How many signs that
-takes is measured: trial orders tell for each vector how many signs it shares with the vector a window
-away, and its distance from the centre how likely a partner at the threshold is to agree on one more. The
-passes are as many as find the pairs of the team with the target probability. Vectors too crowded for a
-number of passes that pays are verified against the whole team, in blocks; the cut between the two ways
-is where their cost is least, and crowding moves cost, not recall.
+of a label form a class and one stands for all. The classes of one label and length are a team.
+
+Each pass writes a vector's signs against random hyperplanes, from the centre of its team, as one number,
+orders the team by it and verifies every vector against the ``WINDOW`` that follow. One pass compares all
+pairs of a team of up to ``WINDOW`` + 1 vectors. In a larger one a pair is found in a pass when it agrees on
+the signs that leave a window of vectors. How many signs that takes is measured: trial orders tell for each
+vector how many signs it shares with the vector a window away, and its distance from the centre how likely a
+partner at the threshold is to agree on one more. The passes are as many as find the pairs of the team with the
+target probability. Vectors in runs of equal numbers longer than a window, or so crowded that they would need
+``CROWDED`` times the passes that evenly spread vectors need, are verified against their whole team, in
+blocks; crowding moves cost, not recall.
 
 The verified pairs are united to components. Links of crowds that no window holds are counted exactly in
 a last step, which verifies the members of each component among one another, in chunks, and counts links
@@ -44,6 +44,7 @@ CHUNK = 512
 BLOCK = 2048
 TRIALS = 8
 CENTRE_ROWS = 1000
+CROWDED = 8
 
 _CLASSED = "vec_id long, label string, key string, vector array<double>"
 _PASSED = "label string, place long, node long, vector array<double>"
@@ -61,37 +62,39 @@ def passes_for(rows: int, recall: float = TARGET_RECALL) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - once)))
 
 
-def _always_exact() -> int:
-    """A team of no more vectors is cheaper to verify whole than by the passes that even vectors need."""
-    rows = BLOCK
-    while rows <= BLOCK * passes_for(rows):
-        rows *= 2
-    return rows
-
-
 def plan(rows: int, counts: dict[int, int], recall: float = TARGET_RECALL) -> tuple[int, int]:
-    """(passes, step) of a team, vectors of this step of ``_step`` or a later one being verified against
-    all others. Cost is counted in rows shuffled."""
-    passes, cut, cost = 0, 0, rows * math.ceil(rows / BLOCK)
-    total = sum(counts.values())
-    easy: list[tuple[float, int]] = []
+    """(passes, cut) of a team by its vectors per step of ``_step``: vectors of step ``cut`` or a later one
+    are verified against all others."""
+    limit = CROWDED * passes_for(rows, recall)
+    easy = []
     for step in sorted(s for s in counts if s < NEVER):
-        easy.append((2.0 ** (-(step + 1) / 4), counts[step]))
-        number = sum(c for _, c in easy)
+        once = min(2.0 ** (-(step + 1) / 4), 0.999)
+        if math.log(1 - recall) / math.log(1 - once) <= limit:
+            easy.append((once, counts[step], step))
+    number = sum(c for _, c, _ in easy)
+    if not number:
+        return 0, 0
+
+    def missed(n: int) -> float:
+        return sum(c * (1 - once) ** n for once, c, _ in easy)
+
+    passes = 1
+    while missed(passes) > (1 - recall) * number:
+        passes += 1
+    return passes, easy[-1][2] + 1
 
-        def missed(n: int) -> float:
-            return sum(c * (1 - once) ** n for once, c in easy)
 
-        low, high = 0, 1
-        while missed(high) > (1 - recall) * number:
-            low, high = high, 2 * high
-        while high - low > 1:
-            middle = (low + high) // 2
-            low, high = (middle, high) if missed(middle) > (1 - recall) * number else (low, middle)
-        needed = high * rows + 2 * (total - number) * math.ceil(rows / BLOCK)
-        if needed < cost:
-            passes, cut, cost = high, step + 1, needed
-    return passes, cut
+def _plans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The plan of each team from its numbers of vectors per step."""
+    for batch in batches:
+        found = [
+            plan(row["n"], {s["step"]: s["count"] for s in row["steps"]}) for row in batch.to_pylist()
+        ]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("team"), pa.array([p for p, _ in found], pa.int32()),
+             pa.array([c for _, c in found], pa.int32())],
+            names=["team", "passes", "cut"],
+        )
 
 
 def _hyperplanes(number: int, width: int) -> np.ndarray:
@@ -391,13 +394,15 @@ def _step(once):
 
 def _planned(teams: DataFrame, sizes: DataFrame, staging: Staging) -> DataFrame:
     """The classes with the passes of their team, whether they are verified against all of it (hard),
-    and the vector as seen from the centre of the team where there are passes."""
-    spark = teams.sparkSession
-    whole = teams.withColumn("passes", F.lit(0)).withColumn("hard", F.lit(True))
-    whole = whole.withColumn("centred", F.lit(None).cast("array<double>"))
-    large = sizes.where(F.col("n") > _always_exact()).select("team", "n")
+    and the vector as seen from the centre of the team."""
+    small = sizes.where(F.col("n") <= WINDOW + 1).select("team")
+    small = teams.join(small, "team", "left_semi").select(
+        "team", "node", "vector", F.lit(1).alias("passes"), F.lit(False).alias("hard"),
+        F.col("vector").alias("centred"),
+    )
+    large = sizes.where(F.col("n") > WINDOW + 1).select("team", "n")
     if large.isEmpty():
-        return whole
+        return staging.write(small)
     members = teams.join(large, "team")
     every = F.ceil(F.col("n") / F.lit(CENTRE_ROWS))
     sample = members.where(F.pmod(F.xxhash64("node", F.lit(9)), every) == 0)
@@ -414,14 +419,12 @@ def _planned(teams: DataFrame, sizes: DataFrame, staging: Staging) -> DataFrame:
     tried = staging.write(tried).repartitionByRange(*order).sortWithinPartitions(*order)
     once = tried.mapInArrow(_crowding, "team string, node long, once double")
     steps = staging.write(once.groupBy("team", "node").agg(_step(F.avg("once")).alias("step")))
-    counts: dict[str, dict[int, int]] = {}
-    for row in steps.groupBy("team", "step").count().collect():
-        counts.setdefault(row.team, {})[row.step] = row["count"]
-    plans = [(r.team, *plan(r.n, counts[r.team])) for r in large.collect()]
-    plans = spark.createDataFrame(plans, "team string, passes int, cut int")
-    easy = members.join(steps, ["team", "node"]).join(F.broadcast(plans), "team")
-    easy = easy.withColumn("hard", F.col("step") >= F.col("cut")).select(whole.columns)
-    return staging.write(whole.join(large, "team", "left_anti").unionByName(easy))
+    counts = steps.groupBy("team", "step").agg(F.count("*").alias("count"))
+    counts = counts.groupBy("team").agg(F.collect_list(F.struct("step", "count")).alias("steps"))
+    plans = counts.join(large, "team").mapInArrow(_plans, "team string, passes int, cut int")
+    easy = members.join(steps, ["team", "node"]).join(plans, "team")
+    easy = easy.withColumn("hard", F.col("step") >= F.col("cut")).select(small.columns)
+    return staging.write(small.unionByName(easy))
 
 
 def _block_links(planned: DataFrame) -> DataFrame:
