@@ -97,6 +97,22 @@ def test_ngram_join_edge_cases(docs, no_docs):
     assert len(ids) == len(set(ids)) and {7, 8, 9}.isdisjoint(ids) and {None, 0, 1, 2, 6} <= set(ids)
 
 
+def test_one_doc_id_with_two_texts(spark):
+    """Each text is judged by itself: the unique one of a repeated doc_id stays, the copy goes."""
+    one, other, third = prose(71, 80), prose(72, 80), prose(73, 80)
+    near = " ".join(["new", *third.split()[1:]])
+    rows = [(1, other), (5, one), (5, other), (7, third), (7, near), (7, near), (8, near), (9, ""), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id, r.text or "") for r in ngram_join.keep_one(df).collect())
+    stays = [k for k in kept if k[0] == 7]
+    assert kept == sorted([(1, other), (5, one), *stays, (9, ""), (9, "")])
+    assert len(stays) == 1 and stays[0][1] in (third, near)
+    found = sorted((r.doc_id, r.class_id, r.n_links, r.component_id, r.kept) for r in ngram_join.ngram_join(df).collect())
+    assert found[0] == (1, 1, 1, 1, True) and (5, 5, 0, 5, True) in found and (5, 1, 1, 1, False) in found
+    assert {r[2] for r in found if r[0] in (7, 8)} == {3}
+    assert {r[3] for r in found if r[0] in (7, 8)} == {7}
+
+
 def test_bands_reach_the_recall():
     miss = (1 - 0.8**ngram_join.ROWS_PER_BAND) ** ngram_join.BANDS
     assert miss <= 1 - ngram_join.TARGET_RECALL

@@ -10,8 +10,8 @@ its own, in which links are counted and not listed, so neither a task nor a tabl
 group.
 
 Defined cases: null and empty texts have no shingles and link with nothing; rows with a null doc_id link
-with nothing and have no class; rows with the same doc_id are one node; equal rows count as copies of
-each other; other columns are ignored.
+with nothing and have no class; rows with the same doc_id and different texts are documents of their own,
+told apart by their texts; equal rows count as copies of each other; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -206,37 +206,33 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield finished()
 
 
-def ngram_join(docs: DataFrame, staging: Staging | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (smallest doc_id with the same set), n_links
-    (other rows linked directly, copies included), component_id (smallest doc_id reachable by links,
-    itself included) and kept (the row that stands for its component)."""
-    staging = staging or Staging(docs.sparkSession, "ngram-join")
+def _judged(docs: DataFrame, staging: Staging) -> DataFrame:
+    """The rows of ``ngram_join`` with the hash of their text. A node is a doc_id with a text: the smallest
+    of those that have the set."""
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    node = F.xxhash64(F.col("doc_id").cast("long"), F.col("text_hash")).alias("node")
     signed = staging.write(hashed.mapInArrow(_signatures, _CLASSED))
     named = signed.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
     classes = staging.write(
-        named.groupBy("set_key").agg(
-            F.min(F.struct("doc_id", "text_hash", "bands")).alias("first"), F.count("*").alias("weight")
-        ).select("set_key", F.col("first.doc_id").alias("node"), F.col("first.text_hash").alias("text_hash"),
-                 F.col("first.bands").alias("bands"), "weight")
-    )
-    placed = classes.select(
-        "node", "text_hash", F.posexplode("bands").alias("band", "bucket")
+        named.groupBy("set_key")
+        .agg(F.min(F.struct("doc_id", "text_hash", "bands")).alias("first"), F.count("*").alias("weight"))
+        .select("set_key", "first.doc_id", "first.text_hash", "first.bands", "weight")
+        .select("*", node)
     )
+    placed = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
     crowded = placed.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
     met = placed.join(crowded, ["band", "bucket"])
     chunks = F.ceil(F.col("n") / F.lit(CHUNK)).cast("int")
-    met = met.withColumn("chunk", F.pmod(F.xxhash64("node", "text_hash"), chunks).cast("int"))
+    met = met.withColumn("chunk", F.pmod("node", chunks).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     met = met.select(
-        "node", "text_hash", "band", "bucket", "chunk",
+        "node", "band", "bucket", "chunk",
         F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"),
     )
     met = staging.write(met)
-    texts = hashed.join(met.select(F.col("node").alias("doc_id"), "text_hash").distinct(), ["doc_id", "text_hash"])
-    texts = texts.select(F.col("doc_id").alias("node"), "text_hash", "text")
-    members = met.join(classes.select("node", "text_hash", "weight", "bands"), ["node", "text_hash"])
-    work = members.join(texts, ["node", "text_hash"]).select(
+    texts = hashed.select(node, "text").join(met.select("node").distinct(), "node")
+    members = met.join(classes.select("node", "weight", "bands"), "node")
+    work = members.join(texts, "node").select(
         "band", "bucket", "low", "high", "node", "chunk", "weight", "bands", "text"
     )
     keys = ["band", "bucket", "low", "high"]
@@ -245,31 +241,48 @@ def ngram_join(docs: DataFrame, staging: Staging | None = None) -> DataFrame:
     )
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), staging)
+    own = F.struct("doc_id", "text_hash")
+    joined = classes.select("node", "doc_id", "text_hash").join(joined, "node")
+    first = joined.groupBy("component").agg(F.min(own).alias("first"))
     known = (
-        classes.select("set_key", "node", "weight")
+        classes.select("set_key", "node", "doc_id", "text_hash", "weight")
         .join(links, "node", "left")
-        .join(joined, "node", "left")
+        .join(joined.select("node", "component"), "node", "left")
+        .join(first, "component", "left")
         .select(
             "set_key",
-            F.col("node").alias("class_id"),
+            F.col("doc_id").alias("class_id"),
             (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-            F.coalesce("component", "node").alias("component_id"),
+            F.coalesce("first", own).alias("first"),
         )
     )
     key = F.when(F.col("doc_id").isNotNull(), F.col("set_key"))
-    rows = signed.select("doc_id", key.alias("set_key")).join(known, "set_key", "left")
+    rows = signed.select("doc_id", "text_hash", key.alias("set_key")).join(known, "set_key", "left")
+    stands = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     return rows.select(
         "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-        (F.col("doc_id") == F.coalesce("component_id", "doc_id")).alias("kept"),
+        F.coalesce("first.doc_id", "doc_id").alias("component_id"),
+        F.when(F.col("first").isNull(), F.col("doc_id").isNotNull()).otherwise(stands).alias("kept"),
+        "text_hash",
     )
 
 
+def ngram_join(docs: DataFrame, staging: Staging | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id (smallest doc_id with the same set), n_links
+    (other rows linked directly, copies included), component_id (smallest doc_id reachable by links,
+    itself included) and kept (whether the row, or one equal to it, stands for its component)."""
+    return _judged(docs, staging or Staging(docs.sparkSession, "ngram-join")).drop("text_hash")
+
+
 def keep_one(docs: DataFrame, staging: Staging | None = None) -> DataFrame:
     """One document of each component, with its columns: that with the smallest doc_id. Rows without
-    doc_id stay; of rows with one doc_id a single one does."""
-    kept = ngram_join(docs, staging).where("kept").select("doc_id").distinct()
-    chosen = docs.join(kept, "doc_id").select(*docs.columns).dropDuplicates(["doc_id"])
+    doc_id stay; of rows equal in doc_id and text a single one does."""
+    key = ["doc_id", "text_hash"]
+    kept = _judged(docs, staging or Staging(docs.sparkSession, "ngram-join")).where("kept")
+    named = docs.select(*(F.col(c).alias(f"_doc_{c}") for c in docs.columns),
+                        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    chosen = named.join(kept.select(*key).distinct(), key).dropDuplicates(key)
+    chosen = chosen.select(*(F.col(f"_doc_{c}").alias(c) for c in docs.columns))
     return chosen.unionByName(docs.where("doc_id IS NULL"))
