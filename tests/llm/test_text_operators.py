@@ -420,3 +420,43 @@ def test_license_table_is_an_argument(spark):
 
 def test_license_bands_are_dense_enough():
     assert min(licenses.collision_probability(n) for n in range(1, 200)) > 0.9999
+
+
+@pytest.mark.parametrize("keys", [1, 5, 20, 100])
+def test_few_keys_are_found_too(keys):
+    """Recall of 0.9 over many tables, by the p-values of even draws in one stratum or in several."""
+    rnd = random.Random(keys)
+    found = total = 0
+    for _ in range(2000 // keys):
+        p_values = [rnd.random() for _ in range(keys)]
+        for part in (p_values,) if rnd.random() < 0.5 else (p_values[::2], p_values[1::2]):
+            steps = [0] * secrets.STEPS
+            for p in part:
+                steps[min(int(p * secrets.STEPS), secrets.STEPS - 1)] += 1
+            cut = secrets._cut_off(False, steps)
+            found += sum(p >= (2 if cut is None else cut) for p in part)
+        total += keys
+    assert found >= 0.9 * total
+
+
+def test_ordinary_strings_without_keys_are_not_accepted():
+    low = [40, 6, 2, *[1] * 10] + [0] * (secrets.STEPS - 13)
+    assert secrets._cut_off(False, low) is None or secrets._cut_off(False, low) > 0.12
+    identifiers = [50] + [3] * 30 + [0] * (secrets.STEPS - 31)
+    cut = secrets._cut_off(False, identifiers)
+    assert cut is None or sum(identifiers[int(cut * secrets.STEPS):]) == 0
+    words = [400, 20, 10] + [1] * (secrets.STEPS - 3)
+    assert secrets._cut_off(True, words) is None
+    assert secrets._cut_off(True, [1] + [0] * (secrets.STEPS - 1)) is None
+
+
+@pytest.mark.parametrize("keys", [1, 5, 20])
+def test_random_keys_in_prose(spark, keys):
+    rnd, letters = random.Random(keys), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    planted, rows = {}, []
+    for i in range(60):
+        planted[i] = "".join(rnd.choice(letters) for _ in range(rnd.randrange(24, 49))) if i < keys else ""
+        rows.append((i, f"{prose(i, 30)} {planted[i]} {prose(i + 100, 30)}"))
+    got = {r.doc_id: r.spans for r in secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum("random" in got[i] for i in range(keys)) >= 0.9 * keys
+    assert all(got[i] == "" for i in range(keys, 60))

@@ -15,7 +15,8 @@ Control. Short strings leave the tests little power, so the share of ordinary st
 accepted is estimated by encoding and class of length over the whole table: p-values above one half
 come from keys, which tells how many keys there are, and the rest of what a cut-off accepts is false. In the
 encodings of words and names a share of these (``WORDY_HIGH``) is taken to have such p-values too, so a class
-in which words prevail accepts nothing.
+in which words prevail accepts nothing. A class with few keys leans on what is usual, so that a lone key in a
+table of prose is found too.
 Each class takes the lowest cut-off whose share of false discoveries is at most ``FALSE_SHARE``, or
 accepts nothing. Accepted strings that touch no span of a pattern are reported as kind random.
 
@@ -38,6 +39,10 @@ KINDS = ("assign", "access", "hex", "random")
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
 FALSE_SHARE = 0.05
 STEPS = 100
+# Where a stratum has few keys: how many p-values above one half count as much as all prior belief, and the
+# share of ordinary strings with p-values below and from LOWEST_CUT steps on, in other encodings and in wordy ones.
+TRUSTED, LOWEST_CUT = 200, 3
+ORDINARY = ((0.1, 0.02), (0.3, 0.1))
 MASK = "[SECRET]"
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -223,20 +228,31 @@ def cut_offs(docs: DataFrame) -> dict[str, float]:
     by: dict[str, list[int]] = {}
     for row in counts:
         by.setdefault(row.stratum, [0] * STEPS)[row.step] += row["count"]
-    out = {}
-    for stratum, steps in by.items():
-        high = sum(steps[STEPS // 2 :])
-        if stratum.split(":")[0] in WORDY:
-            words = max(0.0, (sum(steps) - 2 * high) / (1 - 2 * WORDY_HIGH))
-            high = max(0.0, high - WORDY_HIGH * words)
-        keys = 2.0 * high
-        for cut in range(1, STEPS // 2 + 1):
-            accepted = sum(steps[cut:])
-            expected = keys * (1 - cut / STEPS)
-            if accepted and accepted - expected <= FALSE_SHARE * accepted:
-                out[stratum] = cut / STEPS
-                break
-    return out
+    cuts = {stratum: _cut_off(stratum.split(":")[0] in WORDY, steps) for stratum, steps in by.items()}
+    return {stratum: cut for stratum, cut in cuts.items() if cut is not None}
+
+
+def _cut_off(wordy: bool, steps: list[int]) -> float | None:
+    """The lowest p-value from which at most ``FALSE_SHARE`` of a stratum's candidates are ordinary strings.
+
+    What the p-values above one half tell of the number of keys is trusted as it grows past ``TRUSTED`` of
+    them. Below that the number of false ones is rather what ordinary strings elsewhere have such
+    p-values by (``ORDINARY``), unless the p-values at hand exceed those of keys beyond chance.
+    """
+    high = sum(steps[STEPS // 2 :])
+    if wordy:
+        words = max(0.0, (sum(steps) - 2 * high) / (1 - 2 * WORDY_HIGH))
+        high = max(0.0, high - WORDY_HIGH * words)
+    keys, trust = 2.0 * high, high / (high + TRUSTED)
+    ordinary = max(0.0, sum(steps) - keys)
+    for cut in range(1, STEPS // 2 + 1):
+        accepted = sum(steps[cut:])
+        measured = accepted - keys * (1 - cut / STEPS)
+        usual = ordinary * ORDINARY[wordy][cut >= LOWEST_CUT]
+        guessed = max(usual, measured - 2 * accepted**0.5)
+        if accepted and trust * measured + (1 - trust) * guessed <= FALSE_SHARE * accepted:
+            return cut / STEPS
+    return None
 
 
 def secret_spans(text: Column, cuts: dict[str, float]) -> Column:
