@@ -48,8 +48,9 @@ from voltledger.sources.staging import Staging
 BLOCK_BYTES = 16 << 20
 PART_BYTES = 512 << 10
 MEMO_PIECES = 1_000_000
-#: A pair of ids as one number.
-SHIFT = 32
+#: A pair of ids as one number; with a text's place in its part before it, they sort as one number too.
+SHIFT = 20
+PAIR = (1 << 2 * SHIFT) - 1
 
 PARTS = (
     "block string, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -72,6 +73,8 @@ class ByteSide:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        if self.library.get_vocab_size() > 1 << SHIFT:
+            raise ValueError("Ids beyond 20 bits!")
         self.library.encode_special_tokens = True
         letters = {c: b for b, c in enumerate(_byte_letters())}
         self.raw = np.full(self.library.get_vocab_size(), b"", object)
@@ -156,12 +159,14 @@ def align(column: pa.Array, path_a: str, path_b: str) -> Aligned:
     link_a, link_b = _links(a_start, a_doc, b_start, b_doc)
 
     # A token's group is the number of common ends before its own end.
-    common = np.intersect1d(a_end, b_end, assume_unique=True)
-    doc_of = a_doc[np.searchsorted(a_end, common)]
-    groups = np.bincount(doc_of, minlength=rows)
+    at = np.minimum(np.searchsorted(b_end, a_end), max(len(b_end) - 1, 0))
+    a_cut = b_end[at] == a_end
+    b_cut = np.zeros(len(b_end), bool)
+    b_cut[at[a_cut]] = True
+    groups = np.bincount(a_doc[a_cut], minlength=rows)
     base = np.cumsum(groups) - groups
-    a_group = np.searchsorted(common, a_end) - base[a_doc]
-    b_group = np.searchsorted(common, b_end) - base[b_doc]
+    a_group = np.cumsum(a_cut) - a_cut - base[a_doc]
+    b_group = np.cumsum(b_cut) - b_cut - base[b_doc]
     return Aligned(a_ids, a_doc, a_group, b_ids, b_doc, b_group, groups, link_a, link_b)
 
 
@@ -175,19 +180,14 @@ def _concatenated(parts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links(a_start, a_doc, b_start, b_doc) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of places of tokens whose spans overlap, by side A, then side B."""
+    """All pairs of places of tokens whose spans overlap, each once."""
     a = pd.DataFrame({"doc": a_doc, "start": a_start, "a": np.arange(len(a_doc))})
     b = pd.DataFrame({"doc": b_doc, "start": b_start, "b": np.arange(len(b_doc))})
-    covered_a = pd.merge_asof(a, b, on="start", by="doc")
-    covered_b = pd.merge_asof(b, a, on="start", by="doc")
-    pairs = np.concatenate(
-        [
-            covered_a["a"].to_numpy() << SHIFT | covered_a["b"].to_numpy(np.int64),
-            covered_b["a"].to_numpy(np.int64) << SHIFT | covered_b["b"].to_numpy(),
-        ]
-    )
-    pairs = np.unique(pairs)
-    return pairs >> SHIFT, pairs & ((1 << SHIFT) - 1)
+    covered_a = pd.merge_asof(a, b, on="start", by="doc")["b"].to_numpy(np.int64)
+    covered_b = pd.merge_asof(b, a, on="start", by="doc")["a"].to_numpy(np.int64)
+    # Tokens that start together cover each other: the union takes them from the first direction.
+    other = np.flatnonzero(a_start[covered_b] != b_start)
+    return np.append(a["a"].to_numpy(), covered_b[other]), np.append(covered_a, other)
 
 
 def group_texts(found: Aligned, size: int) -> list[str]:
@@ -281,14 +281,12 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             for text in group_texts(found, size):
                 hashes.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
             key = found.a_ids[found.link_a] << SHIFT | found.b_ids[found.link_b]
-            order = np.lexsort((key, link_doc))
-            key, link_doc = key[order], link_doc[order] + first
-            opens = np.flatnonzero(
-                np.append(True, (key[1:] != key[:-1]) | (link_doc[1:] != link_doc[:-1]))[: len(key)]
-            )
-            entries.append((link_doc[opens], key[opens], np.diff(np.append(opens, len(key)))))
+            key = np.sort(link_doc << 2 * SHIFT | key)
+            opens = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+            times = np.diff(np.append(opens, len(key)))
+            entries.append(((key[opens] >> 2 * SHIFT) + first, key[opens] & PAIR, times))
         doc, key, times = (np.concatenate(x) for x in zip(*entries))
-        pairs, number = np.unique(key, return_inverse=True)
+        pairs, _, number = distinct(key)
         links = np.bincount(number, weights=times, minlength=len(pairs)).astype(np.int64)
         edges = np.searchsorted(doc, np.arange(rows + 1))
         spans = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
