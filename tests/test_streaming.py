@@ -128,3 +128,24 @@ def test_rejected_drop_never_overwrites_a_newer_one(spark, run, store, fill, wri
     fill(store, "facility", [*everyone, {**everyone[0], "facility_id": 99, "ean": 1}])
     assert run() == []
     assert stored(spark, run.root) == golden.stored_meter_rows(golden.ACTIVE_ENERGY)
+
+
+def test_rejected_drop_gives_way_by_month_only(spark, run, store, fill, write_drop):
+    """Two months are rejected, then the second one is corrected: the first one still arrives."""
+    rows = golden.meter_drop(golden.REACTIVE_POWER)
+    everyone = golden.rows(golden.FACILITIES, "facility_type_code")
+    november, december = ([r for r in rows if r["date_id"] == m] for m in (NOV, DEC))
+    old = [{**r, "serie_value": 77.0} for r in november + december] + [{**november[0], "ean": 1, "serie_value": 5.0}]
+    write_drop(old, path=run.source)
+    assert [report.ok for report in run()] == [False]
+    write_drop(december, path=run.source)
+    new, again = run()
+    assert new.ok and "tried again without max_reactive_power_cons 2025-12-01" in new.warnings[0]
+    assert not again.ok
+    assert not run()[0].ok, "remembered over runs"
+    fill(store, "facility", [*everyone, {**everyone[0], "facility_id": 99, "ean": 1}])
+    assert [report.ok for report in run()] == [True]
+    kept = stored(spark, run.root)
+    assert {float(r[4]) for r in kept if r[1] == NOV} == {77.0, 5.0}
+    assert [r for r in kept if r[1] == DEC] == [r for r in golden.stored_meter_rows(golden.REACTIVE_POWER) if r[1] == DEC]
+    assert run() == []

@@ -309,12 +309,19 @@ REJECTED_FILE = Table(
     struct(source_dir=STRING, drop_nr=LONG, file=STRING),
     key=("source_dir", "drop_nr", "file"),
 )
+# Partitions of a rejected drop (named by its first file) that a newer drop wrote in the meantime.
+TAKEN_PARTITION = Table(
+    "taken_partition",
+    struct(source_dir=STRING, file=STRING, serie_type_code=STRING, date_id=DATE),
+    key=("source_dir", "file", "serie_type_code", "date_id"),
+)
 
 TABLES: dict[str, Table] = {
     table.name: table
     for table in (
         IMPORTED_FILE,
         REJECTED_FILE,
+        TAKEN_PARTITION,
         FACILITY_TYPE,
         CUSTOMER_TYPE,
         CUSTOMER_GROUP_MAPPING_STRATEGY,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from voltledger import messages
 from voltledger.functions.conversion import cast_in_place
 from voltledger.plans.jobs import import_meter_rows
 from voltledger.results import SPARK_ERRORS, JobReport, OperationResult
-from voltledger.schemas import METER_DROP, REJECTED_FILE
+from voltledger.schemas import DATE, METER_DROP, REJECTED_FILE, STRING, TAKEN_PARTITION, Table, struct
 from voltledger.seeds import local_table
 from voltledger.sources.drops import MonthTypeError, literal_path, scan_files
 from voltledger.sources.staging import hadoop_path
@@ -21,16 +22,16 @@ PARTITION = ["serie_type_code", "date_id"]
 
 
 class RejectedDrops:
-    """The files of rejected drops, oldest drop first, kept in the table store. Only file names go
-    through the driver."""
+    """The files of rejected drops, oldest drop first, and which of their partitions newer drops wrote, kept
+    in the table store. Only file names, serie types and months go through the driver."""
 
     def __init__(self, store: TableStore, source_dir: str):
         self.store = store
         self.source_dir = source_dir
 
-    def _of(self, here: bool) -> DataFrame:
+    def _of(self, here: bool, table: Table = REJECTED_FILE) -> DataFrame:
         same = F.col("source_dir") == self.source_dir
-        return self.store.read(REJECTED_FILE.name).where(same if here else ~same)
+        return self.store.read(table.name).where(same if here else ~same)
 
     def all(self) -> list[list[str]]:
         """The drops whose files are still in place."""
@@ -41,7 +42,26 @@ class RejectedDrops:
                 drops.setdefault(row.drop_nr, []).append(row.file)
         return list(drops.values())
 
-    def replace(self, drops: list[list[str]]) -> None:
+    def taken(self) -> dict[str, set[tuple[str, date]]]:
+        """Partitions that newer drops wrote, by the first file of the rejected drop."""
+        found: dict[str, set[tuple[str, date]]] = {}
+        for row in self._of(True, TAKEN_PARTITION).collect():
+            found.setdefault(row.file, set()).add((row.serie_type_code, row.date_id))
+        return found
+
+    def replace(self, drops: list[list[str]], taken: dict[str, set[tuple[str, date]]]) -> None:
+        """Taken partitions first: they hold for a drop that still waits whatever happens next."""
+        first = {files[0] for files in drops}
+        lost = [
+            {"source_dir": self.source_dir, "file": file, "serie_type_code": code, "date_id": month}
+            for file, parts in taken.items()
+            for code, month in parts
+            if file in first
+        ]
+        if lost or not self._of(True, TAKEN_PARTITION).isEmpty():
+            mine = local_table(self.store.spark, lost, TAKEN_PARTITION.schema)
+            others = self._of(False, TAKEN_PARTITION)
+            self.store.commit(TAKEN_PARTITION.name, others.unionByName(mine))
         rows = [
             {"source_dir": self.source_dir, "drop_nr": nr, "file": file}
             for nr, files in enumerate(drops)
@@ -67,9 +87,10 @@ def import_new_meter_drops(
     were read; the newest drop stays in place, and what was rejected before it cannot be tried again.
 
     A rejected drop is remembered with all its files and tried again by the next runs, oldest first
-    and after what is new, until it passes or its files are gone. A newer drop that was imported and
-    has one of its partitions takes its place, so that old rows never overwrite newer ones; the report
-    of that newer drop warns of it. There is no report when there is nothing to import.
+    and after what is new, until it passes or its files are gone. Partitions that a newer imported drop wrote
+    are left out of it from then on, so that old rows never overwrite newer ones; a drop of which nothing is
+    left is given up. The report of the newer drop warns of both. There is no report when there is nothing
+    to import.
     """
     spark = store.spark
     file_system, directory = hadoop_path(spark, source_dir)
@@ -78,42 +99,61 @@ def import_new_meter_drops(
         return [JobReport(OperationResult.failed(text))]
     facilities, serie_types = store.read("facility"), store.read("serie_type")
     memory = RejectedDrops(store, source_dir)
-    waiting = memory.all()
+    waiting, taken = memory.all(), memory.taken()
     reports: list[JobReport] = []
 
     def scan(files: list[str]) -> DataFrame:
         return scan_files(spark, *map(literal_path, files))
 
-    def partitions(files: list[str]) -> DataFrame:
-        return cast_in_place(scan(files), METER_DROP).select(*PARTITION)
-
-    def overlap(older: list[str], newer: list[str]) -> bool:
+    def partitions(files: list[str]) -> set[tuple[str, date]]:
+        """The serie types and months of a drop: one pair per partition it would write."""
         try:
-            covered = partitions(newer).distinct()
-            return not partitions(older).join(covered, PARTITION, "left_semi").isEmpty()
+            found = cast_in_place(scan(files), METER_DROP).select(*PARTITION).distinct().collect()
         except (*SPARK_ERRORS, MonthTypeError):
-            return False  # the older drop cannot even be read
+            return set()  # it cannot even be read
+        return {(row.serie_type_code, row.date_id) for row in found}
 
     def attempt(files: list[str]) -> JobReport:
         try:
-            return import_meter_rows(scan(files), facilities, serie_types, root)
+            rows, gone = scan(files), taken.get(files[0])
+            if gone:
+                left_out = local_table(
+                    spark,
+                    [dict(zip(PARTITION, pair)) for pair in gone],
+                    struct(serie_type_code=STRING, date_id=DATE),
+                )
+                rows = cast_in_place(rows, METER_DROP)
+                rows = rows.join(F.broadcast(left_out), PARTITION, "left_anti")
+            return import_meter_rows(rows, facilities, serie_types, root)
         except MonthTypeError as e:
             return JobReport(OperationResult.failed(str(e)))
 
+    def give_way(older: list[str], written: set[tuple[str, date]]) -> str | None:
+        """Leave out of an older drop what a newer one wrote; the warning, if anything is."""
+        own = partitions(older)
+        common = own & written
+        if not common:
+            return None
+        taken[older[0]] = taken.get(older[0], set()) | common
+        if own <= taken[older[0]]:
+            waiting.remove(older)
+            return f"Rejected files {tuple(older)} are not tried again: a newer drop has their months!"
+        listed = ", ".join(f"{code} {month}" for code, month in sorted(common, key=str))
+        return f"Rejected files {tuple(older)} are tried again without {listed}: a newer drop has them!"
+
     def settle(files: list[str], report: JobReport) -> None:
-        """Remember a rejected drop; forget an imported one, and the older ones it replaces."""
+        """Remember a rejected drop; forget an imported one, and let older ones give way to it."""
         at = waiting.index(files) if files in waiting else len(waiting)
         if not report.ok:
             if at == len(waiting):
                 waiting.append(files)
         else:
-            replaced = [older for older in waiting[:at] if overlap(older, files)]
-            waiting[:] = [drop for drop in waiting if drop != files and drop not in replaced]
-            report.warnings += tuple(
-                f"Rejected files {tuple(older)} are not tried again: a newer drop has their months!"
-                for older in replaced
-            )
-        memory.replace(waiting)
+            older = waiting[:at]
+            waiting[:] = [drop for drop in waiting if drop != files]
+            written = (partitions(files) - taken.get(files[0], set())) if older else set()
+            warnings = [give_way(drop, written) for drop in older]
+            report.warnings += tuple(w for w in warnings if w is not None)
+        memory.replace(waiting, taken)
         reports.append(report)
 
     def import_files(batch: DataFrame, _batch_id: int) -> None:
