@@ -119,3 +119,15 @@ def test_tariffs_can_be_saved(store: TableStore):
     assert jobs.save_rows(store, "tariff_cost_group", groups.where("tariff_id = 1")).inserted == 1
     without_name = groups.drop("name")
     assert not jobs.save_rows(store, "tariff_cost_group", without_name).ok
+
+
+def test_all_constraints_take_two_scans(spark, tmp_path):
+    path = str(tmp_path / "facilities")
+    rows = [(1, 5, None, 1, "a", None), (2, 5, None, 9, "b", None), (2, 6, None, 9, None, None), (3, None, None, None, "", None)]
+    spark.createDataFrame(rows, schemas.FACILITY.schema).write.parquet(path)
+    parents = {"facility_type": spark.createDataFrame([(1,), (2,), (2,)], "facility_type_id int")}
+    found = constraints.table_violations(spark.read.parquet(path), schemas.FACILITY, parents)
+    assert {r.constraint: r.nr_violations for r in found.collect()} == {
+        "facility_id_unique": 1, "ean_unique": 1, "facility_type_id_fk": 2, "ean_not_null": 1,
+        "facility_type_id_not_null": 1}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 2

@@ -86,18 +86,39 @@ def table_violations(
 ) -> DataFrame:
     """Every broken constraint of a table with its number of rows (of keys, where keys repeat).
 
-    Foreign keys are checked against the ``parents`` that are given.
+    Foreign keys are checked against the ``parents`` that are given. Two scans, whatever the number of
+    constraints: one counts the rows that break something by themselves, one counts all keys of all
+    constraints together, and the counts meet the keys of all parents in one join.
     """
     counts = row_violations(df, table)
     per_row = counts.unpivot([], list(counts.columns), "constraint", "nr_violations")
-    parts = [per_row]
+    entries, known = [], []
     for key in (table.key, *table.unique):
-        n = unique_violations(df, key).agg(F.count("*").alias("nr_violations"))
-        parts.append(n.select(F.lit(f"{'_'.join(key)}_unique").alias("constraint"), "nr_violations"))
+        present = reduce(and_, [F.col(c).isNotNull() for c in key])
+        entry = F.struct(
+            F.lit(f"{'_'.join(key)}_unique").alias("constraint"),
+            F.lit(False).alias("refers"),
+            F.to_json(F.struct(*key)).alias("key"),
+        )
+        entries.append(F.when(present, entry))
     for fk in table.foreign_keys:
         if parents is None or fk.parent not in parents:
             continue
-        orphans = foreign_key_violations(df, fk.column, parents[fk.parent], fk.parent_column)
-        n = orphans.agg(F.coalesce(F.sum("nr_rows"), F.lit(0)).alias("nr_violations"))
-        parts.append(n.select(F.lit(f"{fk.column}_fk").alias("constraint"), "nr_violations"))
-    return reduce(DataFrame.unionByName, parts).where(F.col("nr_violations") > 0)
+        name = F.lit(f"{fk.column}_fk").alias("constraint")
+        value = F.col(fk.column).cast("string")
+        entry = F.struct(name, F.lit(True).alias("refers"), value.alias("key"))
+        entries.append(F.when(value.isNotNull(), entry))
+        known.append(parents[fk.parent].select(name, F.col(fk.parent_column).cast("string").alias("key")))
+    keys = (
+        df.select(F.explode(F.array_compact(F.array(*entries))).alias("entry"))
+        .select("entry.*")
+        .groupBy("constraint", "refers", "key")
+        .agg(F.count("*").alias("n"))
+    )
+    broken = F.when(F.col("n") > 1, 1).otherwise(0)
+    if known:
+        there = reduce(DataFrame.unionByName, known).distinct().withColumn("there", F.lit(True))
+        keys = keys.join(there, ["constraint", "key"], "left")
+        broken = F.when(F.col("refers"), F.when(F.col("there"), 0).otherwise(F.col("n"))).otherwise(broken)
+    per_key = keys.groupBy("constraint").agg(F.sum(broken).alias("nr_violations"))
+    return per_row.unionByName(per_key).where(F.col("nr_violations") > 0)
