@@ -123,6 +123,18 @@ def test_token_shards(spark, docs, no_docs, tmp_path):
     assert token_output.token_output(no_docs, BYTE, folder=f"file://{tmp_path}/none").count() == 0
 
 
+@pytest.mark.parametrize("texts", [["one two three"] * 8, [prose(i, 40) for i in range(3)],
+                                   [prose(i, 200) for i in range(60)], ["", None]])
+def test_small_tables_have_a_dictionary_too(spark, tmp_path, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    size = len(token_output.train_dictionary(rows, BYTE, 0, 2))
+    library = tokenizers.Tokenizer.from_file(BYTE)
+    ids = [[*library.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    assert (size > 0) == (2 * sum(len(i) - 1 for i in ids) >= token_output.LEAST_SAMPLE)
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_output.token_output(rows, BYTE).collect()}
+    assert got == {n: (len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for n, i in enumerate(ids)}
+
+
 def test_dictionary_is_checked(spark, docs, tmp_path):
     many = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit(prose(5, 90)), "id").alias("text"))
     shards = token_output.write_token_shards(many, BYTE, f"file://{tmp_path}")

@@ -43,6 +43,7 @@ MAGIC = b"VLTK1"
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCUMENTS = 2000
 SAMPLE_BYTES = 32 << 10
+LEAST_SAMPLE = 64
 MEMO_PIECES = 2_000_000
 LEVEL = 3
 
@@ -239,7 +240,8 @@ class ShardReader:
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, id_bytes: int) -> bytes:
-    """The shared dictionary, from the ids of a bounded sample of documents; empty for few ids."""
+    """The shared dictionary, from the ids of a bounded sample of documents, an eighth of their size at most;
+    empty where the texts hold next to nothing."""
     total = docs.count()
     if not total:
         return b""
@@ -263,11 +265,16 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, id_bytes
     # Twice the expectation is never passed but by rows that share one doc_id.
     samples = picked.mapInArrow(serialize, "ids binary").orderBy("ids").limit(2 * SAMPLE_DOCUMENTS)
     parts = [bytes(row.ids) for row in samples.collect()]
-    pieces = [p[i : i + 4096] for p in parts for i in range(0, len(p), 4096)]
-    if sum(map(len, pieces)) < 8 * DICTIONARY_BYTES:
+    total = sum(map(len, parts))
+    if total < LEAST_SAMPLE:
         return b""
-    trained = zstandard.train_dictionary(DICTIONARY_BYTES, pieces, k=256, d=8)
-    return trained.as_bytes()
+    size = min(DICTIONARY_BYTES, max(total // 8, 256))
+    piece = min(4096, max(64, total // 16 // 8 * 8))
+    pieces = [p[i : i + piece] for p in parts for i in range(0, len(p), piece)]
+    try:
+        return zstandard.train_dictionary(size, pieces, k=min(256, size // 4), d=8).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(pieces)[-size:]  # too few to train on: their own end serves as one
 
 
 def write_token_shards(
