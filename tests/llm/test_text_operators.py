@@ -431,7 +431,66 @@ def test_license_table_is_an_argument(spark):
 
 
 def test_license_bands_are_dense_enough():
-    assert min(licenses.collision_probability(n) for n in range(1, 200)) > 0.9999
+    assert min(licenses.collision_probability(n) for n in range(1, 200)) >= 1 - licenses.MISS
+
+
+@pytest.mark.parametrize("mention,name", [
+    ("Licensed under the Apache License 2.0", "Apache-2.0"),
+    ("released under the Apache License, Version 2.0", "Apache-2.0"),
+    ("distributed under the terms of the GPL v3", "GPL-3.0"),
+    ("It is available under the MIT license.", "MIT"),
+    ("is licensed under the GPLv2", "GPL-2.0"),
+    ("under the GNU Lesser General Public License v2.1 or later", "LGPL-2.1"),
+    ("under the GNU Affero General Public License v3.0", "AGPL-3.0"),
+    ("under the 3-Clause BSD License", "BSD-3-Clause"),
+    ("under the terms of the Mozilla Public License, v. 2.0", "MPL-2.0"),
+    ("it went under the general public eye", None),
+    ("under the terms of the treaty", None),
+])
+def test_license_mentions(mention, name):
+    texts = pa.array([f"{prose(3, 12)} {mention} {prose(4, 9)}", mention, None, ""])
+    found = list(licenses.find_in(texts, licenses._table(licenses.TEMPLATES)))
+    assert [(row, license) for row, license, *_ in found] == ([] if name is None else [(0, name), (1, name)])
+
+
+def test_license_bands_retrieve_what_all_pairs_of_windows_and_templates_find():
+    """Every window against every template, without bands: the verified are the same."""
+    rnd = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    table, texts = {}, ["", None, "one two", "x " * 3000]
+    for i, length in enumerate([5, 6, 8, 9, 13, 20, 40, 70, 130, 260] * 6):
+        table[f"L{i}"] = [" ".join(rnd.choices(vocabulary, k=length))]
+    notices = [notice[0].split() for notice in table.values()]
+    for _ in range(400):
+        words = rnd.choices(vocabulary, k=rnd.randrange(60))
+        for _ in range(rnd.randrange(4)):
+            notice = list(rnd.choice(notices))
+            for _ in range(rnd.randrange(1 + len(notice) // 25)):
+                notice[rnd.randrange(len(notice))] = "changed"
+            if rnd.random() < 0.2:
+                notice = notice[rnd.randrange(len(notice)):]
+            words += notice + rnd.choices(vocabulary, k=rnd.randrange(90))
+        texts.append(" ".join(words))
+    pairs = licenses._table(table)
+    templates, bands = licenses._templates(pairs)
+    grams, bounds, *_ = licenses._shingles(pa.array(texts, pa.string()))
+    met = licenses.retrieve(grams, bounds, bands).tolist()
+    wanted, got, compared = set(), set(), 0
+    for row in range(len(texts)):
+        own = grams[bounds[row]:bounds[row + 1]]
+        every = [
+            (size, first, number)
+            for number, (_, _, size, _) in enumerate(templates)
+            for first in range(0, max(1, (-(-len(own) // size) - 1) * size), size)
+        ]
+        mine = [tuple(window[1:]) for window in met if window[0] == row]
+        assert set(mine) <= set(every)
+        compared += len(every)
+        for windows, into in ((every, wanted), (mine, got)):
+            for window in windows:
+                into.update((row, window[1], held[0]) for held in licenses.verified(own, [window], templates))
+    assert len(wanted) > 500 and got == wanted
+    assert len(met) < compared / 100
 
 
 @pytest.mark.parametrize("keys", [1, 5, 20, 100])

@@ -49,7 +49,7 @@ def _cc(short: str, long: str) -> tuple[str, ...]:
     )
 
 
-NOTICES = {
+_TEXTS = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file "
@@ -150,3 +150,54 @@ NOTICES = {
     ),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
+
+
+def _named(*names: str, versions: tuple[str, ...]) -> tuple[str, ...]:
+    """A name with its version as people write it."""
+    forms = ("{} {}", "{} version {}", "{} v{}", "{} v. {}")
+    return tuple(form.format(name, version) for name in names for version in versions for form in forms)
+
+
+def _gnu_named(long: str, short: str, *versions: str) -> tuple[str, ...]:
+    joined = tuple(f"{gnu}{short}v{version}" for gnu in ("GNU ", "") for version in versions)
+    return (*_named(f"GNU {long}", f"GNU {short}", short, versions=versions), *joined)
+
+
+# What a licence is called where a text says that it is under it.
+_NAMES = {
+    "Apache-2.0": (
+        *_named("Apache License", "Apache Software License", versions=("2.0", "2")),
+        "Apache 2.0 License",
+        "Apache-2.0 License",
+    ),
+    "MIT": ("MIT License",),
+    "GPL-3.0": _gnu_named("General Public License", "GPL", "3", "3.0"),
+    "GPL-2.0": _gnu_named("General Public License", "GPL", "2", "2.0"),
+    "LGPL-3.0": _gnu_named("Lesser General Public License", "LGPL", "3", "3.0"),
+    "LGPL-2.1": _gnu_named("Lesser General Public License", "LGPL", "2.1"),
+    "AGPL-3.0": _gnu_named("Affero General Public License", "AGPL", "3", "3.0"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License"),
+    "MPL-2.0": _named("Mozilla Public License", "MPL", versions=("2.0",)),
+    "EPL-1.0": _named("Eclipse Public License", versions=("1.0",)),
+    "EPL-2.0": _named("Eclipse Public License", versions=("2.0",)),
+    "ISC": ("ISC License",),
+    "Zlib": ("zlib License",),
+    "BSL-1.0": _named("Boost Software License", versions=("1.0",)),
+}
+
+
+def _mentions(names: tuple[str, ...]) -> tuple[str, ...]:
+    """Five words or more that say that something is under a licence of one of these names."""
+    found = []
+    for name in names:
+        found.append(f"the terms of the {name}")
+        if len(name.split()) > 2:
+            found.append(f"under the {name}")
+            continue
+        lead = "" if len(name.split()) == 2 else "is "
+        found += [f"{lead}{verb} under the {name}" for verb in ("licensed", "released", "distributed", "available")]
+    return tuple(found)
+
+
+NOTICES = {license: (*texts, *_mentions(_NAMES.get(license, ()))) for license, texts in _TEXTS.items()}

@@ -5,11 +5,11 @@ licenses outside the table are not looked for. Words are compared in lower case
 their ends. A template is a notice as a run of words, or several runs with `` ... `` between them; its set
 is that of its five-word shingles. For each size class of templates (1, 2, 4, 8, ...
 shingles) every text is cut into windows of twice that many shingles, each overlapping half of the next, so a
-notice lies whole in one of them. A window and a template meet when a minimum of one of ``BANDS``
-permutations agrees (one row per band): at the least similarity that a window with a valid notice can
-have they do with probability ``collision_probability``. What meets is verified: the share of the
-template's shingles that the window holds must be 0.8 or more. A window that holds no shingle of any
-template cannot share a minimum with one, so such windows are passed over first.
+notice lies whole in one of them. Every window of every text has its minimum under each permutation looked up in
+the band table of its class, which leads from a band (one row each) and its minimum to templates; a window is
+compared with the templates so retrieved and with no others. A class has as many bands as it takes to
+miss a window with a valid notice with a chance of at most ``MISS`` (``bands_of``, ``collision_probability``).
+What is retrieved is verified: the share of the template's shingles that the window holds must be 0.8 or more.
 
 Licenses share their wording. Where the notice of another license holds 0.8 of a template, a window must
 also hold more than half of the shingles that this other notice lacks, so no license is named by words that
@@ -25,16 +25,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
+from itertools import groupby
+from math import ceil, log
+from operator import itemgetter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from voltledger.llm.license_notices import NOTICES
-from voltledger.llm.text_batch import SHINGLE_WORDS, hash_spans, shingles, text_buffer, words
+from voltledger.llm.text_batch import SHINGLE_WORDS, hash_spans, ranges, shingles, text_buffer, words
 
 CONTAINMENT = (4, 5)
-BANDS = 64
+# Chance that the bands of a class miss a window with a notice that just passes.
+MISS = 1e-5
 ROWS = "doc_id long, license string, containment double, windows long, first_char long, end_char long"
 
 # Shingles that the words between two runs of a notice may take up.
@@ -68,25 +73,37 @@ def _shingles(column: pa.Array):
     return grams, gram_bounds, starts, ends, bounds
 
 
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    random = np.random.default_rng(8)
-    a = random.integers(1, 1 << 63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return a, random.integers(0, 1 << 63, BANDS, dtype=np.uint64)
+def _permutation(band: int) -> tuple[np.uint32, np.uint32]:
+    a, b = np.random.default_rng([8, band]).integers(0, 1 << 32, 2, dtype=np.uint32)
+    return a | np.uint32(1), b
 
 
-def _minima(grams: np.ndarray) -> np.ndarray:
-    a, b = _permutations()
-    mixed = grams[:, None] * a + b
-    mixed ^= mixed >> np.uint64(31)
-    return mixed.min(axis=0)
+def _permuted(grams: np.ndarray, band: int) -> np.ndarray:
+    """The grams as a band orders them, 32 bits each: what collides is verified like all else."""
+    a, b = _permutation(band)
+    mixed = grams.astype(np.uint32) * a + b
+    mixed ^= mixed >> np.uint32(15)
+    mixed *= np.uint32(0x2C1B3C6D)
+    return mixed ^ (mixed >> np.uint32(12))
+
+
+def similarity(shingles_of_template: int) -> float:
+    """The least Jaccard similarity of a template to a window that holds enough of it."""
+    part, whole = CONTAINMENT
+    shared = -(-part * shingles_of_template // whole)
+    return shared / (2 * _class_of(shingles_of_template) + shingles_of_template - shared)
+
+
+@lru_cache(maxsize=None)
+def bands_of(size: int) -> int:
+    """Bands of a class: enough for each size of template in it."""
+    least = min(similarity(n) for n in range(size // 2 + 1, size + 1))
+    return ceil(log(MISS) / log(1 - least))
 
 
 def collision_probability(shingles_of_template: int) -> float:
     """The least chance that a window with a valid notice meets its template."""
-    size = _class_of(shingles_of_template)
-    shared = CONTAINMENT[0] / CONTAINMENT[1] * shingles_of_template
-    similarity = shared / (2 * size + shingles_of_template - shared)
-    return 1 - (1 - similarity) ** BANDS
+    return 1 - (1 - similarity(shingles_of_template)) ** bands_of(_class_of(shingles_of_template))
 
 
 def _class_of(count: int) -> int:
@@ -108,25 +125,97 @@ def _table(templates: Mapping[str, Sequence[str]] | DataFrame) -> tuple[tuple[st
     return tuple(pairs)
 
 
+class Template(NamedTuple):
+    license: str
+    grams: np.ndarray
+    size: int
+    # What each notice of another license lacks that holds most of this one.
+    beyond: list[np.ndarray]
+
+
+class Band(NamedTuple):
+    """Minima of the templates of a class in one band, ascending, and whose they are; ``low`` tells by the
+    last 16 bits which minima can be among them at all."""
+
+    minima: np.ndarray
+    owners: np.ndarray
+    low: np.ndarray
+
+
 @lru_cache(maxsize=4)
-def _templates(pairs: tuple[tuple[str, str], ...]):
-    """By size class: (license, set, minima, what each rival lacks) of each template; and all shingles."""
+def _templates(pairs: tuple[tuple[str, str], ...]) -> tuple[list[Template], dict[int, list[Band]]]:
+    """The templates, and by size class the bands that lead to them."""
     sets = []
     for name, notice in pairs:
         pieces = notice.split(" ... ")
         grams = np.unique(_shingles(pa.array(pieces))[0])
         sets.append((name, grams, _class_of(len(grams) + GAP * (len(pieces) - 1))))
-    by_class: dict[int, list] = {}
     part, whole = CONTAINMENT
+    templates, by_class = [], {}
     for name, grams, size in sets:
         beyond = []
         for other, theirs, _ in sets:
             lacks = np.setdiff1d(grams, theirs, True)
             if other != name and len(lacks) and whole * (len(grams) - len(lacks)) >= part * len(grams):
                 beyond.append(lacks)
-        by_class.setdefault(size, []).append((name, grams, _minima(grams), beyond))
-    every = [grams for _, grams, _ in sets]
-    return by_class, np.unique(np.concatenate([np.empty(0, np.uint64), *every]))
+        by_class.setdefault(size, []).append(len(templates))
+        templates.append(Template(name, grams, size, beyond))
+    bands = {}
+    for size, owners in sorted(by_class.items()):
+        bands[size] = []
+        for band in range(bands_of(size)):
+            minima = np.array([_permuted(templates[i].grams, band).min() for i in owners], np.uint32)
+            order = np.argsort(minima, kind="stable")
+            low = np.zeros(1 << 16, bool)
+            low[minima & 0xFFFF] = True
+            bands[size].append(Band(minima[order], np.array(owners)[order], low))
+    return templates, bands
+
+
+def _blocks(bounds: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where blocks of ``step`` begin, cut row by row, and the bounds of each row's blocks."""
+    counts = -(-np.diff(bounds) // step)
+    own = np.concatenate([[0], np.cumsum(counts)])
+    inside = np.arange(own[-1]) - np.repeat(own[:-1], counts)
+    return np.repeat(bounds[:-1], counts) + inside * step, own
+
+
+def retrieve(
+    grams: np.ndarray, bounds: np.ndarray, bands: Mapping[int, Sequence[Band]]
+) -> np.ndarray:
+    """(row, class, first shingle of the window in its row, template) of each window and template that agree
+    in a band, each once and ascending."""
+    if not len(grams) or not bands:
+        return np.empty((0, 4), np.int64)
+    # The blocks of a class are made of those of the class below it; a window is two of its blocks.
+    levels, below, smaller = [], bounds, 1
+    for size in bands:
+        starts, own = _blocks(below, size // smaller)
+        counts = np.diff(own)
+        final = own[1:][counts > 0] - 1
+        last_window = np.repeat(np.maximum(counts - 2, 0), counts)
+        levels.append((size, starts, own, final, last_window))
+        below, smaller = own, size
+    found = []
+    for band in range(max(map(len, bands.values()))):
+        least = _permuted(grams, band)
+        for size, starts, own, final, last_window in levels:
+            least = least if len(starts) == len(least) else np.minimum.reduceat(least, starts)
+            if band >= len(bands[size]):
+                continue
+            window = least.copy()
+            np.minimum(least[:-1], least[1:], out=window[:-1])
+            window[final] = least[final]  # nothing of the next row
+            minima, owners, low = bands[size][band]
+            block = np.flatnonzero(low[window & np.uint32(0xFFFF)])
+            values = window[block]
+            first = np.searchsorted(minima, values)
+            agree = np.searchsorted(minima, values, side="right") - first
+            block, whose = np.repeat(block, agree), owners[ranges(first, agree)]
+            row = np.searchsorted(own, block, side="right") - 1
+            at = np.minimum(block - own[row], last_window[block]) * size
+            found.append(np.stack([row, np.full(len(row), size), at, whose], axis=1))
+    return np.unique(np.concatenate(found), axis=0)
 
 
 def _gives_way(one: tuple, other: tuple) -> bool:
@@ -140,41 +229,33 @@ def _gives_way(one: tuple, other: tuple) -> bool:
     return bool(np.isin(shared, more).all())
 
 
-def _windows(count: int, size: int, hits: np.ndarray) -> np.ndarray:
-    """First shingles of the windows of a row that hold one of these shingles."""
-    last = max(0, -(-count // size) - 2) if count > 2 * size else 0
-    block = hits // size
-    return np.unique(np.clip(np.concatenate([block - 1, block]), 0, last)) * size
+def verified(own: np.ndarray, windows: Sequence[tuple[int, int, int]], templates: Sequence[Template]) -> list:
+    """Of the windows (class, first shingle, template) of a text those that hold their template: license,
+    containment, shared shingles and their places."""
+    part, whole = CONTAINMENT
+    held = []
+    for size, first, number in windows:
+        name, wanted, _, beyond = templates[number]
+        inside = own[first : first + 2 * size]
+        shared = np.intersect1d(inside, wanted)
+        own_words = all(2 * np.isin(x, shared).sum() > len(x) for x in beyond)
+        if whole * len(shared) >= part * len(wanted) and own_words:
+            place = first + np.flatnonzero(np.isin(inside, shared))
+            held.append((name, len(shared) / len(wanted), shared, place))
+    return held
 
 
 def find_in(
     column: pa.Array, pairs: tuple[tuple[str, str], ...]
 ) -> Iterator[tuple[int, str, float, int, int, int]]:
     """(row, license, containment, windows, first and end byte) of each notice of each text."""
-    by_class, every = _templates(pairs)
-    if not len(every):
-        return
+    templates, bands = _templates(pairs)
     grams, bounds, starts, ends, word_bounds = _shingles(column)
-    at = np.minimum(np.searchsorted(every, grams), len(every) - 1)
-    hits = np.flatnonzero(every[at] == grams)
-    rows = np.searchsorted(bounds, hits, side="right") - 1
+    met = retrieve(grams, bounds, bands)
     _, offsets = text_buffer(column)
-    part, whole = CONTAINMENT
-    for row in np.unique(rows):
+    for row, rows_of in groupby(met.tolist(), key=itemgetter(0)):
         own = grams[bounds[row] : bounds[row + 1]]
-        inside = hits[rows == row] - bounds[row]
-        held = []
-        for size, templates in by_class.items():
-            for first in _windows(len(own), size, inside):
-                window = np.unique(own[first : first + 2 * size])
-                minima = _minima(window)
-                for name, wanted, their_minima, beyond in templates:
-                    if (minima == their_minima).any():
-                        shared = np.intersect1d(window, wanted, True)
-                        own_words = all(2 * np.isin(x, shared).sum() > len(x) for x in beyond)
-                        if whole * len(shared) >= part * len(wanted) and own_words:
-                            place = first + np.flatnonzero(np.isin(own[first : first + 2 * size], shared))
-                            held.append((name, len(shared) / len(wanted), shared, place))
+        held = verified(own, [tuple(window[1:]) for window in rows_of], templates)
         best: dict[str, list] = {}
         for notice in held:
             if any(_gives_way(notice, other) for other in held):
