@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -331,6 +332,63 @@ def test_anchors_do_not_depend_on_their_surroundings(spark):
     assert max(b - a for a, b in zip(dense, dense[1:])) <= syncmers.K - syncmers.S
 
 
+
+
+def plain_marks(text: str) -> list[tuple[int, int]]:
+    """(32 bits of the hash, distance from the anchor before) of each anchor, word by word."""
+    def chained(*numbers):
+        seed = 42
+        for n in numbers:
+            seed = xxhash.xxh64_intdigest((n % 2**64).to_bytes(8, "little"), seed)
+        return seed - 2**64 if seed >= 2**63 else seed
+
+    units = []
+    for word in re.split(r"[\x20\x09-\x0D]+", text):
+        for piece in re.findall(f"[{syncmers.UNSPACED}]|[^{syncmers.UNSPACED}]+", word):
+            units += [piece] if len(piece) <= syncmers.LONG else list(piece)
+    if not units:
+        return []
+    k, s = syncmers.K, syncmers.S
+    hashes = [syncmers.BEFORE] * (k - 1) + [xxhash.xxh64_intdigest(u.encode(), 42) for u in units]
+    marks, before = [], None
+    for i in range(len(hashes) - k + 1):
+        inner = [chained(*hashes[i + j:i + j + s]) for j in range(k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            marks.append((chained(*hashes[i:i + k]) % 2**32, 0 if before is None else i - before))
+            before = i
+    return marks
+
+
+def plain_likeness(one: list, other: list) -> float:
+    union = sum(max(1, gap) for _, gap in {*one, *other})
+    return sum(max(1, gap) for _, gap in {*one} & {*other}) / union if union else 1.0
+
+
+def test_fingerprints_equal_a_plain_version(spark):
+    rnd = random.Random(77)
+    han = "".join(chr(rnd.randrange(0x4E00, 0x9FFF)) for _ in range(900))
+    texts = [
+        "", None, " \t\n", "one", "one two three", "a " * 500, prose(1, 400), prose(2, 400), han, han[:700] + "x y",
+        "mixed " + han[:30] + " and words " + han[30:50], "y" * 40, "y" * 41, "z" * 3000, prose(5, 20) + "q" * 100,
+        "".join(rnd.choices("abcdef0123456789", k=2000)), "😀 é\u00a0b\x0bc", "สวัสดีครับ ทุกคน", "x" * 39 + han[:2] + "x" * 45,
+        *(prose(i, rnd.randrange(60)) for i in range(100, 130)),
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted(syncmers.fingerprints(df).collect(), key=lambda r: -r.doc_id)
+    assert len(rows) == len(texts)
+    for at, row in enumerate(rows):
+        text, following = (texts[rows[i % len(rows)].doc_id] or "" for i in (at, at + 1))
+        cut = len(text) // 3
+        edited = text[:len(text) - cut] + following[:cut]
+        own, changed, other = map(plain_marks, (text, edited, following))
+        assert row.fingerprint == "".join(f"{h:08X}{gap:X}" for h, gap in own)
+        assert row.edited_fingerprint == "".join(f"{h:08X}{gap:X}" for h, gap in changed)
+        assert row.near_edited == pytest.approx(plain_likeness(own, changed), abs=1e-12)
+        assert row.near_next == pytest.approx(plain_likeness(own, other), abs=1e-12)
+        if row.doc_id in (6, 7, 8, 13, 15):
+            assert row.near_edited > 0.4
+
+
 # -- 8: licenses ------------------------------------------------------------------------------------
 
 

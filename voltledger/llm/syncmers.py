@@ -1,11 +1,18 @@
 """Document fingerprints of closed syncmers (operator 7, DataFrame functions only).
 
-The units are words (runs of characters other than space and ``\\x09-\\x0D``). Of all runs of ``K``
-words those are kept whose smallest inner run of ``S`` words, by hash, is the first or the last one. Whether a
-run is kept depends on its own words alone, so texts that share a passage share its anchors wherever it
-stands, and an edit touches only the anchors over it. ``K - 1`` marks are put before the first word,
+The units are words (runs of characters other than space and ``\\x09-\\x0D``); of scripts that are written
+without blanks, and of words beyond ``LONG`` characters, every character is a unit. Of all runs of ``K``
+units those are kept whose smallest inner run of ``S`` units, by hash, is the first or the last one. Whether a
+run is kept depends on its own units alone, so texts that share a passage share its anchors wherever it
+stands, and an edit touches only the anchors over it. ``K - 1`` marks are put before the first unit,
 and no inner run is smaller than one of two marks, so that short texts have anchors as well.
 
+Two neighbouring anchors are 1 to ``K - S`` units apart. A fingerprint holds each anchor with its distance from
+the one before it (0 for the first): eight hexadecimal digits of the hash, one of the distance, so places can be told
+from it. Anchors of two fingerprints match where hash and distance agree, that is where the text between
+them takes as many units on either side. Likeness is the units that distinct matching anchors stand for (their
+distance, 1 for the first) over those of all distinct anchors; it is made of the fingerprints and nothing else.
+
 Defined cases: null and empty texts, and texts of white space, have no anchors and an empty
 fingerprint; two such are alike with 1, one such and another with 0. Documents are ordered by doc_id
 descending, null last; rows with one doc_id by a hash of their texts. A table of one row is its own
@@ -22,16 +29,32 @@ K = 7
 S = 2
 # The number for a mark: of those up to 2e8 the one whose pair has the smallest hash.
 BEFORE = 173_297_524
+LONG = 40
+# Characters written without blanks: Thai, Lao, Burmese, Khmer, kana, Han.
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF"
+BLANK = r"\x20\x09-\x0D"
+_LETTER = f"[^{BLANK}{UNSPACED}]"
+
+
+def units_of(text: Column) -> Column:
+    """The units of a text that neither begins nor ends with white space."""
+    words = F.split(text, f"[{BLANK}]+", -1)
+    # Only texts that need it are cut by this slower pattern.
+    cut = F.regexp_extract_all(
+        text, F.lit(f"(?<!{_LETTER}){_LETTER}{{1,{LONG}}}+(?!{_LETTER})|[^{BLANK}]"), F.lit(0)
+    )
+    has_long = text.rlike(f"(?<!{_LETTER}){_LETTER}{{{LONG + 1}}}")
+    has_unspaced = (F.octet_length(text) > F.char_length(text)) & text.rlike(f"[{UNSPACED}]")
+    return F.when(has_long | has_unspaced, cut).otherwise(words)
 
 
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add the hashes of a text's anchors in their order, and as ``<out>_at`` the places of their first
-    words (below 0 for anchors that begin before the first word)."""
+    units (below 0 for anchors that begin before the first one)."""
     units, inner, count, at = f"_u_{out}", f"_s_{out}", f"_n_{out}", f"{out}_at"
     trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\f\r"))
-    words = F.split(trimmed, r"[\x20\x09-\x0D]+", -1)
     lead = F.array_repeat(F.lit(BEFORE).cast("long"), K - 1)
-    df = df.withColumn(units, F.concat(lead, F.transform(words, lambda w: F.xxhash64(w))))
+    df = df.withColumn(units, F.concat(lead, F.transform(units_of(trimmed), lambda w: F.xxhash64(w))))
     u = F.col(units)
     df = df.withColumns(
         {
@@ -52,23 +75,41 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(at, F.transform(F.col(at), lambda i: i - (K - 1))).drop(units, inner, count)
 
 
-def fingerprint(anchors: Column) -> Column:
-    """The anchors in order, eight hexadecimal digits each."""
-    return F.array_join(
-        F.transform(anchors, lambda h: F.lpad(F.hex(h.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), ""
+def placed(anchors: Column, at: Column) -> Column:
+    """Each anchor as a number: 32 bits of its hash and four of its distance from the one before."""
+    return F.transform(
+        anchors,
+        lambda h, i: F.shiftleft(h.bitwiseAND(F.lit(0xFFFFFFFF)), 4)
+        + F.coalesce(F.get(at, i) - F.get(at, i - 1), F.lit(0)),
     )
 
 
+def fingerprint(marks: Column) -> Column:
+    """The placed anchors in order, nine hexadecimal digits each."""
+    return F.array_join(F.transform(marks, lambda m: F.lpad(F.hex(m), 9, "0")), "")
+
+
+def _units(marks: Column) -> Column:
+    """The units that placed anchors stand for."""
+    return F.aggregate(marks, F.lit(0).cast("long"), lambda n, m: n + F.greatest(m.bitwiseAND(F.lit(15)), F.lit(1)))
+
+
 def likeness(one: Column, other: Column) -> Column:
-    """Share of the distinct anchors of either text that both have, 0 to 1."""
-    union = F.size(F.array_union(one, other))
-    shared = F.size(F.array_intersect(one, other))
+    """Share of the units of either text whose anchors match, 0 to 1."""
+    union = _units(F.array_union(one, other))
+    shared = _units(F.array_intersect(one, other))
     return F.when(union == 0, F.lit(1.0)).otherwise(shared / union)
 
 
+def with_placed(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add the placed anchors of a text."""
+    df, at = with_anchors(df, text, out), f"{out}_at"
+    return df.withColumn(out, placed(F.col(out), F.col(at))).drop(at)
+
+
 def with_next(docs: DataFrame, staging: Staging) -> DataFrame:
-    """Every text with its anchors, and the text and anchors of the next document in descending
-    order: doc_id, text, own, own_at, next_text, next.
+    """Every text with its placed anchors, and the text and anchors of the next document in descending
+    order: doc_id, text, own, next_text, next.
 
     The texts move once, to buckets of the order. Where the buckets begin is read off a range
     partitioning of the keys alone; the first document of a bucket is copied to the end of the bucket
@@ -89,7 +130,7 @@ def with_next(docs: DataFrame, staging: Staging) -> DataFrame:
     ends = staging.write(spread.agg(F.min("key").alias("low"), F.max("key").alias("high")))
     lows = [row.low for row in ends.orderBy("low").collect()]
     if not lows:
-        rows = with_anchors(docs.select("doc_id", "text"), "text", "own")
+        rows = with_placed(docs.select("doc_id", "text"), "text", "own")
         return rows.withColumns({"next_text": F.col("text"), "next": F.col("own")}).where(F.lit(False))
 
     def literal(key) -> Column:
@@ -112,10 +153,10 @@ def with_next(docs: DataFrame, staging: Staging) -> DataFrame:
         "doc_id", "text", "key", F.col("target").alias("bucket"), F.lit(True).alias("copied")
     )
     rows = placed.select("doc_id", "text", "key", "bucket", F.lit(False).alias("copied"))
-    rows = with_anchors(rows.unionByName(copied), "text", "own")
+    rows = with_placed(rows.unionByName(copied), "text", "own")
     window = Window.partitionBy("bucket").orderBy("copied", F.desc("key"))
     rows = rows.select(
-        "doc_id", "text", "copied", "own", "own_at",
+        "doc_id", "text", "copied", "own",
         F.lead("text").over(window).alias("next_text"), F.lead("own").over(window).alias("next"),
     )
     return rows.where("NOT copied").drop("copied")
@@ -130,8 +171,8 @@ def fingerprints(docs: DataFrame, staging: Staging | None = None) -> DataFrame:
         F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")),
         F.substring("next_text", F.lit(1), cut),
     )
-    rows = rows.select("doc_id", "n_chars", "own", "own_at", "next", edited.alias("edited"))
-    return with_anchors(rows, "edited", "changed").select(
+    rows = rows.select("doc_id", "n_chars", "own", "next", edited.alias("edited"))
+    return with_placed(rows, "edited", "changed").select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
