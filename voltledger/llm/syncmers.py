@@ -36,14 +36,13 @@ BLANK = r"\x20\x09-\x0D"
 _LETTER = f"[^{BLANK}{UNSPACED}]"
 
 
-def units_of(text: Column) -> Column:
-    """The units of a text that neither begins nor ends with white space."""
-    words = F.split(text, f"[{BLANK}]+", -1)
-    # Only texts that need it are cut by this slower pattern.
+def units_of(text: Column, words: Column) -> Column:
+    """The units of a text that neither begins nor ends with white space, given its words. Only texts that
+    need it are cut by the slow pattern."""
     cut = F.regexp_extract_all(
         text, F.lit(f"(?<!{_LETTER}){_LETTER}{{1,{LONG}}}+(?!{_LETTER})|[^{BLANK}]"), F.lit(0)
     )
-    has_long = text.rlike(f"(?<!{_LETTER}){_LETTER}{{{LONG + 1}}}")
+    has_long = F.exists(words, lambda w: F.char_length(w) > LONG)
     has_unspaced = (F.octet_length(text) > F.char_length(text)) & text.rlike(f"[{UNSPACED}]")
     return F.when(has_long | has_unspaced, cut).otherwise(words)
 
@@ -52,10 +51,13 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add the hashes of a text's anchors in their order, and as ``<out>_at`` the places of their first
     units (below 0 for anchors that begin before the first one)."""
     units, inner, count, at = f"_u_{out}", f"_s_{out}", f"_n_{out}", f"{out}_at"
+    trim, words = f"_t_{out}", f"_w_{out}"
     trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\f\r"))
     lead = F.array_repeat(F.lit(BEFORE).cast("long"), K - 1)
-    df = df.withColumn(units, F.concat(lead, F.transform(units_of(trimmed), lambda w: F.xxhash64(w))))
-    u = F.col(units)
+    df = df.withColumn(trim, trimmed).withColumn(words, F.split(trim, f"[{BLANK}]+", -1))
+    cut = units_of(F.col(trim), F.col(words))
+    df = df.withColumn(units, F.concat(lead, F.transform(cut, lambda w: F.xxhash64(w))))
+    u, trimmed = F.col(units), F.col(trim)
     df = df.withColumns(
         {
             count: F.when(trimmed == "", 0).otherwise(F.size(u)),
@@ -72,7 +74,7 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(at, kept)
     run = lambda i: F.xxhash64(*(F.get(u, i + j) for j in range(K)))
     df = df.withColumn(out, F.transform(F.col(at), run))
-    return df.withColumn(at, F.transform(F.col(at), lambda i: i - (K - 1))).drop(units, inner, count)
+    return df.withColumn(at, F.transform(F.col(at), lambda i: i - (K - 1))).drop(units, inner, count, trim, words)
 
 
 def placed(anchors: Column, at: Column) -> Column:
