@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from voltledger import schemas
 from voltledger.functions.conversion import cast_present, conform, has_required_columns
 from voltledger.functions.ordering import ordered
-from voltledger.operators import checks, constraints, upsert
+from voltledger.operators import checks, constraints, resolve, upsert
 from voltledger.schemas import DATE, INT, LONG, SERIE_VALUE_TYPE, STRING, struct
 from voltledger.sources.staging import Staging
 
@@ -204,3 +204,45 @@ class TestConstraints:
             "overshoot_limit_gt_0": 1,
             "tariff_component_type_id_tariff_cost_group_id_unique": 1,
         }
+
+
+class TestMeterProfile:
+    FACILITIES = [(n, n) for n in range(1, 8)]
+    TYPES = [(1, "a"), (2, "b")]
+
+    def frames(self, spark):
+        return (
+            spark.createDataFrame(self.FACILITIES, "facility_id long, ean long"),
+            spark.createDataFrame(self.TYPES, "serie_type_id int, code string"),
+        )
+
+    @pytest.mark.parametrize("seed", range(6))
+    def test_equals_counting_row_by_row(self, spark, seed):
+        rnd = random.Random(seed)
+        days = [date(2024, 1, 1), date(2024, 2, 1), *([date(2024, 2, 9)] if seed % 2 else []), *([None] if seed > 3 else [])]
+        rows = [
+            (rnd.choice(["a", "b", "c", None][: 2 + seed % 3]), rnd.choice([*range(1, 10), None]), rnd.choice(days),
+             rnd.choice([Decimal(1), Decimal(2), None]))
+            for _ in range(0 if seed == 0 else 60)
+        ]
+        columns = struct(serie_type_code=STRING, ean=LONG, date_id=DATE, serie_value=SERIE_VALUE_TYPE)
+        drop = spark.createDataFrame(rows, columns)
+        got = resolve.meter_profile(drop, *self.frames(spark)).first()
+        plain = checks.drop_profile(drop, checks.METER_RULES).first().asDict()
+        assert {name: got[name] for name in plain} == plain
+        keys = [row[:3] for row in rows]
+        assert got.nr_repeated == len({key for key in keys if keys.count(key) > 1})
+        known = {n for n, _ in self.FACILITIES}
+        assert got.nr_unresolved == sum(ean not in known or code not in ("a", "b") for code, ean, *_ in rows)
+        assert got.nr_unresolved == resolve.count_unresolved_meter_rows(drop, *self.frames(spark)).first().nr_invalid
+
+    def test_reads_and_shuffles_the_drop_once(self, spark, tmp_path):
+        path = str(tmp_path / "drop")
+        row = ("a", 1, date(2024, 1, 1), Decimal(1))
+        columns = struct(serie_type_code=STRING, ean=LONG, date_id=DATE, serie_value=SERIE_VALUE_TYPE)
+        spark.createDataFrame([row] * 50, columns).write.parquet(path)
+        drop = spark.read.parquet(path)
+        plan = resolve.meter_profile(drop, *self.frames(spark))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1
+        assert plan.count("Exchange hashpartitioning") == 1
+        assert "Join" in plan and plan.count("BroadcastHashJoin") == 2

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
@@ -157,7 +157,7 @@ def drop_profile(df: DataFrame, rules: DropRules) -> DataFrame:
     return df.agg(*aggregates)
 
 
-def _check_name(key: UniqueKey) -> str:
+def check_name(key: UniqueKey) -> str:
     return f"duplicate_{'_'.join(key.cols)}"
 
 
@@ -169,7 +169,7 @@ def duplicate_counts(df: DataFrame, rules: DropRules) -> DataFrame:
             continue
         duplicates = duplicate_rows(df, key.cols, exclude_nulls=key.exclude_nulls)
         n = duplicates.agg(F.count("*").alias("nr_violations"))
-        counts.append(n.select(F.lit(_check_name(key)).alias("check"), "nr_violations"))
+        counts.append(n.select(F.lit(check_name(key)).alias("check"), "nr_violations"))
     return reduce(DataFrame.unionByName, counts)
 
 
@@ -192,14 +192,23 @@ def check_drop(df: DataFrame, rules: DropRules) -> CheckedDrop:
         return CheckedDrop(result)
 
     profile = drop_profile(df, rules).first()
+    if profile.nr_missing > 0:
+        return judge_drop(df, rules, profile, {})
+    repeated = {row.check: row.nr_violations for row in duplicate_counts(df, rules).collect()}
+    return judge_drop(df, rules, profile, repeated)
+
+
+def judge_drop(
+    df: DataFrame, rules: DropRules, profile: Row, repeated: Mapping[str, int]
+) -> CheckedDrop:
+    """The first failing check, given the profile of a drop and how many keys repeat by check."""
     if profile.nr_missing > 0:
         message = messages.MISSING_VALUES.format(n=profile.nr_missing, cols=rules.required)
         rows = missing_values(df, rules.required, rules.order_by)
         return CheckedDrop(OperationResult.failed(message), rows, profile)
 
-    repeated = {row.check: row.nr_violations for row in duplicate_counts(df, rules).collect()}
     for key in rules.unique:
-        n = repeated.get(_check_name(key), 0)
+        n = repeated.get(check_name(key), 0)
         if n > 0:
             message = messages.DUPLICATE_ROWS.format(n=n, cols=key.cols)
             rows = duplicate_rows(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from voltledger import schemas
 from voltledger.functions.conversion import cast_present
+from voltledger.operators import checks
 from voltledger.operators.joins import lookup, lookup_code, lookup_facility
 from voltledger.results import Upsert
 
@@ -165,3 +166,32 @@ def count_unresolved_meter_rows(
     found = lookup(counted, facilities.select("ean", "facility_id"), "ean", "ean", None)
     invalid = F.when(F.col("facility_id").isNull(), F.col("nr_rows")).otherwise(F.col("nr_untyped"))
     return found.agg(F.coalesce(F.sum(invalid), F.lit(0)).alias("nr_invalid"))
+
+
+def meter_profile(drop: DataFrame, facilities: DataFrame, serie_types: DataFrame) -> DataFrame:
+    """One row with all that decides on a meter drop whose columns are there: the profile of
+    ``drop_profile``, ``nr_repeated`` keys and ``nr_unresolved`` rows.
+
+    The rows are counted by key, so the drop is read once and shuffled once; ids are then looked up for
+    keys, each with its rows and flags, and the keys are folded to one row.
+    """
+    (key,) = checks.METER_RULES.unique
+    month = F.col(checks.METER_RULES.month_start)
+    keyed = drop.groupBy(*key.cols).agg(
+        F.count("*").alias("nr_rows"),
+        F.count_if(checks.any_null(checks.METER_RULES.required)).alias("nr_missing"),
+    )
+    resolved = _resolve_meter_keys(keyed, facilities, serie_types)
+
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("nr_rows"))), F.lit(0))
+
+    return resolved.agg(
+        total(F.lit(True)).alias("nr_rows"),
+        F.coalesce(F.sum("nr_missing"), F.lit(0)).alias("nr_missing"),
+        total(F.dayofmonth(month) != 1).alias("nr_not_month_start"),
+        F.min(month).cast("date").alias("first_date"),
+        F.max(month).cast("date").alias("last_date"),
+        F.count_if(F.col("nr_rows") > 1).alias("nr_repeated"),
+        total(meter_row_is_unresolved()).alias("nr_unresolved"),
+    )

@@ -345,20 +345,23 @@ def import_meter_rows(
 ) -> JobReport:
     """Check one meter drop and replace the partitions it covers.
 
-    Nothing is staged: counting what cannot be resolved needs only the distinct keys, and the rows
-    themselves are read, joined and written in one go.
+    The drop is read twice: once for all that is checked, counted by key, and once to be resolved and
+    written. Nothing is staged.
     """
+    rules = checks.METER_RULES
     drop = cast_in_place(drop, schemas.METER_DROP)
-    checked = checks.check_drop(drop, checks.METER_RULES)
+    complete = has_required_columns(drop.columns, rules.required)
+    if not complete.ok:
+        return JobReport(complete)
+    profile = resolve.meter_profile(drop, facilities, serie_types).first()
+    repeated = {checks.check_name(key): profile.nr_repeated for key in rules.unique}
+    checked = checks.judge_drop(drop, rules, profile, repeated)
     if not checked.result.ok:
         return _rejected(checked)
-    nr_invalid = (
-        resolve.count_unresolved_meter_rows(drop, facilities, serie_types).first().nr_invalid
-    )
     resolved = resolve.resolve_meter_rows(drop, facilities, serie_types)
-    if nr_invalid > 0:
+    if profile.nr_unresolved > 0:
         rows = ordered(resolve.unresolved_meter_rows(resolved), BY_EAN)
-        return _failed(messages.UNRESOLVED_METER_ROWS.format(n=nr_invalid), rows)
+        return _failed(messages.UNRESOLVED_METER_ROWS.format(n=profile.nr_unresolved), rows)
     result = write_meter_store(resolve.serie_values(resolved), root)
     return JobReport(result, inserted=checked.profile.nr_rows if result.ok else 0)
 
