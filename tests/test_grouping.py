@@ -241,3 +241,26 @@ def test_many_rules_meet_contracts_by_equal_keys(spark):
                 yield k
 
     assert got == {i: set(rules_of(v)) or {None} for i, v in enumerate(values)}
+
+
+@pytest.mark.parametrize("max_nodes", [3, 1_000_000])
+def test_links_of_many_rules_are_never_kept(spark, monkeypatch, max_nodes):
+    """Links outnumber contracts and rules: they are neither collected nor shuffled, and equal rows without a
+    link stay as many as they are."""
+    rng = random.Random(13)
+    groups = random_groups(rng, 60)
+    contracts = random_contracts(rng, 60) * 2
+    contracts += [{**c, "product_id": None, "fuse_size": None, "subscribed_power": None, "connection_power": None}
+                  for c in contracts[:5] * 2]
+    monkeypatch.setattr(grouping, "BROADCAST_MAX_NODES", max_nodes)
+    rules = grouping.prepare_rules(local_table(spark, groups, GROUP)).rules
+    assigned = grouping.assign_groups(local_table(spark, contracts, CONTRACT), rules, 3)
+    plan = assigned._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "collect_set" not in plan
+    links = sorted((r.facility_id, r.customer_group_id) for r in grouping.links_of(assigned).collect())
+    assert links == brute_force(contracts, groups)
+    direct = grouping.assign_groups(local_table(spark, contracts, CONTRACT), rules)
+    unmapped, expected = (grouping.unmapped_of(x).exceptAll(grouping.unmapped_of(y))
+                          for x, y in ((assigned, direct), (direct, assigned)))
+    assert unmapped.isEmpty() and expected.isEmpty()
+    assert not grouping.unmapped_of(assigned).isEmpty()
