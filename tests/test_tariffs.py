@@ -227,3 +227,19 @@ def test_costs_of_stored_contracts(store, tables, tmp_path):
     costs = monthly_costs(store, root, first, last)
     assert found(costs.amounts) == wanted
     assert costs.totals.count() == len({k[:2] for k in wanted})
+
+
+def test_readings_are_aggregated_by_hash(spark, tables):
+    """Values of a facility's month meet in a hash aggregate before the shuffle, not in lists."""
+    plan = amounts_of(spark, tables)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "ObjectHashAggregate" not in plan
+    assert "lambda" not in plan
+
+
+def test_greatest_reading_counts_and_codes_may_differ_in_case(spark):
+    rows = [(1, "a", 2), (1, "a", 5), (1, "A", 3), (1, None, 9), (2, "b", 1), (2, "a", None), (None, "a", 4)]
+    meter = spark.createDataFrame(rows, "facility_id int, serie_type_code string, serie_value int").selectExpr(
+        "facility_id", "serie_type_code", "CAST(serie_value AS DECIMAL(18,3)) AS serie_value",
+        "DATE'2025-01-01' AS date_id")
+    got = {r.facility_id: tuple(r.readings) for r in tariffs.readings_by_month(meter, ["A", "a"]).collect()}
+    assert got == {1: (3, 5), None: (None, 4)}

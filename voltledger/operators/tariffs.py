@@ -35,6 +35,8 @@ QUANTITY = "decimal(17,6)"
 #: Wide enough for a money price; times days and over days it keeps 16 decimals, so that rounding to
 #: six afterwards is rounding once (multiples of 1 / (366 * 10^12) are further apart than 10^-15).
 EXACT = "decimal(28,12)"
+#: Holds powers and meter values alike.
+REFERENCE = "decimal(21,6)"
 COMPONENT_KEY = ("facility_id", "date_id", "tariff_component_id")
 
 OVERSHOOT = "overshoot_"
@@ -141,20 +143,40 @@ def unavailable_components(
 # -- contracts --------------------------------------------------------------------------------------
 
 
-def readings_by_month(meter: DataFrame) -> DataFrame:
-    """One row per facility and month with all its meter values.
+def serie_codes(sheet: DataFrame) -> list[str]:
+    """The serie types that prices depend on, brought to the driver: a few of the code table's."""
+    both = F.array("serie_type_code", "comparison_serie_type_code")
+    rows = sheet.select(F.explode(both).alias("code")).where(F.col("code").isNotNull()).distinct()
+    return sorted(row.code for row in rows.collect())
 
-    There is one value per serie type, facility and month; were there more, the greatest counts.
+
+def _field(codes: list[str]) -> dict[str, str]:
+    """Fields of ``readings`` by serie type: numbered, so that codes may differ in case only."""
+    return {code: f"{i}:{code}" for i, code in enumerate(codes)}
+
+
+def readings_by_month(meter: DataFrame, codes: list[str]) -> DataFrame:
+    """One row per facility and month with its meter values of the serie types ``codes``, a field each.
+
+    There is one value per serie type, facility and month; were there more, the greatest counts. As greatest
+    values are of fixed size, they are aggregated by hash and before the shuffle.
     """
-    reading = F.struct("serie_type_code", "serie_value")
-    return meter.where(F.col("serie_value").isNotNull()).groupBy("facility_id", "date_id").agg(
-        F.collect_list(reading).alias("readings")
+    code, fields = F.col("serie_type_code"), _field(codes)
+    wanted = meter.where(F.col("serie_value").isNotNull() & code.isin(codes))
+    greatest = [F.max(F.when(code == c, F.col("serie_value"))).alias(f"_{field}") for c, field in fields.items()]
+    return wanted.groupBy("facility_id", "date_id").agg(*greatest).select(
+        "facility_id",
+        "date_id",
+        F.struct(*[F.col(f"`_{field}`").alias(field) for field in fields.values()]).alias("readings"),
     )
 
 
-def _reading(code: str) -> Column:
-    of_type = F.filter("readings", lambda r: r["serie_type_code"] == F.col(code))
-    return F.array_max(F.transform(of_type, lambda r: r["serie_value"]))
+def _reading(fields: list[str], code: str) -> Column:
+    value = F.lit(None).cast("decimal(18,3)")
+    for field in fields:
+        of_type = F.col(code) == field.split(":", 1)[1]
+        value = F.when(of_type, F.col("readings").getField(field)).otherwise(value)
+    return value
 
 
 def priced_contracts(
@@ -170,32 +192,39 @@ def priced_contracts(
     measured; a larger one is joined by customer group and month, where the adaptive join splits large groups.
     """
     keyed = contracts.select("facility_id", "date_id", "subscribed_power", "connection_power")
-    grouped = keyed.join(links.select("facility_id", "date_id", "customer_group_id"), ["facility_id", "date_id"])
-    read = grouped.join(readings_by_month(meter), ["facility_id", "date_id"], "left")
-    return read.join(broadcast_if_small(sheet, max_broadcast_rows), ["customer_group_id", "date_id"])
+    read = keyed.join(links.select("facility_id", "date_id", "customer_group_id"), ["facility_id", "date_id"])
+    codes = serie_codes(sheet)
+    if codes:
+        read = read.join(readings_by_month(meter, codes), ["facility_id", "date_id"], "left")
+    numerator, denominator = month_share()
+    shared = sheet.withColumns({"_share_numerator": numerator, "_share_denominator": denominator})
+    return read.join(broadcast_if_small(shared, max_broadcast_rows), ["customer_group_id", "date_id"])
 
 
 def with_quantity(priced: DataFrame) -> DataFrame:
-    """All calculation strategies in one pass: the ``quantity`` that the price is for."""
-    strategy, value = F.col("calc_strategy"), _reading("serie_type_code")
-    power = {name: F.col(name).cast(QUANTITY) for name in ("subscribed_power", "connection_power")}
+    """All calculation strategies in one pass: the ``quantity`` that the price is for.
 
-    def beyond(reference: Column) -> Column:
-        excess = value - F.col("overshoot_limit") * reference
-        return F.when(excess > 0, excess).when(excess <= 0, F.lit(0))
-
-    quantity = (
-        F.when(strategy == "fixed", F.lit(1).cast(QUANTITY))
-        .when(strategy == "per_unit", value.cast(QUANTITY))
-        .when(
-            strategy == "overshoot_comparison_meter_data_serie",
-            beyond(_reading("comparison_serie_type_code")).cast(QUANTITY),
-        )
+    What several strategies use is a column of its own, so that it is computed once a row and the compiled code
+    stays small.
+    """
+    readings = priced.schema["readings"].dataType.names if "readings" in priced.columns else []
+    strategy, value, excess = F.col("calc_strategy"), F.col("_value"), F.col("_excess")
+    power = {name: F.col(name).cast(QUANTITY) for name in ("subscribed_power", "connection_power")}
+    reference = F.when(
+        strategy == "overshoot_comparison_meter_data_serie",
+        _reading(readings, "comparison_serie_type_code").cast(REFERENCE),
     )
+    quantity = F.when(strategy == "fixed", F.lit(1).cast(QUANTITY)).when(strategy == "per_unit", value.cast(QUANTITY))
     for name, column in power.items():
+        reference = reference.when(strategy == f"{OVERSHOOT}{name}", column.cast(REFERENCE))
         quantity = quantity.when(strategy == name, column)
-        quantity = quantity.when(strategy == f"{OVERSHOOT}{name}", beyond(column).cast(QUANTITY))
-    return priced.withColumn("quantity", quantity.cast(QUANTITY)).drop("readings")
+    quantity = quantity.when(excess > 0, excess.cast(QUANTITY)).when(excess <= 0, F.lit(0).cast(QUANTITY))
+    return (
+        priced.withColumns({"_value": _reading(readings, "serie_type_code"), "_reference": reference})
+        .withColumn("_excess", value - F.col("overshoot_limit") * F.col("_reference"))
+        .withColumn("quantity", quantity)
+        .drop("readings", "_value", "_reference", "_excess")
+    )
 
 
 # -- amounts ----------------------------------------------------------------------------------------
@@ -212,16 +241,23 @@ def month_share() -> tuple[Column, Column]:
     return numerator.cast("decimal(2,0)"), denominator.cast("decimal(3,0)")
 
 
-def _amount(price: str) -> Column:
-    numerator, denominator = month_share()
+def _signed(price: str) -> Column:
     exact = (F.col("quantity") * F.col(price)).cast(EXACT)
-    signed = F.when(F.col("is_revenue"), exact).otherwise(-exact)
-    return (signed * numerator / denominator).cast(MONEY_PRICE)
+    return F.when(F.col("is_revenue"), exact).otherwise(-exact)
+
+
+def _monthly(signed: str) -> Column:
+    """The part of a month; most prices are per month and need no division."""
+    numerator, denominator = F.col("_share_numerator"), F.col("_share_denominator")
+    whole = F.when(denominator == 1, F.col(signed).cast(MONEY_PRICE))
+    return whole.otherwise((F.col(signed) * numerator / denominator).cast(MONEY_PRICE))
 
 
 def with_amounts(calculated: DataFrame) -> DataFrame:
     """The month's signed amount, and the authority fee within it."""
-    return calculated.withColumns({"amount": _amount("price"), "fee_amount": _amount("authority_fee")})
+    signed = calculated.withColumns({"_signed": _signed("price"), "_signed_fee": _signed("authority_fee")})
+    amounts = signed.withColumns({"amount": _monthly("_signed"), "fee_amount": _monthly("_signed_fee")})
+    return amounts.drop("_signed", "_signed_fee", "_share_numerator", "_share_denominator")
 
 
 def monthly_totals(amounts: DataFrame) -> DataFrame:
