@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from tests.compare import connect, differences
-from voltledger.demo import adapters
+from voltledger.demo import adapters, queries
 from voltledger.demo.queries import QUERIES
 from voltledger.operators import joins, resolve
 from voltledger.seeds import seed_table
@@ -67,3 +67,26 @@ def test_skewed_lookup_is_split(spark, monkeypatch):
     for row in rows:
         number = row.ean - adapters.EAN_BASE
         assert row.facility_id == (number + 1 if number < nr_facilities else None)
+
+
+def test_a_meter_import_computes_its_drop_once(spark, monkeypatch, tmp_path):
+    """The sources of j4 are parts of one staged drop, which no lineitem is sorted for."""
+    rows = {
+        "orders": "SELECT id AS o_orderkey, id % 3 AS o_custkey FROM range(9)",
+        "customer": "SELECT id AS c_custkey, 'name' AS c_name, 'BUILDING' AS c_mktsegment FROM range(3)",
+        "lineitem": "SELECT id % 9 AS l_orderkey, 500 AS l_partkey, CAST(id AS DOUBLE) AS l_quantity, 'A' AS l_returnflag,"
+        " 'O' AS l_linestatus, 8.0D AS l_extendedprice, DATE'1996-03-02' AS l_shipdate FROM range(40)",
+    }
+    for name, sql in rows.items():
+        spark.sql(sql).write.parquet(f"{tmp_path}/{name}.parquet")
+    dropped, given = [], queries._drop
+
+    def drop_of(df, staging, name="drop"):
+        dropped.append((name, any("lineitem" in file for file in df.inputFiles())))
+        return given(df, staging, name)
+
+    monkeypatch.setattr(queries, "_drop", drop_of)
+    assert QUERIES["j4_meter_import"](spark, str(tmp_path)).count() == 6
+    assert dropped == [("active_energy_cons", False), ("max_active_power_cons", False), ("raw", True)]
+    plan = adapters.meter_drop(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
