@@ -246,3 +246,13 @@ class TestMeterProfile:
         assert plan.count("FileScan parquet") == 1
         assert plan.count("Exchange hashpartitioning") == 1
         assert "Join" in plan and plan.count("BroadcastHashJoin") == 2
+
+
+def test_doubles_are_rounded_without_becoming_decimals_first(spark):
+    """Halves away from zero, whole numbers up to the last digits, and what is none stays none."""
+    cases = {0.0005: "0.001", -0.0005: "-0.001", 0.00049999999999999994: "0.000", 1034.0575: "1034.057",
+             -2.4: "-2.400", 4503599627370.4965: "4503599627370.496", 123456789012345.0: "123456789012344.992"}
+    df = spark.createDataFrame([(x,) for x in [*cases, float("nan"), None]], "serie_value double")
+    cast = cast_present(df, struct(serie_value=SERIE_VALUE_TYPE))
+    assert "floor" in cast._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [r.serie_value for r in cast.collect()] == [*map(Decimal, cases.values()), None, None]
