@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import golden
-from voltledger.operators import grouping
+from voltledger.operators import grouping, segments
 from voltledger.schemas import DOUBLE, INT, LONG, STRING, BOOLEAN, DATE, struct
 from voltledger.seeds import local_table
+from voltledger.sources.staging import Staging
 
 CONTRACT = struct(
     facility_id=LONG,
@@ -264,3 +265,45 @@ def test_links_of_many_rules_are_never_kept(spark, monkeypatch, max_nodes):
                           for x, y in ((assigned, direct), (direct, assigned)))
     assert unmapped.isEmpty() and expected.isEmpty()
     assert not grouping.unmapped_of(assigned).isEmpty()
+
+
+def test_rules_alike_meet_a_contract_at_once(spark):
+    """Rules that share node and conditions are one row, whatever their ids, a null one too; same rows as one by one."""
+    rng = random.Random(17)
+    groups = random_groups(rng, 40)
+    groups += [{**g, "customer_group_id": 1000 + 100 * k + i} for k in range(3) for i, g in enumerate(groups)]
+    groups += [{**groups[i], "customer_group_id": None} for i in (0, 1)]
+    contracts = random_contracts(rng, 80) * 2
+    contracts += [{**c, "facility_type_id": None, "product_id": None} for c in contracts[:4]]
+    df = local_table(spark, contracts, CONTRACT)
+    rules = grouping.prepare_rules(local_table(spark, groups, GROUP)).rules
+    conditions = ("rule_facility_type_id", "rule_customer_type_id", "rule_not_product_id")
+    nodes = segments.rule_nodes(rules, segments.axes_of(rules, grouping.INTERVAL_COLUMNS), grouping.PRODUCT_STRATEGY)
+    bundled = segments.bundles(nodes, conditions)
+    assert 4 * bundled.count() <= nodes.count()
+    assert bundled.agg(F.sum(F.size("rule_group_ids"))).first()[0] == nodes.count()
+    assigned, direct = grouping.assign_groups(df, rules, 3), grouping.assign_groups(df, rules)
+    assert assigned.exceptAll(direct).isEmpty() and direct.exceptAll(assigned).isEmpty()
+
+
+def test_links_are_dealt_to_as_many_tasks_as_set(spark):
+    """Contracts of few bytes and many links are not left to the few tasks that their bytes ask for."""
+    groups = [
+        {"customer_group_id": i, "mapping_strategy_code": strategy, "facility_type_id": 1, "product_id": product,
+         "min_fuse_size": 10, "max_fuse_size": 30 + i, "min_bound_included": True, "max_bound_included": True}
+        for i, (strategy, product) in enumerate([("product", 2)] * 20 + [("fuse_size", None)] * 20)
+    ]
+    contracts = spark.range(0, 800, 1, 1).selectExpr(
+        "id AS facility_id", "DATE'2025-01-01' AS date_id", "20 AS fuse_size", "CAST(NULL AS DOUBLE) AS subscribed_power",
+        "CAST(NULL AS DOUBLE) AS connection_power", "1 AS customer_type_id", "2 AS product_id", "1 AS facility_type_id")
+    staging = Staging(spark, "test-rules")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        rules = grouping.prepare_rules(local_table(spark, groups, GROUP)).rules
+        links = grouping.links_of(grouping.assign_groups(contracts, rules, 3, staging))
+        dealt = links.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        staging.drop()
+    assert [r["count"] for r in dealt] == [20 * 50] * 32
